@@ -40,6 +40,7 @@ from .typed import (
     typed_date,
     typed_decimal,
     typed_integer,
+    typed_number,
     typed_signed_decimal,
 )
 

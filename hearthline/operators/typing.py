@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.typed import DECIMAL, INTEGER, currency_text, typed_column
-from ..schema import FIELDS
+from ..functions.typed import DECIMAL, INTEGER, currency_text, typed_column, typed_number
+from ..schema import FIELDS, Field
 
 # Fixed value: rows shown in the report.
 BAD_ROWS_SHOWN = 50
 
 
-def typed_listings(staging: DataFrame, lenient_int: bool = False) -> DataFrame:
-    """The 68 typed columns; values that do not fit their type become NULL."""
-    return staging.select(
-        *(typed_column(f.name, f.target, lenient_int).alias(f.name) for f in FIELDS)
-    )
+def typed_listings(listings: DataFrame, lenient_int: bool = False) -> DataFrame:
+    """The 68 typed columns; values that do not fit their type become NULL.
 
+    Takes staging text, or cleaned listings directly: the result is the same.
+    """
+    kinds = dict(listings.dtypes)
 
-def is_bad_row():
+    def column(field: Field) -> Column:
+        kind = kinds[field.name]
+        if kind == "string":
+            return typed_column(field.name, field.target, lenient_int)
+        return typed_number(field.name, kind, field.target, lenient_int)
+
+    return listings.select(*(column(f).alias(f.name) for f in FIELDS))
+
+
+def is_bad_row() -> Column:
     """host_id no whole number, or price no amount; an unknown answer is no complaint."""
     bad_host = ~F.trim("host_id").rlike(INTEGER)
     bad_price = ~currency_text("price").rlike(DECIMAL)
