@@ -9,6 +9,7 @@ from .text import BLANK, as_column
 
 _DIGITS = "[0-9]++(?:_[0-9]++)*+"
 _DECIMAL = rf"(?:{_DIGITS}\.?+(?:{_DIGITS})?+|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?+"
+_PLAIN = r"^-?[0-9]++(?:\.[0-9]++)?\z"
 _WORD = "[+-]?(?i:inf|infinity)|(?i:nan)"
 # Group 1 is a number or word the cast reads; it takes no sign before nan.
 _FLOAT = rf"(?U)^{BLANK}*+(?:[+-](?=(?i:nan)))?([+-]?{_DECIMAL}|{_WORD}){BLANK}*+$"
@@ -21,9 +22,13 @@ def parse_float(c: Column | str) -> Column:
 
     The pattern keeps out Java-only forms such as ``1.0d`` and ``0x1p3`` that a
     plain cast would take; text that does not match becomes empty and casts to NULL.
+    Plain numbers and empty fields, which is most of them, are settled before it.
     """
-    number = F.regexp_extract(as_column(c), _FLOAT, 1)
-    return F.replace(number, F.lit("_"), F.lit("")).try_cast("double")
+    text = as_column(c)
+    number = F.replace(F.regexp_extract(text, _FLOAT, 1), F.lit("_"), F.lit(""))
+    return F.when(text.rlike(_PLAIN), text.try_cast("double")).when(
+        text != "", number.try_cast("double")
+    )
 
 
 def clean_float(c: Column | str) -> Column:

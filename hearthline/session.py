@@ -53,6 +53,17 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Even out a scan that has fewer tasks than the session has cores.
+
+    One big multi-line CSV file, or one Parquet row group, is a single task, and the
+    cleaning expressions cost far more than moving the rows. A scan with enough
+    splits, as any large table has, is returned as it is: no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _hadoop(spark: SparkSession, path: str):
     """File system and path object for ``path``, whatever store it lives in."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import float_text
 from ..schema import LISTING_COLUMNS, SEQUENCE_COLUMN, text_schema
+from ..session import spread
 
 CORRUPT = "_corrupt"
 POSITION = ["_file", "_block", "_row"]
@@ -91,13 +92,13 @@ def read_raw_listings(
 ) -> DataFrame:
     """Raw listings by header name.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one task per
-    file; switch it off for files known to have none, and they split by block.
+    ``multiline`` allows line breaks inside quotes, at the price of one parsing task
+    per file; switch it off for files known to have none, and they split by block.
     ``position`` adds the file order (``POSITION``) that sequence numbers tie-break on.
     """
     names = header_names(spark, path)
     reader = _csv_options(spark.read.schema(_schema_with_corrupt(names)), multiline)
-    return _complete(reader.csv(path), names, drop_bad_bytes=True, position=position)
+    return spread(_complete(reader.csv(path), names, drop_bad_bytes=True, position=position))
 
 
 def stream_raw_listings(
