@@ -11,6 +11,16 @@ from .gates import CLEAN, OUTCOME, PRICE, VARIANTS, Variant, judge_rows, raw_col
 
 _GUESTS = "_guests"
 _ROOM = "_room"
+_READS = {
+    "price_category": ["price"],
+    "review_category": ["number_of_reviews"],
+    "host_category": ["host_is_superhost", "host_response_rate"],
+    "availability_category": ["availability_365"],
+    "room_type_simplified": [],
+    "is_professional_host": ["host_listings_count"],
+    "has_cleaning_fee": ["cleaning_fee"],
+    "price_per_guest": ["price"],
+}
 
 
 def _cleaned(df: DataFrame, field: Field, variant: Variant) -> Column:
@@ -41,19 +51,25 @@ def _cleaned(df: DataFrame, field: Field, variant: Variant) -> Column:
             return raw
 
 
-def clean_listings(judged: DataFrame, variant: Variant) -> DataFrame:
+def clean_listings(
+    judged: DataFrame, variant: Variant, columns: list[str] | None = None
+) -> DataFrame:
     """Cleaned and derived columns of the rows that passed the gates.
 
-    Two projections: the second reads columns the first has computed.
+    Two projections: the second reads columns the first has computed. ``columns``
+    leaves out work nobody asked for.
     """
+    wanted = columns or LISTING_COLUMNS
+    needed = set(wanted).union(*(_READS.get(c, []) for c in wanted))
     kept = judged.where(F.col(OUTCOME) == CLEAN)
+    position = [c for c in judged.columns if c in ("_file", "_block", "_row")]
     cleaned = kept.select(
-        *(_cleaned(judged, f, variant).alias(f.name) for f in CLEANED_FIELDS),
+        *(_cleaned(judged, f, variant).alias(f.name) for f in CLEANED_FIELDS if f.name in needed),
         # An absent column counts as one guest here and an unnamed room, whatever
         # the defaults of the output columns are.
         fn.clean_int(raw_column(judged, "accommodates", "1")).alias(_GUESTS),
         raw_column(judged, "room_type", "").alias(_ROOM),
-        *(c for c in judged.columns if c in ("_file", "_block", "_row")),
+        *position,
     )
     derived = {
         "price_category": fn.price_category("price"),
@@ -65,10 +81,18 @@ def clean_listings(judged: DataFrame, variant: Variant) -> DataFrame:
         "has_cleaning_fee": fn.has_cleaning_fee("cleaning_fee"),
         "price_per_guest": fn.price_per_guest("price", _GUESTS),
     }
-    return cleaned.withColumns(derived).drop(_GUESTS, _ROOM)
+    return cleaned.withColumns({n: c for n, c in derived.items() if n in wanted}).select(
+        *wanted, *position
+    )
+
 
+def transform_listings(
+    raw: DataFrame, variant: str = "scale", columns: list[str] | None = None
+) -> DataFrame:
+    """Raw all-text listings to the 68 cleaned columns, or the ``columns`` asked for.
 
-def transform_listings(raw: DataFrame, variant: str = "scale") -> DataFrame:
-    """Raw all-text listings to the 68 cleaned columns; stateless, so streams work too."""
+    Stateless, so streams work too.
+    """
     chosen = VARIANTS[variant]
-    return clean_listings(judge_rows(raw, chosen), chosen).select(*LISTING_COLUMNS)
+    cleaned = clean_listings(judge_rows(raw, chosen), chosen, columns)
+    return cleaned.select(*(columns or LISTING_COLUMNS))

@@ -13,7 +13,7 @@ BAD_ROWS_SHOWN = 50
 
 
 def typed_listings(listings: DataFrame, lenient_int: bool = False) -> DataFrame:
-    """The 68 typed columns; values that do not fit their type become NULL.
+    """Typed columns; values that do not fit their type become NULL.
 
     Takes staging text, or cleaned listings directly: the result is the same.
     """
@@ -25,7 +25,7 @@ def typed_listings(listings: DataFrame, lenient_int: bool = False) -> DataFrame:
             return typed_column(field.name, field.target, lenient_int)
         return typed_number(field.name, kind, field.target, lenient_int)
 
-    return listings.select(*(column(f).alias(f.name) for f in FIELDS))
+    return listings.select(*(column(f).alias(f.name) for f in FIELDS if f.name in kinds))
 
 
 def is_bad_row() -> Column:

@@ -74,14 +74,19 @@ def room_type_breakdown(
     return groups.orderBy(F.desc("num_listings"), "room_type_simplified")
 
 
-def data_quality(cleaned: DataFrame) -> DataFrame:
-    """Averages to two places and flag counts of a transform result."""
-    return cleaned.agg(
+def quality_columns() -> list[Column]:
+    """Averages to two places and flag counts over cleaned rows."""
+    return [
         round_cents(F.avg(_PRICE).cast("double")).alias("avg_price"),
         round_cents(F.avg(_RATING).cast("double")).alias("avg_review_score"),
         F.count_if(F.col("host_is_superhost") == 1).alias("superhosts_count"),
         F.count_if(F.col("instant_bookable") == 1).alias("instant_bookable_count"),
-    )
+    ]
+
+
+def data_quality(cleaned: DataFrame) -> DataFrame:
+    """The quality measures of a transform result."""
+    return cleaned.agg(*quality_columns())
 
 
 _SECTIONS = ["neighbourhood", "price_category", "room_type_simplified"]

@@ -1,7 +1,8 @@
 """CSV files in and out.
 
 Readers return all-text columns in which an empty field is ``''`` and only a field
-that a short record lacks is NULL.
+that a short record lacks is NULL. In files with CR LF line ends a line break inside
+quotes reads as LF.
 """
 
 from __future__ import annotations

@@ -140,8 +140,8 @@ def raw_sql(orders: str = "orders") -> str:
     return f"select {_select(RAW_EXPRESSIONS)} from ({with_cents}) r"
 
 
-def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view as a DataFrame over one scan of orders.
+def raw_listings(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
+    """The view as a DataFrame over one scan of orders, on request with the row order.
 
     The scan is only shuffled when the whole table is a handful of splits.
     """
@@ -150,5 +150,5 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     base = spread(orders).selectExpr(*(f"{e} as {n}" for n, e in _BASE.items()), "o_orderpriority")
     return base.selectExpr("*", f"{_CENTS} as cents").selectExpr(
-        *(f"{e} as {n}" for n, e in RAW_EXPRESSIONS.items())
+        *(f"{e} as {n}" for n, e in RAW_EXPRESSIONS.items()), *(["k as _row"] if position else [])
     )

@@ -628,6 +628,7 @@ ORACLE: dict[str, str] = {
         "base",
     ),
     "load_job": with_tables("select * from typed"),
+    "parquet_transform_job": with_tables("select * from typed"),
     "arriving_loads": with_tables("select * from typed"),
 }
 

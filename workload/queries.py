@@ -29,6 +29,8 @@ REPORT_COLUMNS = [
     "room_type_simplified",
 ]
 
+QUALITY_COLUMNS = ["price", "review_scores_rating", "host_is_superhost", "instant_bookable"]
+
 
 def query(run: Query) -> Query:
     """Register ``run`` under its name."""
@@ -44,8 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cleaned(spark: SparkSession, sf_dir: str, variant: str = "scale") -> DataFrame:
-    return ops.transform_listings(raw_listings(spark, sf_dir), variant)
+def cleaned(
+    spark: SparkSession, sf_dir: str, variant: str = "scale", columns: list[str] | None = None
+) -> DataFrame:
+    return ops.transform_listings(raw_listings(spark, sf_dir), variant, columns)
 
 
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +57,13 @@ def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.listing_text(cleaned(spark, sf_dir))
 
 
-def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.typed_listings(cleaned(spark, sf_dir))
+def typed(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    return ops.typed_listings(cleaned(spark, sf_dir, columns=columns))
+
+
+def report_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five typed columns the reports read."""
+    return typed(spark, sf_dir, REPORT_COLUMNS)
 
 
 def as_doubles(df: DataFrame, *names: str) -> DataFrame:
@@ -73,35 +82,36 @@ def csv_copy(spark: SparkSession, sf_dir: str) -> str:
 
 @query
 def price_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.price_categories(typed(spark, sf_dir))
+    return plans.price_categories(report_input(spark, sf_dir))
 
 
 @query
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = plans.summary(typed(spark, sf_dir))
+    report = plans.summary(report_input(spark, sf_dir))
     return as_doubles(report, "avg_price", "min_price", "max_price", "avg_rating")
 
 
 @query
 def summary_without_unrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = plans.summary(typed(spark, sf_dir), zero_as_null=True)
+    report = plans.summary(report_input(spark, sf_dir), zero_as_null=True)
     return as_doubles(report, "avg_price", "min_price", "max_price", "avg_rating")
 
 
 @query
 def top_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_doubles(plans.top_neighbourhoods(typed(spark, sf_dir)), "avg_price", "avg_rating")
+    return as_doubles(plans.top_neighbourhoods(report_input(spark, sf_dir)), "avg_price", "avg_rating")
 
 
 @query
 def room_type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_doubles(plans.room_type_breakdown(typed(spark, sf_dir)), "avg_price", "avg_rating")
+    return as_doubles(plans.room_type_breakdown(report_input(spark, sf_dir)), "avg_price", "avg_rating")
 
 
 @query
 def state_counts_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case-insensitive grouping, as a case-insensitive collation gives."""
-    rows = typed(spark, sf_dir).withColumn("neighbourhood", F.col("state"))
+    rows = typed(spark, sf_dir, ["state", "price", "review_scores_rating"])
+    rows = rows.withColumnRenamed("state", "neighbourhood")
     groups = plans.top_neighbourhoods(rows, collation="UTF8_LCASE")
     return groups.select(
         F.lower(F.col("neighbourhood").cast("string")).alias("state"), "num_listings"
@@ -110,17 +120,17 @@ def state_counts_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.report_rows(typed(spark, sf_dir).select(*REPORT_COLUMNS))
+    return plans.report_rows(report_input(spark, sf_dir))
 
 
 @query
 def full_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.report_json(typed(spark, sf_dir).select(*REPORT_COLUMNS))
+    return plans.report_json(report_input(spark, sf_dir))
 
 
 @query
 def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.data_quality(cleaned(spark, sf_dir, "base"))
+    return plans.data_quality(cleaned(spark, sf_dir, "base", QUALITY_COLUMNS))
 
 
 # Gates and projections
@@ -261,9 +271,15 @@ def amenity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cleaned(spark, sf_dir)
-    names = ["price_category", "review_category", "host_category", "availability_category"]
-    return rows.groupBy(*names, "room_type_simplified").agg(F.count("*").alias("num_listings"))
+    names = [
+        "price_category",
+        "review_category",
+        "host_category",
+        "availability_category",
+        "room_type_simplified",
+    ]
+    rows = cleaned(spark, sf_dir, columns=names)
+    return rows.groupBy(*names).agg(F.count("*").alias("num_listings"))
 
 
 @query
@@ -474,10 +490,21 @@ def transform_job_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.select(*(F.col("attributes")[c].cast("bigint").alias(c) for c in counts))
 
 
+@query
+def parquet_transform_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed Parquet between the stages, in place of CSV text."""
+    path = scratch_path(spark, "clean")
+    raw = raw_listings(spark, sf_dir)
+    result = plans.run_transform(spark, raw, f"{path}/clean", as_parquet=True)
+    rows = spark.read.parquet(result.output)
+    plans.load_listings(spark, rows, f"{path}/staging", f"{path}/target")
+    return sources.read_target(spark, f"{path}/target")
+
+
 @query
 def numbered_transform_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "clean")
-    raw = raw_listings(spark, sf_dir)
+    raw = raw_listings(spark, sf_dir, position=True)
     result = plans.run_transform(spark, raw, folder, variant="arch", architecture="any")
     back = sources.read_raw_listings(spark, result.output)
     return back.select(F.col("sequential_id").cast("bigint").alias("sequential_id"), "id")
