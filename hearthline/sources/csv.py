@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.numbers import float_text
 from ..schema import LISTING_COLUMNS, SEQUENCE_COLUMN, text_schema
 from ..session import spread
+from .csv_records import BLOCK, FILE, RECORD, ROW, csv_records, has_large_file
 
 CORRUPT = "_corrupt"
-POSITION = ["_file", "_block", "_row"]
+POSITION = [FILE, BLOCK, ROW]
 _FIELD_COUNT = "_fields"
 
 
@@ -52,7 +53,17 @@ def _csv_options(reader, multiline: bool):
     )
 
 
-def _complete(df: DataFrame, names: list[str], drop_bad_bytes: bool, position: bool) -> DataFrame:
+def _file_position() -> list[Column]:
+    return [
+        F.col("_metadata.file_path").alias(POSITION[0]),
+        F.col("_metadata.file_block_start").alias(POSITION[1]),
+        F.monotonically_increasing_id().alias(POSITION[2]),
+    ]
+
+
+def _complete(
+    df: DataFrame, names: list[str], drop_bad_bytes: bool, position: list[Column]
+) -> DataFrame:
     """Tell empty fields from missing ones and drop undecodable bytes.
 
     Spark gives NULL for both; a short record also has its raw text in the corrupt
@@ -70,20 +81,33 @@ def _complete(df: DataFrame, names: list[str], drop_bad_bytes: bool, position: b
             text = F.replace(text, F.lit("\ufffd"), F.lit(""))
         return F.when(F.col(_FIELD_COUNT) > i, text).alias(name)
 
-    columns = [field(i, n) for i, n in enumerate(names)]
-    if position:
-        columns += [
-            F.col("_metadata.file_path").alias(POSITION[0]),
-            F.col("_metadata.file_block_start").alias(POSITION[1]),
-            F.monotonically_increasing_id().alias(POSITION[2]),
-        ]
-    return counted.select(*columns)
+    return counted.select(*(field(i, n) for i, n in enumerate(names)), *position)
 
 
 def _schema_with_corrupt(names: list[str]):
     return text_schema([*names, CORRUPT])
 
 
+def _parsed(
+    spark: SparkSession,
+    path: str,
+    names: list[str],
+    multiline: bool,
+    drop_bad_bytes: bool,
+    position: bool,
+) -> DataFrame:
+    schema = _schema_with_corrupt(names)
+    if multiline and has_large_file(spark, path):
+        options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        ddl = ", ".join(f"`{name.replace('`', '``')}` string" for name in schema.names)
+        fields = F.from_csv(RECORD, ddl, options).alias("_fields")
+        rows = csv_records(spark, path).select(*POSITION, fields).select(*POSITION, "_fields.*")
+        places = [F.col(p) for p in POSITION] if position else []
+        return _complete(rows, names, drop_bad_bytes, places)
+    rows = _csv_options(spark.read.schema(schema), multiline).csv(path)
+    return spread(_complete(rows, names, drop_bad_bytes, _file_position() if position else []))
+
+
 def read_raw_listings(
     spark: SparkSession,
     path: str = "listings.csv",
@@ -93,13 +117,12 @@ def read_raw_listings(
 ) -> DataFrame:
     """Raw listings by header name.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one parsing task
-    per file; switch it off for files known to have none, and they split by block.
+    ``multiline`` allows line breaks inside quotes. Files up to one split in size are
+    then parsed by one task each; if there are larger ones, records are put together
+    across splits. Without it, files simply split by line.
     ``position`` adds the file order (``POSITION``) that sequence numbers tie-break on.
     """
-    names = header_names(spark, path)
-    reader = _csv_options(spark.read.schema(_schema_with_corrupt(names)), multiline)
-    return spread(_complete(reader.csv(path), names, drop_bad_bytes=True, position=position))
+    return _parsed(spark, path, header_names(spark, path), multiline, True, position)
 
 
 def stream_raw_listings(
@@ -113,15 +136,14 @@ def stream_raw_listings(
     """The same rows as a stream over files arriving in ``folder``."""
     reader = _csv_options(spark.readStream.schema(_schema_with_corrupt(names)), multiline)
     files = reader.option("maxFilesPerTrigger", max_files).csv(folder)
-    return _complete(files, names, drop_bad_bytes=True, position=False)
+    return _complete(files, names, drop_bad_bytes=True, position=[])
 
 
 def read_text_table(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
     """Any CSV file as text columns with sanitised header names."""
     names = header_names(spark, path)
     target = sanitized_names(names)
-    reader = _csv_options(spark.read.schema(_schema_with_corrupt(names)), multiline)
-    return _complete(reader.csv(path), names, drop_bad_bytes=False, position=False).toDF(*target)
+    return _parsed(spark, path, names, multiline, False, False).toDF(*target)
 
 
 def listing_text(df: DataFrame) -> DataFrame:

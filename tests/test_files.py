@@ -2,6 +2,7 @@
 
 import csv
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -63,6 +64,31 @@ def test_reader_agrees_with_the_csv_module(spark, awkward):
     assert [tuple(r[n] for n in names) for r in rows] == [tuple(e[n] for n in names) for e in expected]
 
 
+@pytest.mark.parametrize("size", [7, 16, 40, 100, 1000])
+def test_records_across_splits(spark, tmp_path, size):
+    """Files read in splits of any size give the same rows as whole files."""
+    random.seed(size)
+    pieces = ["plain", "", '"a, b"', '"x ""y"" z"', '"line\r\nbreak"', '"\r\n\r\n"', '"long ' + "w " * 30 + '"', "\\"]
+    for name in ("one.csv", "two.csv"):
+        rows = [f"{i},{random.choice(pieces)},{random.choice(pieces)}" for i in range(60)]
+        rows += ["60", '"61","q"']
+        (tmp_path / name).write_bytes(("id,v,z\r\n" + "\r\n".join(rows) + "\r\n").encode())
+    whole = sources.read_raw_listings(spark, str(tmp_path), position=True)
+    expected = [tuple(r)[:3] for r in whole.orderBy("_file", "_block", "_row").collect()]
+    settings = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    settings["spark.sql.files.minPartitionNum"] = "1000"
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        split = sources.read_raw_listings(spark, str(tmp_path), position=True)
+        rows = split.orderBy("_file", "_block", "_row").collect()
+        assert len({(r["_file"], r["_block"]) for r in rows}) > 2
+        assert [tuple(r)[:3] for r in rows] == expected
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_byte_order_mark_is_dropped(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + AWKWARD)
     assert sources.header_names(spark, str(tmp_path / "a.csv"))[0] == "id"
