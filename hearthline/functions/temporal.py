@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .text import as_column, strip
 
 _CLOCK = r"([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})(?:.([0-9]{1,6}))?"
-_DATETIME = rf"^([0-9]{{1,4}})-([0-9]{{1,2}})-([0-9]{{1,2}})[T ]{_CLOCK}"
+_DATETIME = (
+    r"^([0-9]{1,4})(-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})(?:.([0-9]{1,6}))?"
+)
 _TIME = rf"^{_CLOCK}"
 _INTERVAL = r"^(-)?([0-9]{1,3}):([0-9]{1,2}):([0-9]{1,2})(?:.([0-9]{1,6}))?"
 _WHOLE = r"^[+]?[0-9]+$"
@@ -58,15 +60,10 @@ def decode_date(c: Column | str) -> Column:
 def decode_datetime(c: Column | str) -> Column:
     """struct(value timestamp_ntz, day date, raw string); a bare date sets ``day``."""
     text = as_column(c)
-    year, month, day, hour, minute, second, fraction = (
-        _group(text, _DATETIME, i) for i in range(1, 8)
-    )
-    stamp = F.concat_ws(
-        " ", _date_text(year, month, day), _clock_text(hour, minute, second, fraction)
-    )
-    value = F.when(
-        text.rlike(_DATETIME) & (F.lpad(year, 4, "0") != "0000"), stamp.try_cast("timestamp_ntz")
-    )
+    year = F.lpad(_group(text, _DATETIME, 1), 4, "0")  # "0000" without a match, too
+    rest, fraction = _group(text, _DATETIME, 2), _group(text, _DATETIME, 3)
+    stamp = F.concat(year, rest, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""))
+    value = F.when(year != "0000", stamp.try_cast("timestamp_ntz"))
     plain = F.when(value.isNull(), _plain_date(text))
     return F.struct(
         value.alias("value"),

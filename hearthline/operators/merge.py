@@ -11,20 +11,22 @@ def only_new_rows(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataF
     return batch.join(target.select(*keys), keys, "left_anti")
 
 
-def latest_rows(changes: DataFrame, keys: list[str], version: Column | str) -> DataFrame:
+def latest_rows(
+    changes: DataFrame, keys: list[str], version: Column | str, columns: list[str] | None = None
+) -> DataFrame:
     """One row per key, the one with the highest version.
 
     An aggregate, not a window: a hot key shrinks to one row per task before the
     shuffle.
     """
-    rest = [c for c in changes.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), version).alias("_newest")
-    return changes.groupBy(*keys).agg(newest).select(*keys, "_newest.*").select(*changes.columns)
+    kept = columns or changes.columns
+    newest = F.max_by(F.struct(*(c for c in kept if c not in keys)), version).alias("_newest")
+    return changes.groupBy(*keys).agg(newest).select(*keys, "_newest.*").select(*kept)
 
 
 def upsert(
     target: DataFrame, changes: DataFrame, keys: list[str], version: Column | str
 ) -> DataFrame:
     """The target with the newest change per key put in place of the old row, or added."""
-    latest = latest_rows(changes, keys, version).select(*target.columns)
+    latest = latest_rows(changes, keys, version, target.columns)
     return only_new_rows(target, latest, keys).unionByName(latest)

@@ -81,6 +81,11 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def swap_directory(spark: SparkSession, fresh: str, path: str) -> None:
     """Put the finished directory ``fresh`` in the place of ``path``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LISTING_COLUMNS, text_schema, typed_schema
-from ..session import swap_directory
+from ..session import remove_path, swap_directory
 
 LOAD_ID = "load_id"
 
@@ -43,8 +43,12 @@ def append_target(typed: DataFrame, path: str, load_id: str) -> None:
 def replace_target(typed: DataFrame, path: str, load_id: str) -> None:
     """Replace the whole target, in one step after the new rows are all written."""
     fresh = f"{path.rstrip('/')}.new-{load_id}"
-    typed.write.mode("overwrite").parquet(f"{fresh}/{LOAD_ID}={load_id}")
-    swap_directory(typed.sparkSession, fresh, path)
+    try:
+        typed.write.mode("overwrite").parquet(f"{fresh}/{LOAD_ID}={load_id}")
+        swap_directory(typed.sparkSession, fresh, path)
+    except Exception:
+        remove_path(typed.sparkSession, fresh)
+        raise
 
 
 def read_target(spark: SparkSession, path: str, with_load: bool = False) -> DataFrame:

@@ -632,6 +632,17 @@ ORACLE: dict[str, str] = {
     "arriving_loads": with_tables("select * from typed"),
 }
 
+_STEPS = {
+    "transform": "start_read end_read start_transform end_transform start_save end_save total",
+    "bulk_load": "load count insert badrows total",
+    "report": "aggregate summary top_neighbourhoods price_categories room_type_breakdown total",
+}
+ORACLE["run_metrics"] = " union all ".join(
+    f"select '{operation}' as operation, '{step}' as step, count(*) > 0 as measured from orders"
+    for operation, steps in _STEPS.items()
+    for step in steps.split()
+)
+
 
 def _filled(columns: list[str]) -> str:
     """The raw view after a trip through CSV: a missing field in mid-row reads as empty."""

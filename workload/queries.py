@@ -559,6 +559,25 @@ def three_stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_doubles(plans.room_type_breakdown(listings), "avg_price", "avg_rating")
 
 
+@query
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps each job times and the marks it sets, as recorded in the metrics table."""
+    path = scratch_path(spark, "metrics")
+    raw = raw_listings(spark, sf_dir).select("id", "name", "price", "room_type")
+    result = plans.run_transform(spark, raw, f"{path}/clean", as_parquet=True)
+    result.metrics.append(spark, f"{path}/runs")
+    rows = spark.read.parquet(result.output)
+    places = (f"{path}/staging", f"{path}/target")
+    plans.load_listings(spark, rows, *places, metrics_path=f"{path}/runs")
+    plans.run_report(sources.read_target(spark, places[1]), metrics_path=f"{path}/runs")
+    runs = spark.read.parquet(f"{path}/runs")
+    timed = runs.select("operation", F.explode("timings_ms").alias("step", "ms"))
+    marks = runs.select("operation", F.explode("attributes").alias("step", "ms"))
+    marks = marks.where(F.col("step").rlike("^(start|end)_"))
+    steps = timed.unionByName(marks.withColumn("ms", F.col("ms").cast("double")))
+    return steps.select("operation", "step", (F.col("ms") >= 0).alias("measured"))
+
+
 @query
 def arriving_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files taken in as a stream give the same typed rows as one batch load."""
