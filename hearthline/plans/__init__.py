@@ -1,6 +1,6 @@
 """Whole jobs: transform, load, report, scale-up, and their run metrics."""
 
-from .load import LoadResult, load_listings, load_text_table
+from .load import LoadResult, load_from_events, load_listings, load_text_table
 from .metrics import RunMetrics
 from .reports import (
     data_quality,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.events import load_manifest
 from ..operators.merge import only_new_rows
 from ..operators.typing import BAD_ROWS_SHOWN, bad_rows, typed_listings
 from ..session import path_exists
@@ -101,4 +103,38 @@ def load_text_table(
     return metrics
 
 
-__all__ = ["BAD_ROWS_SHOWN", "LoadResult", "load_listings", "load_text_table"]
+def load_from_events(
+    spark: SparkSession,
+    events: DataFrame,
+    locate: Callable[[str, str], str],
+    *,
+    staging_path: str,
+    target_path: str,
+    text_path: str,
+    default_bucket: str | None = None,
+    metrics_path: str | None = None,
+) -> list[RunMetrics]:
+    """One load per load event, in order of arrival, as the event asks for it.
+
+    ``locate`` turns bucket and key into a path. The driver only steps through the
+    manifest; every load is a job of its own.
+    """
+    runs = []
+    for event in load_manifest(events, default_bucket=default_bucket).toLocalIterator():
+        path = locate(event.bucket, event.object_key)
+        if event.destination == "text_table":
+            runs.append(load_text_table(spark, path, text_path, prune=event.prune_text_table))
+            continue
+        result = load_listings(
+            spark,
+            path,
+            staging_path,
+            target_path,
+            prune=event.prune_target,
+            metrics_path=metrics_path,
+        )
+        runs.append(result.metrics)
+    return runs
+
+
+__all__ = ["BAD_ROWS_SHOWN", "LoadResult", "load_from_events", "load_listings", "load_text_table"]

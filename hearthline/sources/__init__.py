@@ -7,7 +7,6 @@ from .csv import (
     read_raw_listings,
     read_text_table,
     sanitized_names,
-    stream_raw_listings,
     write_listings_csv,
     write_text_csv,
 )

@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 from ..functions.numbers import float_text
 from ..schema import LISTING_COLUMNS, SEQUENCE_COLUMN, text_schema
 from ..session import spread
-from .csv_records import BLOCK, FILE, RECORD, ROW, csv_records, has_large_file
+from .csv_records import BLOCK, FILE, HEADER, RECORD, ROW, csv_records, has_large_file
 
 CORRUPT = "_corrupt"
 POSITION = [FILE, BLOCK, ROW]
 _FIELD_COUNT = "_fields"
 
 
-def header_names(spark: SparkSession, path: str) -> list[str]:
+Paths = str | list[str]
+
+
+def header_names(spark: SparkSession, path: Paths) -> list[str]:
     """Column names from the first record; the only data that reaches the driver."""
     reader = spark.read.option("multiLine", True).option("escape", '"')
     first = reader.option("header", False).csv(path).head()
@@ -84,33 +87,38 @@ def _complete(
     return counted.select(*(field(i, n) for i, n in enumerate(names)), *position)
 
 
-def _schema_with_corrupt(names: list[str]):
-    return text_schema([*names, CORRUPT])
+def _from_records(spark: SparkSession, path: Paths, names: list[str]) -> DataFrame:
+    """Fields of records put together across splits; every file must have the same header."""
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    ddl = ", ".join("`{}` string".format(n.replace("`", "``")) for n in [*names, CORRUPT])
+    fields = F.from_csv(RECORD, ddl, options).alias("_values")
+    rows = csv_records(spark, path).select(*POSITION, HEADER, fields)
+    found = F.array(*(F.coalesce(F.col("_values")[n], F.lit("")) for n in names))
+    first = F.replace(F.array_join(found, "\n"), F.lit("\ufeff"), F.lit(""))
+    other = F.raise_error(F.concat(F.lit("another header in "), F.col(FILE))).cast("boolean")
+    expected = F.when(first == "\n".join(names), False).otherwise(other)
+    return rows.where(F.when(F.col(HEADER), expected).otherwise(True)).select(*POSITION, "_values.*")
 
 
 def _parsed(
     spark: SparkSession,
-    path: str,
+    path: Paths,
     names: list[str],
     multiline: bool,
     drop_bad_bytes: bool,
     position: bool,
 ) -> DataFrame:
-    schema = _schema_with_corrupt(names)
     if multiline and has_large_file(spark, path):
-        options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-        ddl = ", ".join(f"`{name.replace('`', '``')}` string" for name in schema.names)
-        fields = F.from_csv(RECORD, ddl, options).alias("_fields")
-        rows = csv_records(spark, path).select(*POSITION, fields).select(*POSITION, "_fields.*")
         places = [F.col(p) for p in POSITION] if position else []
-        return _complete(rows, names, drop_bad_bytes, places)
-    rows = _csv_options(spark.read.schema(schema), multiline).csv(path)
-    return spread(_complete(rows, names, drop_bad_bytes, _file_position() if position else []))
+        return _complete(_from_records(spark, path, names), names, drop_bad_bytes, places)
+    reader = _csv_options(spark.read.schema(text_schema([*names, CORRUPT])), multiline)
+    places = _file_position() if position else []
+    return spread(_complete(reader.csv(path), names, drop_bad_bytes, places))
 
 
 def read_raw_listings(
     spark: SparkSession,
-    path: str = "listings.csv",
+    path: Paths = "listings.csv",
     *,
     multiline: bool = True,
     position: bool = False,
@@ -125,21 +133,7 @@ def read_raw_listings(
     return _parsed(spark, path, header_names(spark, path), multiline, True, position)
 
 
-def stream_raw_listings(
-    spark: SparkSession,
-    folder: str,
-    names: list[str],
-    *,
-    multiline: bool = True,
-    max_files: int = 1000,
-) -> DataFrame:
-    """The same rows as a stream over files arriving in ``folder``."""
-    reader = _csv_options(spark.readStream.schema(_schema_with_corrupt(names)), multiline)
-    files = reader.option("maxFilesPerTrigger", max_files).csv(folder)
-    return _complete(files, names, drop_bad_bytes=True, position=[])
-
-
-def read_text_table(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
+def read_text_table(spark: SparkSession, path: Paths, *, multiline: bool = True) -> DataFrame:
     """Any CSV file as text columns with sanitised header names."""
     names = header_names(spark, path)
     target = sanitized_names(names)

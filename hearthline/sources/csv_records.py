@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FILE, BLOCK, ROW = "_file", "_block", "_row"
-RECORD = "_record"
+RECORD, HEADER = "_record", "_header"
 # A split this large without a record start means a quote was never closed.
 _OPEN_QUOTE_BYTES = 16 * 1024 * 1024
 
@@ -22,13 +22,13 @@ def split_size(spark: SparkSession) -> int:
     return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
 
 
-def has_large_file(spark: SparkSession, path: str) -> bool:
+def has_large_file(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether some file is larger than one split; reads file lengths only."""
     files = spark.read.format("binaryFile").load(path)
     return not files.where(F.col("length") > split_size(spark)).isEmpty()
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with their place, and per split the running counts both entry states need."""
     raw = spark.read.option("lineSep", "\n").text(path)
     bare = F.replace("value", F.lit('"'), F.lit(""))
@@ -79,8 +79,8 @@ def _joined(place: str, text: str) -> Column:
     return F.array_join(F.transform(parts, lambda p: p[text]), "\n")
 
 
-def csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, header and blank lines left out: file, split, number, text."""
+def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per record that is not blank: file, split, number, text, and if it is the header."""
     lines = _lines(spark, path)
     numbered = lines.join(_blocks(lines), [FILE, BLOCK]).withColumn(
         RECORD,
@@ -101,14 +101,10 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         F.col(RECORD) == F.col("_last"), F.concat_ws("\n", "_text", "_tail")
     ).otherwise(F.col("_text"))
     unix = F.replace(F.regexp_replace(text, r"\r\z", ""), F.lit("\r\n"), F.lit("\n"))
-    is_header = (F.col(BLOCK) == 0) & (F.col(RECORD) == 1)
-    return (
-        heads.where(~is_header)
-        .select(
-            FILE,
-            BLOCK,
-            F.col(RECORD).alias(ROW),
-            F.when(text.endswith("\r"), unix).otherwise(text).alias(RECORD),
-        )
-        .where(F.col(RECORD) != "")
-    )
+    return heads.select(
+        FILE,
+        BLOCK,
+        F.col(RECORD).alias(ROW),
+        F.when(text.endswith("\r"), unix).otherwise(text).alias(RECORD),
+        ((F.col(BLOCK) == 0) & (F.col(RECORD) == 1)).alias(HEADER),
+    ).where(F.col(RECORD) != "")

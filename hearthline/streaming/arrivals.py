@@ -1,31 +1,52 @@
 """File-arrival streams.
 
-The checkpoint tracks which files were taken. Each micro-batch writes folders named
-after its batch number with overwrite, so a batch that is run again after a failure
-replaces its own rows.
+The stream carries the paths of new files, and its checkpoint tracks which ones were
+taken. Each micro-batch reads its files with the batch reader, so a large file is
+read by many tasks. It writes folders named after its batch number with overwrite: a
+batch that is run again after a failure replaces its own rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cleaning import transform_listings
 from ..operators.typing import bad_rows, typed_listings
 from ..schema import text_schema
-from ..sources.csv import listing_text, stream_raw_listings, write_text_csv
+from ..sources.csv import listing_text, read_raw_listings, write_text_csv
 from ..sources.tables import LOAD_ID, append_target, staging_rows
 
+_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _on_arrival(
+    spark: SparkSession,
+    folder: str,
+    checkpoint: str,
+    handle: Callable[[list[str], str], None],
+    max_files: int,
+    once: bool,
+) -> StreamingQuery:
+    """Call ``handle`` with the paths and the name of every batch of new files."""
+    files = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
+    files = files.option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "*.csv")
+    names = files.load(folder).select("path")  # contents are not read
+
+    def batch(arrived: DataFrame, number: int) -> None:
+        paths = sorted(row.path for row in arrived.collect())  # max_files paths at most
+        if paths:
+            handle(paths, f"batch-{number}")
 
-def _start(stream: DataFrame, checkpoint: str, write, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = names.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
 def load_arrivals(
     spark: SparkSession,
     folder: str,
-    names: list[str],
     *,
     staging_path: str,
     target_path: str,
@@ -41,26 +62,22 @@ def load_arrivals(
     A batch is parsed once, into its staging folder; the typed rows and the rejects
     are read from there.
     """
-    files = stream_raw_listings(spark, folder, names, multiline=multiline, max_files=max_files)
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch_name = f"batch-{number}"
-        staged = f"{staging_path}/{LOAD_ID}={batch_name}"
-        staging = staging_rows(batch)
+    def load(paths: list[str], name: str) -> None:
+        staged = f"{staging_path}/{LOAD_ID}={name}"
+        staging = staging_rows(read_raw_listings(spark, paths, multiline=multiline))
         staging.write.mode("overwrite").parquet(staged)
-        session = batch.sparkSession
-        rows = session.read.schema(text_schema(staging.columns)).parquet(staged)
-        append_target(typed_listings(rows, lenient_int), target_path, batch_name)
+        rows = spark.read.schema(text_schema(staging.columns)).parquet(staged)
+        append_target(typed_listings(rows, lenient_int), target_path, name)
         rejects = bad_rows(rows, limit=None)
-        rejects.write.mode("overwrite").parquet(f"{reject_path}/{LOAD_ID}={batch_name}")
+        rejects.write.mode("overwrite").parquet(f"{reject_path}/{LOAD_ID}={name}")
 
-    return _start(files, checkpoint, write, once)
+    return _on_arrival(spark, folder, checkpoint, load, max_files, once)
 
 
 def transform_arrivals(
     spark: SparkSession,
     folder: str,
-    names: list[str],
     *,
     output_path: str,
     checkpoint: str,
@@ -70,11 +87,10 @@ def transform_arrivals(
     once: bool = True,
 ) -> StreamingQuery:
     """Clean every new raw file into a CSV folder per batch."""
-    files = stream_raw_listings(spark, folder, names, multiline=multiline, max_files=max_files)
-    cleaned = transform_listings(files, variant)
 
-    def write(batch: DataFrame, number: int) -> None:
-        folder_name = f"{output_path}/{LOAD_ID}=batch-{number}"
-        write_text_csv(listing_text(batch), folder_name, "overwrite")
+    def transform(paths: list[str], name: str) -> None:
+        raw = read_raw_listings(spark, paths, multiline=multiline)
+        cleaned = listing_text(transform_listings(raw, variant))
+        write_text_csv(cleaned, f"{output_path}/{LOAD_ID}={name}", "overwrite")
 
-    return _start(cleaned, checkpoint, write, once)
+    return _on_arrival(spark, folder, checkpoint, transform, max_files, once)

@@ -264,7 +264,6 @@ def test_streamed_loads_equal_one_batch_load(spark, tmp_path):
         streaming.load_arrivals(
             spark,
             str(folder),
-            LISTING_COLUMNS,
             staging_path=paths["staging"],
             target_path=paths["target"],
             reject_path=paths["rejects"],
@@ -291,7 +290,6 @@ def test_streamed_transform_equals_batch(spark, tmp_path):
     streaming.transform_arrivals(
         spark,
         str(tmp_path / "in"),
-        ["id", "price"],
         output_path=str(tmp_path / "out"),
         checkpoint=str(tmp_path / "checkpoint"),
     ).awaitTermination()
@@ -301,6 +299,41 @@ def test_streamed_transform_equals_batch(spark, tmp_path):
     assert {r.price for r in out.collect()} == {f"{i}.0" for i in range(1, 20)}
 
 
+def test_loads_follow_their_events(spark, tmp_path):
+    for name, ids in {"a b.csv": [1, 2], "c.csv": [3], "d.csv": [4]}.items():
+        sources.write_listings_csv(listing_rows(spark, ids), str(tmp_path / "in" / name))
+    events = [
+        '{"s3Bucket": "in", "s3Key": "a+b.csv"}',
+        '{"detail": {"bucket": {"name": "in"}, "object": {"key": "c.csv"}, "pruneTargetTable": false}}',
+        '{"s3Bucket": "in", "s3Key": "d.csv", "target": "SQLite"}',
+        '{"s3Bucket": "in"}',
+    ]
+    df = spark.createDataFrame([(e,) for e in events], "event string").coalesce(1)
+    runs = plans.load_from_events(
+        spark,
+        df,
+        lambda bucket, key: str(tmp_path / bucket / key),
+        staging_path=str(tmp_path / "staging"),
+        target_path=str(tmp_path / "target"),
+        text_path=str(tmp_path / "text"),
+    )
+    assert [r.operation for r in runs] == ["bulk_load", "bulk_load", "text_load"]
+    assert target_ids(spark, str(tmp_path / "target")) == [1, 2, 3]
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "text")).collect()] == ["4"]
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "b.csv").write_text("name,id\nx,1\n")
+    for size in ("128m", "4"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            with pytest.raises(Exception, match="header"):
+                sources.read_raw_listings(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_write_scales(spark, tmp_path):
     rows = "".join(f"{i},https://h/rooms/{i},$5\n" for i in (3, 7))
     (tmp_path / "listings.csv").write_text("id,listing_url,price\n" + rows)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hearthline import functions as fn
 from hearthline import operators as ops
 from hearthline import plans, sources, streaming
-from hearthline.schema import LISTING_COLUMNS, RAW_COLUMNS
+from hearthline.schema import LISTING_COLUMNS
 from hearthline.session import scratch_path, stored, tune
 from hearthline.sources.tables import staging_rows
 
@@ -586,7 +586,6 @@ def arriving_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = streaming.load_arrivals(
         spark,
         f"{path}/in",
-        LISTING_COLUMNS,
         staging_path=f"{path}/staging",
         target_path=f"{path}/target",
         reject_path=f"{path}/rejects",
@@ -604,7 +603,6 @@ def arriving_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = streaming.transform_arrivals(
         spark,
         f"{path}/in",
-        RAW_COLUMNS,
         output_path=f"{path}/out",
         checkpoint=f"{path}/checkpoint",
         variant="base",
