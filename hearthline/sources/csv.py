@@ -91,13 +91,17 @@ def _from_records(spark: SparkSession, path: Paths, names: list[str]) -> DataFra
     """Fields of records put together across splits; every file must have the same header."""
     options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     ddl = ", ".join("`{}` string".format(n.replace("`", "``")) for n in [*names, CORRUPT])
-    fields = F.from_csv(RECORD, ddl, options).alias("_values")
-    rows = csv_records(spark, path).select(*POSITION, HEADER, fields)
-    found = F.array(*(F.coalesce(F.col("_values")[n], F.lit("")) for n in names))
-    first = F.replace(F.array_join(found, "\n"), F.lit("\ufeff"), F.lit(""))
+    header = F.from_csv(F.replace(RECORD, F.lit("\ufeff"), F.lit("")), ddl, options)
+    expected = F.struct(
+        *(F.lit(n or None).cast("string").alias(n) for n in names),
+        F.lit(None).cast("string").alias(CORRUPT),
+    )
     other = F.raise_error(F.concat(F.lit("another header in "), F.col(FILE))).cast("boolean")
-    expected = F.when(first == "\n".join(names), False).otherwise(other)
-    return rows.where(F.when(F.col(HEADER), expected).otherwise(True)).select(*POSITION, "_values.*")
+    is_row = F.when(F.col(HEADER), F.when(header.eqNullSafe(expected), False).otherwise(other))
+    rows = csv_records(spark, path).where(is_row.otherwise(True))
+    # A generator, so that filters on the fields stay above the parser: pushed below a
+    # plain projection they would parse the record once per field they mention.
+    return rows.select(*POSITION, F.inline(F.array(F.from_csv(RECORD, ddl, options))))
 
 
 def _parsed(
@@ -125,9 +129,9 @@ def read_raw_listings(
 ) -> DataFrame:
     """Raw listings by header name.
 
-    ``multiline`` allows line breaks inside quotes. Files up to one split in size are
-    then parsed by one task each; if there are larger ones, records are put together
-    across splits. Without it, files simply split by line.
+    ``multiline`` allows line breaks inside quotes. A file is then parsed by one task,
+    unless there are very large ones: their records are put together across splits.
+    Without it, files simply split by line.
     ``position`` adds the file order (``POSITION``) that sequence numbers tie-break on.
     """
     return _parsed(spark, path, header_names(spark, path), multiline, True, position)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 FILE, BLOCK, ROW = "_file", "_block", "_row"
 RECORD, HEADER = "_record", "_header"
+# Putting records together costs a shuffle of the lines. One task parses this many
+# splits (2 GB by default) in well under a minute, and beyond them the shuffle pays.
+LARGE_FILE_SPLITS = 16
 # A split this large without a record start means a quote was never closed.
 _OPEN_QUOTE_BYTES = 16 * 1024 * 1024
 
@@ -23,9 +26,9 @@ def split_size(spark: SparkSession) -> int:
 
 
 def has_large_file(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether some file is larger than one split; reads file lengths only."""
+    """Whether some file is too large for one task; reads file lengths only."""
     files = spark.read.format("binaryFile").load(path)
-    return not files.where(F.col("length") > split_size(spark)).isEmpty()
+    return not files.where(F.col("length") > LARGE_FILE_SPLITS * split_size(spark)).isEmpty()
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
