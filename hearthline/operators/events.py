@@ -20,7 +20,9 @@ def _is_true(c: Column, default: bool) -> Column:
 
 
 def _read_events(events: DataFrame, column: str, default_bucket: str | None) -> DataFrame:
-    parsed = events.withColumn("_event", F.from_json(column, _EVENT))
+    # A generator, so that the filters below stay above the parser and each event is
+    # parsed once, not once per field.
+    parsed = events.withColumn("_event", F.explode(F.array(F.from_json(column, _EVENT))))
     body = F.when(F.col("_event.detail").isNotNull(), F.col("_event.detail")).otherwise(
         F.struct(*(F.col(f"_event.{name}") for name in _body_names()))
     )

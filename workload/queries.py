@@ -341,8 +341,8 @@ def decode_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epoch seconds to date, time and timestamp, in UTC whatever the session zone."""
-    seconds = F.unix_micros(F.to_timestamp_ltz(F.concat("ts", F.lit("Z")))) / 1000000
+    """Epoch seconds of the session's wall clock, back to date, time and timestamp."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
     rows = table(spark, sf_dir, "events").select("event_id", seconds.alias("t"))
     return rows.select(
         "event_id",
