@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,11 @@ def latest_rows(
 def upsert(
     target: DataFrame, changes: DataFrame, keys: list[str], version: Column | str
 ) -> DataFrame:
-    """The target with the newest change per key put in place of the old row, or added."""
-    latest = latest_rows(changes, keys, version, target.columns)
-    return only_new_rows(target, latest, keys).unionByName(latest)
+    """The target with the newest change per key put in place of the old row, or added.
+
+    A change that lacks a key equals no other row, so every one of them is added.
+    """
+    has_key = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    latest = latest_rows(changes.where(has_key), keys, version, target.columns)
+    keyless = changes.where(~has_key).select(*target.columns)
+    return only_new_rows(target, latest, keys).unionByName(latest).unionByName(keyless)

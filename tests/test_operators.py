@@ -79,6 +79,13 @@ def test_upsert_takes_the_newest_change(spark):
     assert [r.v for r in merged if r.k == 3] == [None]
 
 
+def test_upsert_adds_every_change_without_a_key(spark):
+    target = spark.createDataFrame([(1, "old")], "k int, v string")
+    changes = spark.createDataFrame([(None, "a", 1), (None, "b", 1), (1, "c", 1)], "k int, v string, at int")
+    merged = ops.upsert(target, changes, ["k"], "at").collect()
+    assert sorted((r.k or 0, r.v) for r in merged) == [(0, "a"), (0, "b"), (1, "c")]
+
+
 def test_upsert_with_a_hot_key(spark):
     target = spark.range(10).select(F.col("id").alias("k"), F.lit(-1).cast("bigint").alias("v"))
     hot = spark.range(30000).select(
