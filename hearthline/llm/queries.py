@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing
+from . import chat, exact_dedup, language, minhash, mixing, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), percent=85, words=3)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -23,17 +27,64 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", language.fold("doc_id", 3) == 1)
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, keep=["doc_id", "held_out"])
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(_documents(spark, sf_dir), keep="max")
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as good."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return quality_rules.assess(docs, trusted_ids(spark, sf_dir)).drop("text", "n_grams")
+
+
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op6_source_mix": op6_source_mix,
+    "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE = {
+    "op1_minhash_dedup": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []
+                WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+            FROM worded
+        ), members AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+        ), links AS (
+            SELECT a.doc_id AS u, b.doc_id AS v
+            FROM members AS a JOIN members AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id, doc_id AS component FROM documents
+            UNION
+            SELECT reach.doc_id, v FROM reach JOIN links ON reach.component = u
+        ), named AS (
+            SELECT doc_id, min(component) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM sets JOIN named USING (doc_id)
+    """,
     "op3_chat_formatting": """
         WITH turns AS (
             SELECT DISTINCT conv_id, turn, role, text FROM conversations
