@@ -24,14 +24,26 @@ FIT_PARTS = 1024
 SLACK = 1.5
 UNKNOWN = "und"
 _ROWS = 512  # dense vectors held at once
+# ASCII other than letters reads as a space.
+_LETTERS = np.arange(256, dtype=np.uint8)
+_LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 
 def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()))
 
 
+def worded(texts: Texts) -> Texts:
+    """Letters, with one space for whatever lies between them."""
+    data = _LETTERS[texts.data]
+    kept = np.ones(len(data), bool)
+    kept[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    return Texts(data[kept], np.concatenate([[0], np.cumsum(kept)])[texts.bounds])
+
+
 def gram_counts(texts: Texts) -> np.ndarray:
     """Counts of hashed n-grams, rows by text."""
+    texts = worded(texts)
     data, n = texts.data, len(texts)
     counts = np.zeros(n * DIM, np.int64)
     code = np.zeros(len(data), np.uint64)
