@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, minhash, mixing, quality_rules
+from . import chat, exact_dedup, language, minhash, mixing, quality_rules, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passage_report(_documents(spark, sf_dir))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.mix_plan(docs).select(
@@ -50,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_source_mix": op6_source_mix,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
