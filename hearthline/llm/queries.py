@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, minhash, mixing, quality_rules, suffixes
+from . import chat, exact_dedup, interpolation, language, minhash, mixing, quality_rules, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.passage_report(_documents(spark, sf_dir))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = language.fold("doc_id", 20)
+    role = F.when(part % 5 == 1, 0).when(part == 2, 2).otherwise(1)
+    return interpolation.score_texts(_documents(spark, sf_dir), role)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.mix_plan(docs).select(
@@ -55,6 +61,7 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_lm_scores": op5_lm_scores,
     "op6_source_mix": op6_source_mix,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
