@@ -16,7 +16,7 @@ from .words import LOWER, Texts, chunks, mixed, windows
 
 ROWS = 256  # minima per set
 BITS = 4  # low bits kept of each minimum
-BANDS, BAND_ROWS = 32, 6
+BANDS, BAND_ROWS = 32, 5
 _RANDOM = np.random.default_rng(733)
 _FLIP = _RANDOM.integers(0, 2**32, ROWS, np.uint32)
 _TIMES = _RANDOM.integers(0, 2**31, ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -240,8 +240,8 @@ def near_duplicates(
     low bits estimate the similarity, corrected for chance, and full sets confirm what
     the estimate does not rule out by five standard errors. Clusters are compared
     block by block; a task gets two blocks and returns a spanning forest, never the
-    pairs. With 32 bands of 6 rows a pair at 0.85 shares no bucket with a chance of
-    3e-7 (at 0.80: 6e-5), and clusters join up many pairs that share none.
+    pairs. With 32 bands of 5 rows a pair at 0.80 shares no bucket with a chance of
+    3e-6 (at 0.85: 7e-9), and clusters join up many pairs that share none.
 
     NULL, empty and wordless texts have an empty set and are linked with nothing. A row
     without an id is reported with its set's size and its copies' component. Rows that

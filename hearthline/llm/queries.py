@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, interpolation, language, minhash, mixing, quality_rules, suffixes
+from . import chat, exact_dedup, interpolation, language, minhash, mixing, packing, pieces, quality_rules, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), percent=85, words=3)
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_documents(spark, sf_dir), ["doc_id"])
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -37,6 +41,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("held_out", language.fold("doc_id", 3) == 1)
     model = language.fit(docs.where(~F.col("held_out")))
@@ -59,10 +67,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_sentence_pieces": op2_sentence_pieces,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_lm_scores": op5_lm_scores,
     "op6_source_mix": op6_source_mix,
+    "op7_packed_ids": op7_packed_ids,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
