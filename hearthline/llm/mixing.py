@@ -31,7 +31,8 @@ def source_targets(sizes: DataFrame, source_col: str = "source") -> DataFrame:
     Sources in code point order, NULL last, weigh ``WEIGHTS`` in turn. A target is
     ``min(cap, level * weight)``: the level that uses up the whole demand is what is
     left when capped sources' excess is reshared by weight until none is above.
-    Sorted by cap / weight the capped sources come first, so running sums find it.
+    Sorted by cap / weight the capped sources come first, so running sums find it: it is
+    the level at the first source that stays within its cap; after it levels only fall.
     """
     every = Window.orderBy(F.col(source_col).isNull(), source_col)
     turn = F.row_number().over(every) - 1
@@ -51,7 +52,7 @@ def source_targets(sizes: DataFrame, source_col: str = "source") -> DataFrame:
     level = (demand - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward)
     levels = caps.withColumn("level", level)
     fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    common = F.min(fits).over(whole)
+    common = F.max(fits).over(whole)
     target = F.least(F.col("cap").cast("double"), F.coalesce(common, F.lit(0.0)) * F.col("weight"))
     return levels.select(source_col, "source_size", "turn", target.alias("target"))
 

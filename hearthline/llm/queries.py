@@ -154,7 +154,7 @@ ORACLE = {
         ), targets AS (
             SELECT source, source_size,
                    least(CAST(cap AS DOUBLE),
-                         coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER (), 0) * weight) AS target
+                         coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER (), 0) * weight) AS target
             FROM levels
         ), placed AS (
             SELECT d.doc_id, d.size, t.source_size, t.target,
