@@ -18,6 +18,10 @@ SCHEDULES = (
 )
 # Digits of the order key that split a source; a source of 10^10 rows gives parts of 10^6.
 SPLIT_DIGITS = 3
+_TAKEN = {
+    "size", "source_size", "target", "before", "copies", "epoch", "position", "__order", "__part", "__in_part",
+    "__source", "__its_part", "__offset", "__of", "__turn", "__epochs",
+}
 
 
 def n_words(text: Column) -> Column:
@@ -71,12 +75,13 @@ def mix_plan(
     order key, and within a part. A hot source is thereby spread over 16^3 parts; only
     part totals and sources are put in one order.
 
-    NULL texts and texts without words have size 0. A NULL source is a source. Rows that
-    repeat an id are taken one by one, in the order of size. Columns named like the
-    helper columns (``__...``) are not allowed in ``docs``.
+    NULL texts and texts without words have size 0 and are never taken. A NULL source is
+    a source. Rows that repeat an id are taken one by one, in the order of size. Columns
+    of ``docs`` named like a result or helper column give way to it.
     """
+    own = [c for c in docs.columns if c in (id_col, text_col, source_col) or c.lower() not in _TAKEN]
     keyed = (
-        docs.withColumn("size", n_words(F.col(text_col)))
+        docs.select(*own).withColumn("size", n_words(F.col(text_col)))
         .withColumn("__order", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
         .withColumn("__part", F.substring("__order", 1, SPLIT_DIGITS))
     )
