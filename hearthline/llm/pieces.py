@@ -88,23 +88,27 @@ def n_best(ending: list[list[tuple[int, float, tuple[int, ...]]]], n: int) -> li
     """The ``n`` best segmentations, best first, by A* from the end of the lattice.
 
     The forward score of a place is exactly what the rest of a path can still reach, so
-    paths leave the queue in the order of their scores. Equal scores go by fewer, then
-    smaller ids.
+    paths leave the queue in the order of their scores. Of equal ones (to six digits)
+    the one nearer to the start goes on first, so that ties do not widen the search.
     """
     best = forward(ending)
-    # (-score of the whole path, ids from here to the end, place, score from here to the end)
-    queue: list[tuple[float, int, tuple[int, ...], int, float]] = [(-best[-1], 0, (), len(ending) - 1, 0.0)]
+    order = itertools.count()
+    # (-score of the whole path, place, order, score from here to the end, (ids, rest of the path))
+    queue: list[tuple] = [(-best[-1], len(ending) - 1, 0, 0.0, None)]
     found: list[Path] = []
     while queue and len(found) < n:
-        _, _, ids, place, done = heapq.heappop(queue)
+        _, place, _, done, path = heapq.heappop(queue)
         if place == 0:
-            found.append((done, ids))
+            ids: list[int] = []
+            while path:
+                own, path = path
+                ids += own
+            found.append((done, tuple(ids)))
             continue
         for start, score, own in ending[place]:
             if best[start] > -math.inf:
-                path = own + ids
                 whole = done + score
-                heapq.heappush(queue, (-(whole + best[start]), len(path), path, start, whole))
+                heapq.heappush(queue, (-round(whole + best[start], 6), start, next(order), whole, (own, path)))
     return found
 
 
