@@ -11,6 +11,7 @@ import heapq
 import itertools
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"  # fixed by the format: stands for a space
 N_BEST = 3
-CACHED = 300_000  # words whose best segmentation a task remembers
+CACHED = 600_000  # words whose best segmentation a task remembers
 _ZIPF = 2.7
 # A byte piece costs so much more than the rarest normal piece: fallback is the last resort.
 _BYTE_PENALTY = 10.0
@@ -54,6 +55,13 @@ class Vocabulary:
                 value = int(sp.id_to_piece(i)[3:5], 16)
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
         self.longest = max(map(len, self.pieces))
+        # Pieces character by character; "" holds the score and ids of a piece that ends there.
+        self.tree: dict = {}
+        for piece, (score, i) in self.pieces.items():
+            node = self.tree
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[""] = (score, (i,))
         # Where no piece goes on from a word into the next space, words are independent.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
 
@@ -84,6 +92,46 @@ def forward(ending: list[list[tuple[int, float, tuple[int, ...]]]]) -> list[floa
     return best
 
 
+def best_two(vocabulary: Vocabulary, word: str) -> tuple[list[int], float, float]:
+    """Ids and score of the best segmentation, and what the second best loses.
+
+    One forward pass that carries two scores per place; of equal edges the one from the
+    smallest start counts, as in ``n_best``.
+    """
+    n, none = len(word), -math.inf
+    best, second, back = [0.0] + [none] * n, [none] * (n + 1), [(0, ())] * (n + 1)
+    for start in range(n):
+        first, other = best[start], second[start]
+        node, end = vocabulary.tree, start
+        for character in word[start:]:
+            node = node.get(character)
+            end += 1
+            if node is None or "" not in node:
+                if end > start + 1:
+                    if node is None:
+                        break
+                    continue
+                own = tuple([vocabulary.byte_ids[b] for b in character.encode("utf-8", "replace")])
+                cost = vocabulary.byte_score * len(own)
+            else:
+                cost, own = node[""]
+            score = first + cost
+            if score > best[end]:
+                rest, at_most = other + cost, best[end]
+                second[end] = rest if rest > at_most else at_most
+                best[end], back[end] = score, (start, own)
+            elif score > second[end]:
+                second[end] = score
+            if node is None:
+                break
+    ids: list[int] = []
+    place = n
+    while place:
+        place, own = back[place]
+        ids[:0] = own
+    return ids, best[n], best[n] - second[n]
+
+
 def n_best(ending: list[list[tuple[int, float, tuple[int, ...]]]], n: int) -> list[Path]:
     """The ``n`` best segmentations, best first, by A* from the end of the lattice.
 
@@ -117,8 +165,6 @@ def words_of(text: str, by_word: bool = True) -> list[tuple[str, frozenset[int]]
     if not text:
         return []
     marked = SPACE + text.replace(" ", SPACE)
-    if SPACE not in text:
-        return [(w, frozenset()) for w in (_WORD.findall(marked) if by_word else [marked])]
     places = {m.start() + 1 for m in re.finditer(SPACE, text)}
     spans = [m.span() for m in _WORD.finditer(marked)] if by_word else [(0, len(marked))]
     return [(marked[a:b], frozenset(p - a for p in range(a, b) if p in places)) for a, b in spans]
@@ -129,19 +175,36 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST):
         self.vocabulary, self.n = vocabulary, n
-        self.known: dict = {}
-
-    def word(self, key: tuple[str, frozenset[int]]) -> tuple[bytes, float, float]:
-        """Ids as int32 bytes, score, and what the second best segmentation loses."""
-        got = self.known.get(key)
-        if got is None:
-            paths = n_best(self.vocabulary.edges(*key), 2 if self.n > 1 else 1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict = {}  # of a word in the lists: ids as int32 bytes, score, loss of the second best
+        self.ids: list[bytes] = []
+        self.scores, self.losses = array("d"), array("d")
+        self.others: dict = {}
+
+    def learn(self, word) -> int:
+        """Place of a new word; a word with literal marks is a pair of text and places."""
+        if isinstance(word, str):
+            ids, score, loss = best_two(self.vocabulary, word)
+        else:
+            paths = n_best(self.vocabulary.edges(*word), 2)
             score, ids = paths[0]
             loss = score - paths[1][0] if len(paths) > 1 else math.inf
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            got = self.known[key] = (np.array(ids, np.int32).tobytes(), score, loss)
-        return got
+        self.ids.append(array("i", ids).tobytes())
+        self.scores.append(score)
+        self.losses.append(loss)
+        place = self.place[word] = len(self.ids) - 1
+        return place
+
+    def options(self, word, place: int) -> list[Path]:
+        """The ``n`` best segmentations of a word, the one in use first."""
+        if place not in self.others:
+            used = tuple(np.frombuffer(self.ids[place], np.int32).tolist())
+            edges = self.vocabulary.edges(*((word,) if isinstance(word, str) else word))
+            rest = [p for p in n_best(edges, self.n) if p[1] != used]
+            self.others[place] = [(self.scores[place], used), *rest][: self.n]
+        return self.others[place]
 
     def text(self, text: str) -> tuple[bytes, list[float], list[list[tuple[int, tuple[int, ...]]]]]:
         """Ids of the best segmentation; scores of the N best; the words the others change.
@@ -150,19 +213,30 @@ class Encoder:
         words. The ``n - 1`` words that lose least suffice: changing a further one loses
         at least as much as ``n - 1`` single changes do.
         """
-        words = words_of(text, self.vocabulary.by_word)
-        found = [self.word(w) for w in words]
-        ids = b"".join([f[0] for f in found])
-        score = math.fsum([f[1] for f in found])
-        losses = [(f[2], i) for i, f in enumerate(found) if f[2] < math.inf]
-        picked = sorted(i for _, i in heapq.nsmallest(self.n - 1, losses))
-        options = [n_best(self.vocabulary.edges(*words[i]), self.n) for i in picked]
+        if not text:
+            return b"", [], []
+        if len(self.place) > CACHED:
+            self.forget()
+        if self.vocabulary.by_word and SPACE not in text:
+            words = _WORD.findall(SPACE + text.replace(" ", SPACE))
+        else:
+            words = [w if w[1] else w[0] for w in words_of(text, self.vocabulary.by_word)]
+        get, learn = self.place.get, self.learn
+        places = [learn(w) if (p := get(w)) is None else p for w in words]
+        ids = b"".join([self.ids[p] for p in places])
+        score = math.fsum([self.scores[p] for p in places])
+        losses = np.array([self.losses[p] for p in places])
+        few = min(self.n - 1, len(losses))
+        near = losses <= np.partition(losses, few - 1)[few - 1] if few else losses < 0
+        picked = np.flatnonzero(near & (losses < math.inf)).tolist()
+        picked = sorted(sorted(picked, key=losses.__getitem__)[:few])
+        options = [self.options(words[i], places[i]) for i in picked]
         ways = []
         for way in itertools.product(*(range(len(o)) for o in options)):
             lost = math.fsum(o[0][0] - o[k][0] for o, k in zip(options, way))
             ways.append((lost, [(i, o[k][1]) for i, o, k in zip(picked, options, way) if k]))
         ways.sort(key=lambda w: (w[0], len(w[1]), w[1]))
-        ways = ways[: self.n] if words else []
+        ways = ways[: self.n]
         return ids, [score - lost for lost, _ in ways], [changed for _, changed in ways[1:]]
 
 

@@ -31,13 +31,16 @@ def vocabulary():
 
 @needs_model
 def test_n_best_of_words(vocabulary):
-    for word in ("▁hello", "▁them", "▁▁a", "é☃x", "aaaaaa", "▁tion"):
+    for word in ("▁hello", "▁them", "▁▁a", "é☃x", "aaaaaa", "▁tion", "☃thé☃☃re"):
         ending = vocabulary.edges(word)
         expected = every_path(ending)
         for n in (1, 4, 50):
             got = pieces.n_best(ending, n)
             assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in expected[:n]]
             assert len({p for _, p in got}) == len(got) == min(n, len(expected))
+        ids, score, loss = pieces.best_two(vocabulary, word)
+        assert np.isclose(score, expected[0][0]) and np.isclose(loss, [expected[0][0] - s for s, _ in [*expected, (-np.inf, ())][1:2]][0])
+        assert tuple(ids) in {p for s, p in expected if np.isclose(s, score)}
 
 
 @needs_model
@@ -51,7 +54,7 @@ def test_n_best_of_texts(vocabulary):
             expected = every_path(vocabulary.edges("▁" + text.replace(" ", "▁")))[:n]
             assert np.allclose(scores, [s for s, _ in expected])
             assert len(others) == len(scores) - 1
-            words = [list(np.frombuffer(encoder.word(w)[0], np.int32)) for w in pieces.words_of(text)]
+            words = [list(np.frombuffer(encoder.ids[encoder.place[w]], np.int32)) for w, _ in pieces.words_of(text)]
             best = np.frombuffer(ids, np.int32).tolist()
             assert [i for w in words for i in w] == best
             for way in others:
