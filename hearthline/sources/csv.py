@@ -1,8 +1,7 @@
 """CSV files in and out.
 
 Readers return all-text columns in which an empty field is ``''`` and only a field
-that a short record lacks is NULL. In files with CR LF line ends a line break inside
-quotes reads as LF.
+that a short record lacks is NULL. A line break inside quotes reads as LF.
 """
 
 from __future__ import annotations
@@ -14,15 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import float_text
-from ..schema import LISTING_COLUMNS, SEQUENCE_COLUMN, text_schema
-from ..session import spread
-from .csv_records import BLOCK, FILE, HEADER, RECORD, ROW, csv_records, has_large_file
+from ..schema import LISTING_COLUMNS, SEQUENCE_COLUMN
+from .csv_records import BLOCK, FILE, HEADER, RECORD, ROW, csv_records, fields
 
-CORRUPT = "_corrupt"
 POSITION = [FILE, BLOCK, ROW]
-_FIELD_COUNT = "_fields"
-
-
 Paths = str | list[str]
 
 
@@ -45,65 +39,6 @@ def sanitized_names(names: list[str]) -> list[str]:
     return clean
 
 
-def _csv_options(reader, multiline: bool):
-    return (
-        reader.option("header", True)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("enforceSchema", False)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-    )
-
-
-def _file_position() -> list[Column]:
-    return [
-        F.col("_metadata.file_path").alias(POSITION[0]),
-        F.col("_metadata.file_block_start").alias(POSITION[1]),
-        F.monotonically_increasing_id().alias(POSITION[2]),
-    ]
-
-
-def _complete(
-    df: DataFrame, names: list[str], drop_bad_bytes: bool, position: list[Column]
-) -> DataFrame:
-    """Tell empty fields from missing ones and drop undecodable bytes.
-
-    Spark gives NULL for both; a short record also has its raw text in the corrupt
-    column, and the separators outside quotes say how many fields it has.
-    """
-    bare = F.regexp_replace(CORRUPT, '"[^"]*"', "")
-    present = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    counted = df.withColumn(
-        _FIELD_COUNT, F.when(F.col(CORRUPT).isNull(), F.lit(len(names))).otherwise(present)
-    )
-
-    def field(i: int, name: str) -> Column:
-        text = F.coalesce(F.col(f"`{name}`"), F.lit(""))
-        if drop_bad_bytes:
-            text = F.replace(text, F.lit("\ufffd"), F.lit(""))
-        return F.when(F.col(_FIELD_COUNT) > i, text).alias(name)
-
-    return counted.select(*(field(i, n) for i, n in enumerate(names)), *position)
-
-
-def _from_records(spark: SparkSession, path: Paths, names: list[str]) -> DataFrame:
-    """Fields of records put together across splits; every file must have the same header."""
-    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    ddl = ", ".join("`{}` string".format(n.replace("`", "``")) for n in [*names, CORRUPT])
-    header = F.from_csv(F.replace(RECORD, F.lit("\ufeff"), F.lit("")), ddl, options)
-    expected = F.struct(
-        *(F.lit(n or None).cast("string").alias(n) for n in names),
-        F.lit(None).cast("string").alias(CORRUPT),
-    )
-    other = F.raise_error(F.concat(F.lit("another header in "), F.col(FILE))).cast("boolean")
-    is_row = F.when(F.col(HEADER), F.when(header.eqNullSafe(expected), False).otherwise(other))
-    rows = csv_records(spark, path).where(is_row.otherwise(True))
-    # A generator, so that filters on the fields stay above the parser: pushed below a
-    # plain projection they would parse the record once per field they mention.
-    return rows.select(*POSITION, F.inline(F.array(F.from_csv(RECORD, ddl, options))))
-
-
 def _parsed(
     spark: SparkSession,
     path: Paths,
@@ -112,12 +47,21 @@ def _parsed(
     drop_bad_bytes: bool,
     position: bool,
 ) -> DataFrame:
-    if multiline and has_large_file(spark, path):
-        places = [F.col(p) for p in POSITION] if position else []
-        return _complete(_from_records(spark, path, names), names, drop_bad_bytes, places)
-    reader = _csv_options(spark.read.schema(text_schema([*names, CORRUPT])), multiline)
-    places = _file_position() if position else []
-    return spread(_complete(reader.csv(path), names, drop_bad_bytes, places))
+    """Fields by place; a field that a short record lacks is NULL, further ones are left out."""
+
+    def field(i: int, name: str) -> Column:
+        text = F.get("_fields", F.lit(i))
+        return (F.replace(text, F.lit("\ufffd"), F.lit("")) if drop_bad_bytes else text).alias(name)
+
+    header = F.transform(fields(F.replace(RECORD, F.lit("\ufeff"), F.lit(""))), F.lower)
+    expected = F.array(*(F.lit(n.lower()) for n in names))
+    other = F.raise_error(F.concat(F.lit("another header in "), F.col(FILE))).cast("boolean")
+    is_row = F.when(F.col(HEADER), F.when(header == expected, False).otherwise(other)).otherwise(True)
+    # A generator, so that filters on the fields stay above the parser: pushed below a
+    # plain projection they would parse the record once per field they mention.
+    rows = csv_records(spark, path, multiline).where(is_row)
+    rows = rows.select(*POSITION, F.explode(F.array(fields(F.col(RECORD)))).alias("_fields"))
+    return rows.select(*(field(i, n) for i, n in enumerate(names)), *(POSITION if position else []))
 
 
 def read_raw_listings(
@@ -129,9 +73,8 @@ def read_raw_listings(
 ) -> DataFrame:
     """Raw listings by header name.
 
-    ``multiline`` allows line breaks inside quotes. A file is then parsed by one task,
-    unless there are very large ones: their records are put together across splits.
-    Without it, files simply split by line.
+    ``multiline`` allows line breaks inside quotes; records are put together across
+    splits. Without it every line is a record, and the lines are not shuffled.
     ``position`` adds the file order (``POSITION``) that sequence numbers tie-break on.
     """
     return _parsed(spark, path, header_names(spark, path), multiline, True, position)
@@ -168,16 +111,13 @@ def write_text_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     )
 
 
-def write_listings_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
-    """Listings as CSV in the fixed column order, sequence number first if present.
-
-    ``single_file`` pulls everything through one task; it is for small exports.
-    """
+def write_listings_csv(df: DataFrame, path: str) -> None:
+    """Listings as CSV in the fixed column order, sequence number first if present."""
     order = [c for c in [SEQUENCE_COLUMN, *LISTING_COLUMNS] if c in df.columns]
-    text = listing_text(df.select(*order))
-    write_text_csv(text.coalesce(1) if single_file else text, path)
+    write_text_csv(listing_text(df.select(*order)), path)
 
 
+# The patterns of output names.
 def output_name(variant: str, now: datetime, source: str = "", architecture: str = "") -> str:
     """Timestamped name of a transform result."""
     stamp = now.strftime("%Y%m%d_%H%M%S")

@@ -1,8 +1,10 @@
-"""Records of CSV files whose quoted fields hold line breaks, read in splits.
+"""Records and fields of CSV files whose quoted fields hold line breaks, read in splits.
 
-A line starts a record when an even number of quotes precedes it in its file. Each
-split counts its own quotes, one small table of splits carries the counts over, and
-so a file of any size is read by as many tasks as it has splits.
+The rules are those of Python's ``csv`` module over text with universal line ends: a
+quote opens a field only where the field begins, and any other one outside quotes is a
+plain character. A line is a function from "entered inside quotes" to "left inside
+quotes"; functions of lines compose to those of splits, and the splits of a file tell
+each other where they begin. No rule depends on the length of a file or of a split.
 """
 
 from __future__ import annotations
@@ -12,102 +14,160 @@ from pyspark.sql import functions as F
 
 FILE, BLOCK, ROW = "_file", "_block", "_row"
 RECORD, HEADER = "_record", "_header"
-# Putting records together costs a shuffle of the lines. One task parses this many
-# splits (2 GB by default) in well under a minute, and beyond them the shuffle pays.
-LARGE_FILE_SPLITS = 16
-# A split this large without a record start means a quote was never closed.
-_OPEN_QUOTE_BYTES = 16 * 1024 * 1024
+_START, _PLAIN, _QUOTED, _CLOSED = 3, 0, 1, 2  # what a quote is met in
+_MARK = "\x01"
+
+
+def _after_quote(state: Column, before: Column) -> Column:
+    """State behind a quote, given the state and the text since the quote before it."""
+    opens = before.endswith(",") | ((state == _START) & (before == ""))
+    return (
+        F.when(state == _QUOTED, F.lit(_CLOSED))
+        .when((state == _CLOSED) & (before == ""), F.lit(_QUOTED))
+        .when(opens, F.lit(_QUOTED))
+        .otherwise(F.lit(_PLAIN))
+    )
+
+
+def _leaves_inside(line: Column, entered_inside: bool) -> Column:
+    parts = F.split(line, '"', -1)
+    quotes = F.slice(parts, 1, F.size(parts) - 1)
+    end = F.aggregate(quotes, F.lit(_QUOTED if entered_inside else _START), _after_quote)
+    return (end == _QUOTED).cast("int")
 
 
-def split_size(spark: SparkSession) -> int:
-    """Bytes one scan task takes at most."""
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
+def fields(record: Column) -> Column:
+    """Fields of a record as an array of text."""
+    parts = F.split(F.replace(record, F.lit(_MARK), F.lit(_MARK + "0")), '"', -1)
 
+    def taken(acc: Column, part: Column) -> Column:
+        ends = F.replace(part, F.lit(","), F.lit(_MARK + "1"))
+        return F.concat(acc["text"], F.when(acc["state"] == _QUOTED, part).otherwise(ends))
 
-def has_large_file(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether some file is too large for one task; reads file lengths only."""
-    files = spark.read.format("binaryFile").load(path)
-    return not files.where(F.col("length") > LARGE_FILE_SPLITS * split_size(spark)).isEmpty()
+    def step(acc: Column, part: Column) -> Column:
+        state = _after_quote(acc["state"], part)
+        kept = (state == _PLAIN) | ((acc["state"] == _CLOSED) & (part == ""))
+        text = F.concat(taken(acc, part), F.when(kept, F.lit('"')).otherwise(F.lit("")))
+        return F.struct(state.alias("state"), text.alias("text"))
+
+    begin = F.struct(F.lit(_START).alias("state"), F.lit("").alias("text"))
+    quotes = F.slice(parts, 1, F.size(parts) - 1)
+    whole = F.aggregate(quotes, begin, step, lambda acc: taken(acc, F.element_at(parts, -1)))
+    marked = F.transform(F.split(whole, _MARK + "1", -1), lambda f: F.replace(f, F.lit(_MARK + "0"), F.lit(_MARK)))
+    return F.when(F.instr(record, '"') == 0, F.split(record, ",", -1)).otherwise(marked)
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines with their place, and per split the running counts both entry states need."""
-    raw = spark.read.option("lineSep", "\n").text(path)
-    bare = F.replace("value", F.lit('"'), F.lit(""))
-    placed = raw.select(
-        F.col("value").alias("_line"),
+    """Lines with their place. Files may end lines with LF, CR LF or CR."""
+    return spark.read.text(path).select(
+        F.make_valid_utf8("value").alias("_line"),
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(ROW),
-        ((F.octet_length("value") - F.octet_length(bare)) % 2).alias("_odd"),
-    )
-    here = Window.partitionBy(FILE, BLOCK).orderBy(ROW)
-    earlier = here.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = F.coalesce(F.sum("_odd").over(earlier), F.lit(0)) % 2
-    return placed.withColumn("_inside", inside).withColumns(
-        {
-            "_outside_so_far": F.sum(1 - F.col("_inside")).over(so_far),
-            "_inside_so_far": F.sum("_inside").over(so_far),
-        }
     )
 
 
-def _blocks(lines: DataFrame) -> DataFrame:
-    """Per split: whether it is entered inside quotes, and which record it goes on with."""
-    counted = lines.groupBy(FILE, BLOCK).agg(
-        (F.sum("_odd") % 2).alias("_flips"),
-        F.sum(1 - F.col("_inside")).alias("_if_outside"),
-        F.sum("_inside").alias("_if_inside"),
-        F.sum(F.octet_length("_line")).alias("_bytes"),
+def _composed(changes: Column) -> Column:
+    """One function [left if entered outside, left if entered inside] from those of lines in order."""
+    same = F.array(F.lit(0), F.lit(1))
+    return F.aggregate(changes, same, lambda f, line: F.transform(f, lambda s: F.get(line["to"], s)))
+
+
+def _splits(lines: DataFrame) -> DataFrame:
+    """Per split: state it is entered in, last row of the record it goes on with and the
+    split that record began in, and the row of the file's first record.
+
+    Lines that change a state are few; their list is no longer than the split.
+    """
+    to = F.array(_leaves_inside(F.col("_line"), False), _leaves_inside(F.col("_line"), True))
+    change = F.when(
+        (F.instr("_line", '"') > 0) & (to != F.array(F.lit(0), F.lit(1))), F.struct(F.col(ROW).alias("row"), to.alias("to"))
     )
-    # One row per split, so a window per file is small for any file.
-    earlier = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    entered = counted.withColumn(
-        "_entry", F.coalesce(F.sum("_flips").over(earlier), F.lit(0)) % 2
-    ).withColumn("_starts", F.when(F.col("_entry") == 0, F.col("_if_outside")).otherwise(F.col("_if_inside")))
-    never_closed = (F.col("_starts") == 0) & (F.col("_bytes") > _OPEN_QUOTE_BYTES)
-    last_record = F.when(
-        never_closed, F.raise_error(F.concat(F.lit("a quote is never closed in "), F.col(FILE)))
-    ).when(F.col("_starts") > 0, F.struct(F.col(BLOCK).alias("block"), F.col("_starts").alias("record")))
-    return entered.select(
-        FILE, BLOCK, "_entry", F.last(last_record, ignorenulls=True).over(earlier).alias("_owner")
+    found = lines.groupBy(FILE, BLOCK).agg(
+        F.sort_array(F.collect_list(change)).alias("changes"),
+        F.max(ROW).alias("last"),
+        F.min(F.when(F.col("_line") != "", F.col(ROW))).alias("first"),
+    )
+    found = found.withColumn("to", _composed(F.col("changes")))
+    closing = F.filter("changes", lambda c: F.get(c["to"], F.lit(1)) == 0)
+    found = found.withColumn("closes", F.get(closing, F.lit(0))["row"])
+
+    order = Window.partitionBy(FILE).orderBy(BLOCK)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outside, inside = F.get("to", F.lit(0)), F.get("to", F.lit(1))
+    found = found.withColumn("flips", F.sum((outside > inside).cast("int")).over(so_far))
+    fixed = F.when(outside == inside, F.struct(outside.alias("state"), F.col("flips").alias("flips")))
+    found = found.withColumn("fixed", F.last(fixed, ignorenulls=True).over(earlier))
+    flipped = F.coalesce(F.max("flips").over(earlier), F.lit(0)) - F.coalesce(F.col("fixed.flips"), F.lit(0))
+    found = found.withColumn("entry", (F.coalesce(F.col("fixed.state"), F.lit(0)) + flipped) % 2)
+    begins = (F.col("entry") == 0) | (F.col("closes") < F.col("last"))
+    found = found.withColumn("owner", F.last(F.when(begins, F.col(BLOCK)), ignorenulls=True).over(earlier))
+    whole_file = Window.partitionBy(FILE)
+    left = F.max_by(F.get("to", F.col("entry").cast("int")), F.col(BLOCK)).over(whole_file)
+    header = F.min(F.when(F.col("first").isNotNull(), F.struct(BLOCK, "first"))).over(whole_file)
+    unclosed = F.raise_error(F.concat(F.lit("a quote is never closed in "), F.col(FILE))).cast("int")
+    return found.select(
+        FILE,
+        BLOCK,
+        F.when(left == 1, unclosed).otherwise(F.col("entry")).alias("_entry"),
+        F.coalesce("closes", "last").alias("_until"),
+        F.col("owner").alias("_owner"),
+        F.when(header[BLOCK] == F.col(BLOCK), header["first"]).alias("_head"),
     )
 
 
-def _joined(place: str, text: str) -> Column:
-    """Texts of a group in order of ``place``, one per line."""
-    parts = F.sort_array(F.collect_list(F.struct(place, text)))
-    return F.array_join(F.transform(parts, lambda p: p[text]), "\n")
-
+def csv_records(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
+    """One row per record that is not blank: file, split, number, text, and if it is the header.
 
-def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per record that is not blank: file, split, number, text, and if it is the header."""
+    A record belongs to the split it begins in: the lines that end it in later splits are
+    dealt there, and nothing else leaves its split. The table of splits, a row per split,
+    is broadcast. Line breaks inside quotes read as LF. A file that ends inside quotes is
+    an error. Without ``multiline`` every line is a record and the text is not shuffled.
+    """
     lines = _lines(spark, path)
-    numbered = lines.join(_blocks(lines), [FILE, BLOCK]).withColumn(
-        RECORD,
-        F.when(F.col("_entry") == 0, F.col("_outside_so_far")).otherwise(F.col("_inside_so_far")),
+    if not multiline:
+        heads = lines.where("_line <> ''").groupBy(FILE).agg(F.min(F.struct(BLOCK, ROW)).alias("_first"))
+        is_head = F.col("_first") == F.struct(BLOCK, ROW)
+        rows = lines.where("_line <> ''").join(F.broadcast(heads), FILE)
+        return rows.select(FILE, BLOCK, ROW, F.col("_line").alias(RECORD), is_head.alias(HEADER))
+    placed = lines.join(F.broadcast(_splits(lines)), [FILE, BLOCK])
+    goes_on = (F.col("_entry") == 1) & (F.col(ROW) <= F.col("_until"))
+    placed = placed.select(
+        FILE,
+        F.when(goes_on, F.col("_owner")).otherwise(F.col(BLOCK)).alias("_home"),
+        BLOCK,
+        ROW,
+        "_line",
+        F.coalesce(F.col(ROW) == F.col("_head"), F.lit(False)).alias(HEADER),
     )
-    pieces = numbered.groupBy(FILE, BLOCK, RECORD).agg(
-        _joined(ROW, "_line").alias("_text"), F.first("_owner").alias("_owner")
+    # Every home begins outside quotes, so its lines tell the state from there.
+    order = Window.partitionBy(FILE, "_home").orderBy(BLOCK, ROW)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outside, inside = (_leaves_inside(F.col("_line"), e) for e in (False, True))
+    quoted = F.instr("_line", '"') > 0
+    placed = placed.withColumns(
+        {"_o": F.when(quoted, outside).otherwise(0), "_i": F.when(quoted, inside).otherwise(1)}
+    ).withColumn("_flips", F.sum((F.col("_o") > F.col("_i")).cast("int")).over(so_far))
+    fixed = F.when(F.col("_o") == F.col("_i"), F.struct(F.col("_o").alias("state"), F.col("_flips").alias("flips")))
+    placed = placed.withColumns(
+        {
+            "_fixed": F.last(fixed, ignorenulls=True).over(earlier),
+            "_before": F.coalesce(F.max("_flips").over(earlier), F.lit(0)),
+        }
     )
-    # Lines before the first start of a split end the last record of an earlier one.
-    tails = (
-        pieces.where(F.col(RECORD) == 0)
-        .select(FILE, F.col(BLOCK).alias("_at"), "_text", "_owner.*")
-        .groupBy(F.col(FILE), F.col("block").alias(BLOCK), F.col("record").alias("_last"))
-        .agg(_joined("_at", "_text").alias("_tail"))
+    flipped = F.col("_before") - F.coalesce(F.col("_fixed.flips"), F.lit(0))
+    begins = (F.coalesce(F.col("_fixed.state"), F.lit(0)) + flipped) % 2 == 0
+    placed = placed.where(~begins | (F.col("_line") != "")).withColumn(
+        "_number", F.sum(begins.cast("long")).over(so_far)
     )
-    heads = pieces.where(F.col(RECORD) > 0).join(tails, [FILE, BLOCK], "left")
-    text = F.when(
-        F.col(RECORD) == F.col("_last"), F.concat_ws("\n", "_text", "_tail")
-    ).otherwise(F.col("_text"))
-    unix = F.replace(F.regexp_replace(text, r"\r\z", ""), F.lit("\r\n"), F.lit("\n"))
-    return heads.select(
+    parts = F.sort_array(F.collect_list(F.struct(BLOCK, ROW, "_line")))
+    records = placed.groupBy(FILE, "_home", "_number").agg(parts.alias("_parts"), F.max(HEADER).alias(HEADER))
+    return records.select(
         FILE,
-        BLOCK,
-        F.col(RECORD).alias(ROW),
-        F.when(text.endswith("\r"), unix).otherwise(text).alias(RECORD),
-        ((F.col(BLOCK) == 0) & (F.col(RECORD) == 1)).alias(HEADER),
-    ).where(F.col(RECORD) != "")
+        F.col("_home").alias(BLOCK),
+        F.col("_number").alias(ROW),
+        F.array_join(F.transform("_parts", lambda p: p["_line"]), "\n").alias(RECORD),
+        HEADER,
+    )

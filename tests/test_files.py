@@ -64,31 +64,69 @@ def test_reader_agrees_with_the_csv_module(spark, awkward):
     assert [tuple(r[n] for n in names) for r in rows] == [tuple(e[n] for n in names) for e in expected]
 
 
-@pytest.mark.parametrize("size", [7, 16, 40, 100])
-def test_records_across_splits(spark, tmp_path, size):
-    """Files read in splits of any size give the same rows as whole files."""
-    random.seed(size)
-    pieces = ["plain", "", '"a, b"', '"x ""y"" z"', '"line\r\nbreak"', '"\r\n\r\n"', '"long ' + "w " * 30 + '"', "\\"]
-    for name in ("one.csv", "two.csv"):
-        rows = [f"{i},{random.choice(pieces)},{random.choice(pieces)}" for i in range(60)]
-        rows += ["60", '"61","q"']
-        (tmp_path / name).write_bytes(("id,v,z\r\n" + "\r\n".join(rows) + "\r\n").encode())
-    whole = sources.read_raw_listings(spark, str(tmp_path), position=True)
-    expected = [tuple(r)[:3] for r in whole.orderBy("_file", "_block", "_row").collect()]
+def python_rows(data):
+    """What Python's csv makes of the bytes of a file, read as text with universal line ends."""
+    text = data.decode("utf-8", errors="ignore").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    return [r for r in csv.reader(text.splitlines(keepends=True)) if r][1:]
+
+
+def messy(seed, end, many=50):
+    rng = random.Random(seed)
+    pieces = [
+        "plain", "", '"a, b"', '"x ""y"" z"', f'"line{end}break"', f'"{end}{end}"', '"long ' + "w " * 30 + '"', "\\",
+        '5" wide', 'x"', 'a"b"c', '"closed"after', '"closed" "again"', 'x""', '""', '"""q"""', "\x01", "\x010,\x011", "\u00e9",
+    ]
+    rows = [f"{i},{rng.choice(pieces)},{rng.choice(pieces)}" for i in range(many)]
+    rows += ["60", '"61","q"', "", "62,a,b,extra,more", "63,,"]
+    rng.shuffle(rows)
+    return rows
+
+
+def split_by(spark, size):
     settings = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
     settings["spark.sql.files.minPartitionNum"] = "1000"
     for key, value in settings.items():
         spark.conf.set(key, value)
+    return settings
+
+
+@pytest.mark.parametrize("size", [7, 16, 40, 100, 1 << 27])
+def test_records_are_those_of_the_csv_module(spark, tmp_path, size):
+    """Files read whole or in splits of any size give the rows of Python's csv."""
+    expected = []
+    for k, (end, header, last) in enumerate([("\r\n", "id,v,z", "\r\n"), ("\n", "ID,V,Z", ""), ("\r", "id,v,z", "\r")]):
+        data = (header + end + end.join(messy(size + k, end)) + last).encode()
+        data = b"\xef\xbb\xbf" + data if k == 1 else data
+        (tmp_path / f"{k}.csv").write_bytes(data)
+        expected += [tuple((r + [None] * 3)[:3]) for r in python_rows(data)]
+    settings = split_by(spark, size)
     try:
-        split = sources.read_raw_listings(spark, str(tmp_path), position=True)
-        rows = split.orderBy("_file", "_block", "_row").collect()
-        assert len({(r["_file"], r["_block"]) for r in rows}) > 2
+        read = sources.read_raw_listings(spark, str(tmp_path), position=True)
+        rows = read.orderBy("_file", "_block", "_row").collect()
         assert [tuple(r)[:3] for r in rows] == expected
     finally:
         for key in settings:
             spark.conf.unset(key)
 
 
+@pytest.mark.parametrize("size", [9, 1 << 27])
+def test_an_open_quote_is_an_error(spark, tmp_path, size):
+    (tmp_path / "a.csv").write_bytes(b'id,v\n1,"never closed\n' + b"2,x\n" * 400)
+    settings = split_by(spark, size)
+    try:
+        with pytest.raises(Exception, match="never closed"):
+            sources.read_raw_listings(spark, str(tmp_path)).collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_lines_as_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'\nid,v\n1,"a, b"\n2,5" wide\n\n3\n')
+    rows = sources.read_raw_listings(spark, str(tmp_path), multiline=False).collect()
+    assert sorted(map(tuple, rows)) == [("1", "a, b"), ("2", '5" wide'), ("3", None)]
+
+
 def test_byte_order_mark_is_dropped(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + AWKWARD)
     assert sources.header_names(spark, str(tmp_path / "a.csv"))[0] == "id"
