@@ -60,9 +60,8 @@ def judge_rows(df: DataFrame, variant: Variant) -> DataFrame:
         if c in df.columns:
             lacks = lacks | F.col(c).isNull()
     blank_id = strip(id_) == ""
-    # 0 < price <= MAX_PRICE with one mention of the price: the gate is evaluated
-    # before the projection and would parse the text again for every mention.
-    bad_price = F.ceil(F.col(PRICE) / MAX_PRICE) != 1
+    good_price = (F.col(PRICE) > 0) & (F.col(PRICE) <= MAX_PRICE)
+    bad_price = ~F.coalesce(good_price, F.lit(False))
     if variant.blank_gate:
         outcome = (
             F.when(id_.isNull() | (blank_id & name.isNull()), ERROR)

@@ -17,14 +17,18 @@ def only_new_rows(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataF
 def latest_rows(
     changes: DataFrame, keys: list[str], version: Column | str, columns: list[str] | None = None
 ) -> DataFrame:
-    """One row per key, the one with the highest version.
+    """One row per key, the one with the highest version; any version beats NULL.
 
-    An aggregate, not a window: a hot key shrinks to one row per task before the
-    shuffle.
+    Of equal versions the row whose columns are largest, in column order, stays, so that
+    reruns agree. An aggregate, not a window: a hot key shrinks to one row per task
+    before the shuffle.
     """
     kept = columns or changes.columns
-    newest = F.max_by(F.struct(*(c for c in kept if c not in keys)), version).alias("_newest")
-    return changes.groupBy(*keys).agg(newest).select(*keys, "_newest.*").select(*kept)
+    own = F.struct(*(c for c in kept if c not in keys))
+    at = F.col(version) if isinstance(version, str) else version
+    newest = F.max(F.struct(at.isNotNull().alias("known"), at.alias("version"), own.alias("row")))
+    latest = changes.groupBy(*keys).agg(newest.alias("_newest"))
+    return latest.select(*keys, "_newest.row.*").select(*kept)
 
 
 def upsert(
@@ -32,9 +36,19 @@ def upsert(
 ) -> DataFrame:
     """The target with the newest change per key put in place of the old row, or added.
 
-    A change that lacks a key equals no other row, so every one of them is added.
+    The target holds each key once. A change that lacks a key equals no other row, so
+    every one of them is added. Changes and target are read once each: a row number sets
+    keyless changes apart in the aggregate, and no key of theirs meets the target's.
     """
     has_key = reduce(and_, (F.col(k).isNotNull() for k in keys))
-    latest = latest_rows(changes.where(has_key), keys, version, target.columns)
-    keyless = changes.where(~has_key).select(*target.columns)
-    return only_new_rows(target, latest, keys).unionByName(latest).unionByName(keyless)
+    alone = F.when(~has_key, F.monotonically_increasing_id())
+    latest = latest_rows(
+        changes.withColumn("_alone", alone), [*keys, "_alone"], version, ["_alone", *target.columns]
+    )
+    renamed = {c: f"_new_{i}" for i, c in enumerate(target.columns)}
+    latest = latest.select(*(F.col(c).alias(n) for c, n in renamed.items()), F.lit(True).alias("_changed"))
+    same = reduce(and_, (F.col(k) == F.col(renamed[k]) for k in keys))
+    met = target.join(latest, same, "full_outer")
+    return met.select(
+        *(F.when(F.col("_changed"), F.col(n)).otherwise(F.col(c)).alias(c) for c, n in renamed.items())
+    )

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings for listings tables. All can be changed per session.
@@ -29,7 +35,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     root = tempfile.mkdtemp(prefix="hearthline-")
     spark.conf.set("spark.checkpoint.dir", root)
@@ -49,19 +55,27 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if (kept := _SCRATCH.get()) is not None:
+        kept.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Even out a scan that has fewer tasks than the session has cores.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables ``stored`` writes in this block when it ends.
 
-    One big multi-line CSV file, or one Parquet row group, is a single task, and the
-    cleaning expressions cost far more than moving the rows. A scan with enough
-    splits, as any large table has, is returned as it is: no shuffle.
+    For jobs that write their own result; a result that is still to be read keeps its
+    tables.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    kept: list[str] = []
+    token = _SCRATCH.set(kept)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in kept:
+            remove_path(spark, path)
 
 
 def _hadoop(spark: SparkSession, path: str):

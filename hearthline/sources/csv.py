@@ -88,13 +88,10 @@ def read_text_table(spark: SparkSession, path: Paths, *, multiline: bool = True)
 
 
 def listing_text(df: DataFrame) -> DataFrame:
-    """All columns as the text the CSV files carry; NULL becomes empty."""
+    """All columns as the text the CSV files carry. NULL stays, and is written as empty."""
     doubles = {name for name, kind in df.dtypes if kind == "double"}
     return df.select(
-        *(
-            F.coalesce(float_text(n) if n in doubles else F.col(n).cast("string"), F.lit("")).alias(n)
-            for n in df.columns
-        )
+        *((float_text(n) if n in doubles else F.col(n).cast("string")).alias(n) for n in df.columns)
     )
 
 

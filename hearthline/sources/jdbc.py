@@ -52,10 +52,11 @@ def write_relational(
     """Batched inserts, one connection per task.
 
     ``prune`` empties the table but keeps its definition. ``connections`` bounds
-    the load on the database, not the number of rows.
+    the load on the database, not the number of rows, and not the work above: rows
+    are dealt out anew, so what makes them keeps its own tasks.
     """
     (
-        df.coalesce(connections)
+        df.repartition(connections)
         .write.format("jdbc")
         .options(url=url, dbtable=table, batchsize=str(batch_rows), truncate="true", **extra)
         .mode("overwrite" if prune else "append")

@@ -56,10 +56,23 @@ def test_price_filter_reaches_the_scan(target):
     assert "PushedFilters: [IsNotNull(price), GreaterThan(price,60.00)]" in plan
 
 
-def test_upsert_counts_down_before_the_shuffle(spark):
-    rows = spark.createDataFrame([(1, 2)], "k int, v int")
-    plan = physical(ops.upsert(rows, rows, ["k"], "v"))
-    assert "partial_max_by" in plan and "Window" not in plan
+def test_upsert_counts_down_before_the_shuffle(spark, tmp_path):
+    for name in ("target", "changes"):
+        spark.createDataFrame([(1, 2)], "k int, v int").write.parquet(str(tmp_path / name))
+    target, changes = (spark.read.parquet(str(tmp_path / n)) for n in ("target", "changes"))
+    plan = physical(ops.upsert(target, changes, ["k"], "v"))
+    assert "partial_max" in plan and "Window" not in plan
+    assert plan.count("FileScan") == 2  # one of each input
+
+
+def test_csv_reader_scans_twice_and_shuffles_the_text_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,v\n1,"a\nb"\n')
+    plan = physical(sources.read_raw_listings(spark, str(tmp_path)))
+    assert plan.count("FileScan") == 2
+    of_text = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "_home" in line]
+    assert len(of_text) == 1 and "RoundRobin" not in plan
+    by_line = physical(sources.read_raw_listings(spark, str(tmp_path), multiline=False))
+    assert "_home" not in by_line and by_line.count("FileScan") == 2
 
 
 def test_replication_does_not_join(spark):
