@@ -65,15 +65,14 @@ def _ranged(keys: np.ndarray) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def _planes(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, byte by byte, which leaves zeros to the compression."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: high bytes are zeros that compress away."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
-def _keys(planes: bytes) -> np.ndarray:
-    steps = np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(planes, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
 def _asked(group: pa.Table) -> pa.Table:
@@ -98,9 +97,9 @@ def _asked(group: pa.Table) -> pa.Table:
             a, b = edges[r], edges[r + 1]
             rows["range"].append(kind * RANGES + r)
             rows["block"].append(block)
-            rows["keys"].append(_planes(keys[a:b]))
+            rows["keys"].append(_planes(np.diff(keys[a:b], prepend=np.uint64(0))))
             for name, c in zip(("train", "held"), counts):
-                rows[name].append(c[a:b].astype(np.uint32).tobytes())
+                rows[name].append(_planes(c[a:b].astype(np.uint32)))
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
@@ -111,7 +110,8 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def answer() -> pa.RecordBatch:
-        keys = [_keys(row[2]) for row in held]
+        keys = [np.cumsum(_values(row[2], np.uint64), dtype=np.uint64) for row in held]
+        given = [np.concatenate([_values(row[at], np.uint32) for row in held]) for at in (3, 4)]
         # Unigrams and bigrams are hashed alike but may not meet: their ranges differ.
         kind = np.repeat([row[0] >= RANGES for row in held], [len(k) for k in keys])
         every = np.concatenate(keys)
@@ -120,15 +120,14 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for which in (False, True):
             own = np.flatnonzero(kind == which)
             distinct, place = np.unique(every[own], return_inverse=True)
-            for s, at in ((0, 3), (1, 4)):
-                given = np.frombuffer(b"".join(row[at] for row in held), np.uint32)[own]
-                total = np.bincount(place, weights=given, minlength=len(distinct)).astype(np.int64)
+            for s in (0, 1):
+                total = np.bincount(place, weights=given[s][own], minlength=len(distinct)).astype(np.int64)
                 sums[s, own] = total[place]
                 if s == 0 and not which:
                     found = distinct[(total > 0) & (distinct != _START)]
         ends = np.cumsum([len(k) for k in keys]).tolist()
         spans = list(zip([0, *ends], ends))
-        out = [[c[a:b].astype(np.uint32).tobytes() for a, b in spans] for c in sums]
+        out = [[_planes(c[a:b].astype(np.uint32)) for a, b in spans] for c in sums]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([row[0] for row in held] + [-1], pa.int32()),
@@ -170,7 +169,10 @@ def _featured(kind: pa.DataType):
         texts = texts.combine_chunks()
         answers = answers.sort_by("range")
         grams = Grams(texts.column("text").combine_chunks())
-        train, held = (np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint32).astype(np.int64) for c in ("train", "held"))
+        train, held = (
+            np.concatenate([_values(b, np.uint32) for b in answers.column(c).to_pylist()]).astype(np.int64)
+            for c in ("train", "held")
+        )
         n = len(grams.words)
         if len(train) != n + len(grams.pairs):
             raise ValueError("a block's n-grams and their counts differ")
