@@ -79,9 +79,9 @@ def repeat_groups(texts: list[bytes], least: int) -> list[tuple[int, np.ndarray,
     it is a node of the interval tree, to the left because the bytes before its
     occurrences differ, or one of them begins its text.
     """
-    lengths = np.array([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-    data = np.full(begins[-1], 0, np.int64)
+    data = np.zeros(begins[-1], np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths + 1)
     inside = np.ones(len(data), bool)
     inside[begins[1:] - 1] = False
@@ -181,7 +181,7 @@ def repeated_parts(texts: list[bytes]) -> list[tuple[int, int, int]]:
 
     The rest can be in no repeat, and is not sorted.
     """
-    lengths = np.array([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], np.int64)
     whole = Texts(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
     many = np.maximum(lengths - SPAN + 1, 0)
     first = np.concatenate([[0], np.cumsum(many)])
