@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hearthline.session import stored
 
-from .words import Texts, chunks
+from .words import Texts, chunks, mixed
 
 SPAN = 400  # bytes of the shortest repeat
 GRAM = 32  # bytes of an anchor
@@ -19,7 +19,7 @@ GRAM = 32  # bytes of an anchor
 GROUP = 8192
 BATCH_BYTES = 1 << 19  # texts sorted at once, if groups are smaller
 _PLACE = 24  # bits of a place within a piece
-RUN = ["doc", "start", "n", "gram", "whole"]
+RUN = ["doc", "starts", "n", "gram", "whole"]
 
 
 # --- Suffix array of a group of short texts -------------------------------------------------
@@ -162,12 +162,17 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, texts in chunks(batch.column(1)):
             for begin, part in pieces(texts):
                 of, start, count, gram, whole = anchors(part)
+                # A context that a text repeats, as periodic ones do many times, is one row.
+                key = mixed(whole ^ mixed(gram + of.astype(np.uint64)))
+                _, one, kind, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                starts = (start + begin)[np.argsort(kind, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(times)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(of + row)),
-                        pa.array(start + begin),
-                        pa.array(count),
-                        *(pa.array(h.view(np.int64)) for h in (gram, whole)),
+                        batch.column(0).take(pa.array(of[one] + row)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(starts)),
+                        pa.array(count[one]),
+                        *(pa.array(h[one].view(np.int64)) for h in (gram, whole)),
                     ],
                     names=RUN,
                 )
@@ -295,8 +300,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed, spans, left = [], [], []
         for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             size = len(text)
-            runs = merged([(min(r["a"], size), min(r["b"], size)) for r in ranges])
-            runs = [(a, b) for a, b in runs if a < b]
+            runs = merged([(a, min(a + r["size"], size)) for r in ranges for a in r["starts"] if a < size])
             edges = [0, *(e for run in runs for e in run), size]
             removed.append(sum(b - a for a, b in runs))
             spans.append(len(runs))
@@ -326,16 +330,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     own = docs.select(F.col(id_col).alias("doc"), data.alias("data"))
-    runs = own.mapInArrow(_anchored, f"doc {kind}, start long, n long, gram long, whole long")
+    runs = own.mapInArrow(_anchored, f"doc {kind}, starts array<long>, n long, gram long, whole long")
     shared = (
         runs.groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("met"), (F.min("whole") != F.max("whole")).alias("differ"))
+        .agg(F.sum(F.size("starts")).alias("met"), (F.min("whole") != F.max("whole")).alias("differ"))
         .where("met > 1")
         .drop("met")
     )
     runs = stored(runs.join(shared, "gram"), "runs", compression="zstd")
     contexts = runs.groupBy("gram", "whole", "n", "differ").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "start")).alias("at")
+        F.sum(F.size("starts")).alias("copies"),
+        F.min(F.struct("doc", F.element_at("starts", 1).alias("start"))).alias("at"),
     )
     contexts = stored(contexts, "contexts", compression="zstd")
     asked = contexts.where("differ")
@@ -355,11 +360,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sorted_out = grouped.mapInArrow(_grouped, f"doc {kind}, a long, b long")
     every = fetched.where("crowded").mapInArrow(_windows, f"doc {kind}, a long, h long, g long")
     twice = every.groupBy("h", "g").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
-    counted = every.join(twice, ["h", "g"], "left_semi").select("doc", "a", (F.col("a") + SPAN).alias("b"))
+    size = F.lit(SPAN).cast("long")
+    counted = every.join(twice, ["h", "g"], "left_semi").select("doc", F.array("a").alias("starts"), size.alias("size"))
     copied = runs.join(contexts.where("copies > 1").select("gram", "whole", "n"), ["gram", "whole", "n"], "left_semi")
-    copied = copied.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + SPAN - 1).alias("b"))
-    ranges = sorted_out.union(counted).union(copied).groupBy("doc")
-    ranges = ranges.agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    copied = copied.select("doc", "starts", (F.col("n") + SPAN - 1).alias("size"))
+    found = sorted_out.select("doc", F.array("a").alias("starts"), (F.col("b") - F.col("a")).alias("size"))
+    ranges = found.union(counted).union(copied).groupBy("doc")
+    ranges = ranges.agg(F.collect_list(F.struct("starts", "size")).alias("ranges"))
     hit = texts.drop("wanted").join(ranges, "doc")
     return hit.mapInArrow(_cut, f"doc {kind}, n_removed long, n_spans long, kept binary").withColumnRenamed("doc", id_col)
 
