@@ -6,13 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.events import load_manifest
+from ..operators.events import load_manifest, rejected_events
 from ..operators.merge import only_new_rows
 from ..operators.typing import BAD_ROWS_SHOWN, bad_rows, typed_listings
-from ..session import path_exists
 from ..sources.csv import listing_text, read_raw_listings, read_text_table
 from ..sources.tables import (
     LOAD_ID,
@@ -20,6 +19,7 @@ from ..sources.tables import (
     read_staging,
     read_target,
     replace_target,
+    target_loads,
     write_staging,
 )
 from .metrics import RunMetrics
@@ -67,14 +67,14 @@ def load_listings(
             metrics.set(staging_count=staging.count())
         with metrics.timed("insert"):
             typed = typed_listings(staging, lenient_int)
-            if new_only and not prune and path_exists(spark, target_path):
+            if new_only and not prune and target_loads(spark, target_path):
                 held = read_target(spark, target_path, with_load=True)
                 # Rows of an earlier try of this load are about to be replaced.
                 held = held.where(F.col(LOAD_ID) != load_id)
                 typed = only_new_rows(typed, held, ["id"])
             write = replace_target if prune else append_target
             write(typed, target_path, load_id)
-        written = spark.read.parquet(f"{target_path}/{LOAD_ID}={load_id}")
+        written = read_target(spark, target_path, with_load=True).where(F.col(LOAD_ID) == load_id)
         metrics.set(inserted=written.count())
         with metrics.timed("badrows"):
             report = bad_rows(staging).collect()  # at most BAD_ROWS_SHOWN rows
@@ -91,15 +91,32 @@ def load_listings(
 
 
 def load_text_table(
-    spark: SparkSession, source: str, target_path: str, *, prune: bool = False
+    spark: SparkSession,
+    source: str,
+    target_path: str,
+    *,
+    prune: bool = False,
+    metrics_path: str | None = None,
 ) -> RunMetrics:
-    """Any CSV file into an all-text table named after its header."""
+    """Any CSV file into an all-text table named after its header.
+
+    Rows are counted as they are written; the run is recorded whether it succeeds or not.
+    """
     metrics = RunMetrics("text_load")
     metrics.set(source_file=source, table=target_path)
-    with metrics.timed("parse_insert"):
-        rows = read_text_table(spark, source)
-        rows.write.mode("overwrite" if prune else "append").parquet(target_path)
-    metrics.finish()
+    try:
+        with metrics.timed("parse_insert"):
+            written = Observation("text_load")
+            rows = read_text_table(spark, source).observe(written, F.count(F.lit(1)).alias("rows_loaded"))
+            rows.write.mode("overwrite" if prune else "append").parquet(target_path)
+            metrics.set(**written.get)
+    except Exception as error:
+        metrics.fail(error)
+        raise
+    finally:
+        metrics.finish()
+        if metrics_path is not None:
+            metrics.append(spark, metrics_path)
     return metrics
 
 
@@ -113,17 +130,25 @@ def load_from_events(
     text_path: str,
     default_bucket: str | None = None,
     metrics_path: str | None = None,
+    reject_path: str | None = None,
 ) -> list[RunMetrics]:
     """One load per load event, in order of arrival, as the event asks for it.
 
     ``locate`` turns bucket and key into a path. The driver only steps through the
-    manifest; every load is a job of its own.
+    manifest; every load is a job of its own, named after its event, so that a repeated
+    run replaces the rows of the first. Events that name no file go to ``reject_path``.
     """
+    if reject_path is not None:
+        rejected_events(events, default_bucket=default_bucket).write.mode("overwrite").parquet(reject_path)
     runs = []
-    for event in load_manifest(events, default_bucket=default_bucket).toLocalIterator():
+    manifest = load_manifest(events, default_bucket=default_bucket)
+    named = manifest.withColumn("load_id", F.md5(F.to_json(F.struct(*events.columns))))
+    for event in named.toLocalIterator():
         path = locate(event.bucket, event.object_key)
         if event.destination == "text_table":
-            runs.append(load_text_table(spark, path, text_path, prune=event.prune_text_table))
+            runs.append(
+                load_text_table(spark, path, text_path, prune=event.prune_text_table, metrics_path=metrics_path)
+            )
             continue
         result = load_listings(
             spark,
@@ -131,6 +156,7 @@ def load_from_events(
             staging_path,
             target_path,
             prune=event.prune_target,
+            load_id=f"event-{event.load_id}",
             metrics_path=metrics_path,
         )
         runs.append(result.metrics)

@@ -100,23 +100,30 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def swap_directory(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put the finished directory ``fresh`` in the place of ``path``.
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    fs, p = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
-    The old table stays whole until the new one is complete, so a failed load
-    leaves the target as it was.
-    """
+
+def read_small_file(spark: SparkSession, path: str) -> str:
+    fs, p = _hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_small_file(spark: SparkSession, path: str, text: str) -> None:
+    """A whole new file under its name; an error if there is one already."""
     fs, target = _hadoop(spark, path)
-    _, source = _hadoop(spark, fresh)
-    fs.mkdirs(target.getParent())
-    old = None
-    if fs.exists(target):
-        _, old = _hadoop(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-        if not fs.rename(target, old):
-            raise OSError(f"could not move {path} aside")
-    if not fs.rename(source, target):
-        if old is not None:
-            fs.rename(old, target)
-        raise OSError(f"could not put {fresh} in place of {path}")
-    if old is not None:
-        fs.delete(old, True)
+    _, fresh = _hadoop(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(fresh)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    if fs.exists(target) or not fs.rename(fresh, target):
+        fs.delete(fresh, False)
+        raise FileExistsError(path)

@@ -16,6 +16,8 @@ from .tables import (
     read_staging,
     read_target,
     replace_target,
+    target_loads,
+    vacuum_target,
     write_staging,
 )
 

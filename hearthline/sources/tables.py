@@ -1,16 +1,22 @@
 """Staging and target tables as Parquet folders.
 
-A target holds one ``load_id=...`` folder per load, so a repeated load replaces its
-own rows and nothing else.
+Every try of a load writes a folder of its own below the target. What the target holds
+is said by its newest commit record, a small numbered file that lists the valid folders:
+creating the next one is the one step in which a load happens. A load that fails leaves
+the table as it was, a repeated one replaces its own rows, and readers see the old table
+or the new one. Folders no longer listed stay until ``vacuum_target``.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LISTING_COLUMNS, text_schema, typed_schema
-from ..session import remove_path, swap_directory
+from ..session import child_names, create_small_file, read_small_file, remove_path
 
 LOAD_ID = "load_id"
 
@@ -35,22 +41,55 @@ def read_staging(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(text_schema(LISTING_COLUMNS)).parquet(path)
 
 
+def _records(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in child_names(spark, f"{path}/_commits") if n.endswith(".json")]
+
+
+def target_loads(spark: SparkSession, path: str) -> dict[str, str]:
+    """Folder of every load the target holds, by load id; empty if there is no target."""
+    records = _records(spark, path)
+    return json.loads(read_small_file(spark, f"{path}/_commits/{records[-1]}")) if records else {}
+
+
+def _commit(typed: DataFrame, path: str, load_id: str, keep_others: bool) -> None:
+    spark = typed.sparkSession
+    folder = f"data/{LOAD_ID}={load_id}/try={uuid.uuid4().hex}"
+    try:
+        typed.write.parquet(f"{path}/{folder}")
+        records = _records(spark, path)
+        held = target_loads(spark, path) if keep_others else {}
+        number = int(records[-1].removesuffix(".json")) + 1 if records else 0
+        create_small_file(spark, f"{path}/_commits/{number:012d}.json", json.dumps({**held, load_id: folder}))
+    except Exception:
+        remove_path(spark, f"{path}/{folder}")
+        raise
+
+
 def append_target(typed: DataFrame, path: str, load_id: str) -> None:
     """Add one load; running the same load again replaces its own rows."""
-    typed.write.mode("overwrite").parquet(f"{path}/{LOAD_ID}={load_id}")
+    _commit(typed, path, load_id, keep_others=True)
 
 
 def replace_target(typed: DataFrame, path: str, load_id: str) -> None:
     """Replace the whole target, in one step after the new rows are all written."""
-    fresh = f"{path.rstrip('/')}.new-{load_id}"
-    try:
-        typed.write.mode("overwrite").parquet(f"{fresh}/{LOAD_ID}={load_id}")
-        swap_directory(typed.sparkSession, fresh, path)
-    except Exception:
-        remove_path(typed.sparkSession, fresh)
-        raise
+    _commit(typed, path, load_id, keep_others=False)
 
 
 def read_target(spark: SparkSession, path: str, with_load: bool = False) -> DataFrame:
-    table = spark.read.schema(f"{typed_schema()}, {LOAD_ID} string").parquet(path)
+    folders = target_loads(spark, path).values()
+    if not folders:
+        raise FileNotFoundError(f"{path} holds no committed load")
+    reader = spark.read.schema(f"{typed_schema()}, {LOAD_ID} string").option("basePath", f"{path}/data")
+    table = reader.parquet(*(f"{path}/{f}" for f in folders))
     return table if with_load else table.drop(LOAD_ID)
+
+
+def vacuum_target(spark: SparkSession, path: str) -> None:
+    """Remove what the newest commit does not list; not while older readers are at work."""
+    valid = set(target_loads(spark, path).values())
+    for load in child_names(spark, f"{path}/data"):
+        for attempt in child_names(spark, f"{path}/data/{load}"):
+            if f"data/{load}/{attempt}" not in valid:
+                remove_path(spark, f"{path}/data/{load}/{attempt}")
+    for record in _records(spark, path)[:-1]:
+        remove_path(spark, f"{path}/_commits/{record}")

@@ -3,19 +3,26 @@
 The stream carries the paths of new files, and its checkpoint tracks which ones were
 taken. Each micro-batch reads its files with the batch reader, so a large file is
 read by many tasks. It writes folders named after its batch number with overwrite: a
-batch that is run again after a failure replaces its own rows.
+batch that is run again after a failure replaces its own rows. A batch that fails is
+taken file by file; the files that fail alone are kept aside with their errors, and the
+stream goes on. Every batch or file leaves a run record with its counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cleaning import transform_listings
+from ..operators.cleaning import clean_listings
+from ..operators.gates import VARIANTS, accounting_columns, judge_rows
 from ..operators.typing import bad_rows, typed_listings
-from ..schema import text_schema
+from ..plans.metrics import RunMetrics
+from ..plans.reports import quality_columns
+from ..schema import LISTING_COLUMNS, text_schema
+from ..session import remove_path
 from ..sources.csv import listing_text, read_raw_listings, write_text_csv
 from ..sources.tables import LOAD_ID, append_target, staging_rows
 
@@ -26,19 +33,57 @@ def _on_arrival(
     spark: SparkSession,
     folder: str,
     checkpoint: str,
-    handle: Callable[[list[str], str], None],
+    handle: Callable[[list[str], str, RunMetrics], None],
+    operation: str,
+    outputs: list[str],
+    failed_path: str | None,
+    metrics_path: str | None,
     max_files: int,
     once: bool,
 ) -> StreamingQuery:
-    """Call ``handle`` with the paths and the name of every batch of new files."""
+    """Call ``handle`` with the paths and the name of every batch of new files.
+
+    What a failed batch may have left in its folders of ``outputs`` is removed before its
+    files are tried one by one. Without ``failed_path`` a file that fails ends the stream.
+    """
+
+    def run(paths: list[str], name: str) -> None:
+        metrics = RunMetrics(operation)
+        metrics.set(batch=name, files=len(paths))
+        try:
+            handle(paths, name, metrics)
+        except Exception as error:
+            metrics.fail(error)
+            for output in outputs:
+                remove_path(spark, f"{output}/{LOAD_ID}={name}")
+            raise
+        finally:
+            metrics.finish()
+            if metrics_path is not None:
+                metrics.append(spark, metrics_path)
+
     files = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
     files = files.option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "*.csv")
     names = files.load(folder).select("path")  # contents are not read
 
     def batch(arrived: DataFrame, number: int) -> None:
         paths = sorted(row.path for row in arrived.collect())  # max_files paths at most
-        if paths:
-            handle(paths, f"batch-{number}")
+        if not paths:
+            return
+        try:
+            return run(paths, f"batch-{number}")
+        except Exception:
+            if failed_path is None:
+                raise
+        failed = []
+        for k, path in enumerate(paths):
+            try:
+                run([path], f"batch-{number}-file-{k}")
+            except Exception as error:
+                failed.append((path, str(error)))
+        if failed:
+            aside = spark.createDataFrame(failed, "path string, error string")
+            aside.write.mode("overwrite").parquet(f"{failed_path}/{LOAD_ID}=batch-{number}")
 
     writer = names.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return writer.trigger(availableNow=True).start() if once else writer.start()
@@ -52,6 +97,8 @@ def load_arrivals(
     target_path: str,
     reject_path: str,
     checkpoint: str,
+    failed_path: str | None = None,
+    metrics_path: str | None = None,
     lenient_int: bool = False,
     multiline: bool = True,
     max_files: int = 1000,
@@ -60,19 +107,26 @@ def load_arrivals(
     """Stage, type and append every new cleaned file; keep the bad rows aside.
 
     A batch is parsed once, into its staging folder; the typed rows and the rejects
-    are read from there.
+    are read from there. Run records count staged, inserted and bad rows.
     """
 
-    def load(paths: list[str], name: str) -> None:
+    def load(paths: list[str], name: str, metrics: RunMetrics) -> None:
         staged = f"{staging_path}/{LOAD_ID}={name}"
         staging = staging_rows(read_raw_listings(spark, paths, multiline=multiline))
         staging.write.mode("overwrite").parquet(staged)
         rows = spark.read.schema(text_schema(staging.columns)).parquet(staged)
-        append_target(typed_listings(rows, lenient_int), target_path, name)
-        rejects = bad_rows(rows, limit=None)
+        inserted, bad = Observation(f"inserted-{name}"), Observation(f"bad-{name}")
+        count = F.count(F.lit(1))
+        rejects = bad_rows(rows, limit=None).observe(bad, count.alias("bad_rows"))
         rejects.write.mode("overwrite").parquet(f"{reject_path}/{LOAD_ID}={name}")
+        typed = typed_listings(rows, lenient_int).observe(inserted, count.alias("inserted"))
+        append_target(typed, target_path, name)
+        metrics.set(staging_count=rows.count(), **inserted.get, **bad.get)
 
-    return _on_arrival(spark, folder, checkpoint, load, max_files, once)
+    outputs = [staging_path, reject_path]
+    return _on_arrival(
+        spark, folder, checkpoint, load, "arriving_load", outputs, failed_path, metrics_path, max_files, once
+    )
 
 
 def transform_arrivals(
@@ -82,15 +136,31 @@ def transform_arrivals(
     output_path: str,
     checkpoint: str,
     variant: str = "scale",
+    failed_path: str | None = None,
+    metrics_path: str | None = None,
     multiline: bool = True,
     max_files: int = 1000,
     once: bool = True,
 ) -> StreamingQuery:
-    """Clean every new raw file into a CSV folder per batch."""
+    """Clean every new raw file into a CSV folder per batch.
 
-    def transform(paths: list[str], name: str) -> None:
-        raw = read_raw_listings(spark, paths, multiline=multiline)
-        cleaned = listing_text(transform_listings(raw, variant))
-        write_text_csv(cleaned, f"{output_path}/{LOAD_ID}={name}", "overwrite")
+    Run records hold the row accounting and the quality measures of what was written.
+    The numbered variant is refused: numbers run over a whole table, not over batches.
+    """
+    chosen = VARIANTS[variant]
+    if chosen.numbered:
+        raise ValueError(f"variant {variant} numbers a whole table; use run_transform")
 
-    return _on_arrival(spark, folder, checkpoint, transform, max_files, once)
+    def transform(paths: list[str], name: str, metrics: RunMetrics) -> None:
+        raw = read_raw_listings(spark, paths, multiline=multiline)
+        counts, quality = Observation(f"accounting-{name}"), Observation(f"quality-{name}")
+        judged = judge_rows(raw, chosen).observe(counts, *accounting_columns())
+        cleaned = clean_listings(judged, chosen).observe(quality, *quality_columns())
+        text = listing_text(cleaned.select(*LISTING_COLUMNS))
+        write_text_csv(text, f"{output_path}/{LOAD_ID}={name}", "overwrite")
+        metrics.set(variant=variant, **counts.get, **quality.get)
+
+    return _on_arrival(
+        spark, folder, checkpoint, transform, "arriving_transform", [output_path], failed_path, metrics_path,
+        max_files, once,
+    )
