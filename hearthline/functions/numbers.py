@@ -72,15 +72,14 @@ def round_cents(c: Column | str) -> Column:
 def clean_price(c: Column | str) -> Column:
     """Keep digits and dots, read them as a number, round to cents; else 0. Never NULL.
 
-    Text with two decimals at most needs no rounding, nor does a number beyond a double,
-    which is infinite.
+    Text with two decimals at most needs no rounding. A number beyond a double is infinite;
+    only then has the formatted text no number.
     """
     digits = F.regexp_replace(as_column(c), "[^0-9.]++", "")
     number = digits.try_cast("double")
     return (
-        F.when(digits.isNull(), 0.0)
-        .when(digits.rlike(_WHOLE_CENTS), number)
-        .when(digits.rlike(_PRICE), F.coalesce(exact_text(number, 2).try_cast("double"), number))
+        F.when(digits.rlike(_WHOLE_CENTS), number)
+        .when(digits.rlike(_PRICE), F.coalesce(exact_text(number, 2).try_cast("double"), F.lit(float("inf"))))
         .otherwise(0.0)
     )
 

@@ -60,8 +60,9 @@ def judge_rows(df: DataFrame, variant: Variant) -> DataFrame:
         if c in df.columns:
             lacks = lacks | F.col(c).isNull()
     blank_id = strip(id_) == ""
-    good_price = (F.col(PRICE) > 0) & (F.col(PRICE) <= MAX_PRICE)
-    bad_price = ~F.coalesce(good_price, F.lit(False))
+    # Prices are whole cents, so 0 < price <= MAX_PRICE. SQL's BETWEEN, unlike two column
+    # comparisons, computes the price once where the gate is evaluated above its text.
+    bad_price = F.expr(f"not coalesce({PRICE} between 0.01 and {MAX_PRICE}, false)")
     if variant.blank_gate:
         outcome = (
             F.when(id_.isNull() | (blank_id & name.isNull()), ERROR)

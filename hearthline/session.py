@@ -106,11 +106,13 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def read_small_file(spark: SparkSession, path: str) -> str:
+def read_small_file(spark: SparkSession, path: str, most: int = 1 << 24) -> str:
+    """The first ``most`` bytes of a file as text."""
     fs, p = _hadoop(spark, path)
+    io = spark.sparkContext._jvm.org.apache.commons.io
     stream = fs.open(p)
     try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return io.IOUtils.toString(io.input.BoundedInputStream(stream, most), "UTF-8")
     finally:
         stream.close()
 

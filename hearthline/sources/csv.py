@@ -1,7 +1,7 @@
 """CSV files in and out.
 
 Readers return all-text columns in which an empty field is ``''`` and only a field
-that a short record lacks is NULL. A line break inside quotes reads as LF.
+that a short record lacks is NULL. Inside quotes a file's own line end reads as LF.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import float_text
 from ..schema import LISTING_COLUMNS, SEQUENCE_COLUMN
+from ..session import read_small_file
 from .csv_records import BLOCK, FILE, HEADER, RECORD, ROW, csv_records, fields
 
 POSITION = [FILE, BLOCK, ROW]
@@ -29,6 +30,13 @@ def header_names(spark: SparkSession, path: Paths) -> list[str]:
     return ["" if name is None else name for name in first]
 
 
+def line_end(spark: SparkSession, path: Paths) -> str:
+    """CR if the first line of the first file ends with a lone CR, else LF."""
+    first = spark.read.format("binaryFile").load(path).where("length > 0").select("path").head()
+    begin = read_small_file(spark, first.path, 1 << 16) if first else ""
+    return "\r" if re.match("[^\r\n]*\r(?!\n)", begin) else "\n"
+
+
 def sanitized_names(names: list[str]) -> list[str]:
     """Names safe as SQL identifiers; clashes are an error, not a silent rename."""
     blanks = "".join(map(chr, range(33)))
@@ -59,7 +67,7 @@ def _parsed(
     is_row = F.when(F.col(HEADER), F.when(header == expected, False).otherwise(other)).otherwise(True)
     # A generator, so that filters on the fields stay above the parser: pushed below a
     # plain projection they would parse the record once per field they mention.
-    rows = csv_records(spark, path, multiline).where(is_row)
+    rows = csv_records(spark, path, multiline, line_end(spark, path)).where(is_row)
     rows = rows.select(*POSITION, F.explode(F.array(fields(F.col(RECORD)))).alias("_fields"))
     return rows.select(*(field(i, n) for i, n in enumerate(names)), *(POSITION if position else []))
 

@@ -1,7 +1,6 @@
 """Records and fields of CSV files whose quoted fields hold line breaks, read in splits.
 
-The rules are those of Python's ``csv`` module over text with universal line ends: a
-quote opens a field only where the field begins, and any other one outside quotes is a
+The rules are those of Python's ``csv`` module: a quote opens a field only where the field begins, and any other one outside quotes is a
 plain character. A line is a function from "entered inside quotes" to "left inside
 quotes"; functions of lines compose to those of splits, and the splits of a file tell
 each other where they begin. No rule depends on the length of a file or of a split.
@@ -57,9 +56,9 @@ def fields(record: Column) -> Column:
     return F.when(F.instr(record, '"') == 0, F.split(record, ",", -1)).otherwise(marked)
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines with their place. Files may end lines with LF, CR LF or CR."""
-    return spark.read.text(path).select(
+def _lines(spark: SparkSession, path: str | list[str], line_end: str) -> DataFrame:
+    """Lines with their place; those of files with CR LF still end with CR."""
+    return spark.read.option("lineSep", line_end).text(path).select(
         F.make_valid_utf8("value").alias("_line"),
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
@@ -73,9 +72,18 @@ def _composed(changes: Column) -> Column:
     return F.aggregate(changes, same, lambda f, line: F.transform(f, lambda s: F.get(line["to"], s)))
 
 
+def _blank() -> Column:
+    return F.col("_line").isin("", "\r")
+
+
+def _without_cr(text: Column) -> Column:
+    return F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+
+
 def _splits(lines: DataFrame) -> DataFrame:
     """Per split: state it is entered in, last row of the record it goes on with and the
-    split that record began in, and the row of the file's first record.
+    split that record began in, the row of the file's first record, and whether that one
+    ends with CR LF.
 
     Lines that change a state are few; their list is no longer than the split.
     """
@@ -86,7 +94,7 @@ def _splits(lines: DataFrame) -> DataFrame:
     found = lines.groupBy(FILE, BLOCK).agg(
         F.sort_array(F.collect_list(change)).alias("changes"),
         F.max(ROW).alias("last"),
-        F.min(F.when(F.col("_line") != "", F.col(ROW))).alias("first"),
+        F.min(F.when(~_blank(), F.struct(ROW, F.col("_line").endswith("\r").alias("crlf")))).alias("first"),
     )
     found = found.withColumn("to", _composed(F.col("changes")))
     closing = F.filter("changes", lambda c: F.get(c["to"], F.lit(1)) == 0)
@@ -113,24 +121,30 @@ def _splits(lines: DataFrame) -> DataFrame:
         F.when(left == 1, unclosed).otherwise(F.col("entry")).alias("_entry"),
         F.coalesce("closes", "last").alias("_until"),
         F.col("owner").alias("_owner"),
-        F.when(header[BLOCK] == F.col(BLOCK), header["first"]).alias("_head"),
+        F.when(header[BLOCK] == F.col(BLOCK), header["first"][ROW]).alias("_head"),
+        F.coalesce(header["first"]["crlf"], F.lit(False)).alias("_crlf"),
     )
 
 
-def csv_records(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
+def csv_records(
+    spark: SparkSession, path: str | list[str], multiline: bool = True, line_end: str = "\n"
+) -> DataFrame:
     """One row per record that is not blank: file, split, number, text, and if it is the header.
 
+    Lines end with ``line_end``, LF or CR; before an LF a CR is part of the line end.
+    Inside quotes a file's own line end (that of its header) reads as LF, others stay.
+
     A record belongs to the split it begins in: the lines that end it in later splits are
     dealt there, and nothing else leaves its split. The table of splits, a row per split,
-    is broadcast. Line breaks inside quotes read as LF. A file that ends inside quotes is
-    an error. Without ``multiline`` every line is a record and the text is not shuffled.
+    is broadcast. A file that ends inside quotes is an error. Without ``multiline`` every line is a record and the text is not shuffled.
     """
-    lines = _lines(spark, path)
+    lines = _lines(spark, path, line_end)
     if not multiline:
-        heads = lines.where("_line <> ''").groupBy(FILE).agg(F.min(F.struct(BLOCK, ROW)).alias("_first"))
+        lines = lines.where(~_blank())
+        heads = lines.groupBy(FILE).agg(F.min(F.struct(BLOCK, ROW)).alias("_first"))
         is_head = F.col("_first") == F.struct(BLOCK, ROW)
-        rows = lines.where("_line <> ''").join(F.broadcast(heads), FILE)
-        return rows.select(FILE, BLOCK, ROW, F.col("_line").alias(RECORD), is_head.alias(HEADER))
+        rows = lines.join(F.broadcast(heads), FILE)
+        return rows.select(FILE, BLOCK, ROW, _without_cr(F.col("_line")).alias(RECORD), is_head.alias(HEADER))
     placed = lines.join(F.broadcast(_splits(lines)), [FILE, BLOCK])
     goes_on = (F.col("_entry") == 1) & (F.col(ROW) <= F.col("_until"))
     placed = placed.select(
@@ -138,7 +152,7 @@ def csv_records(spark: SparkSession, path: str | list[str], multiline: bool = Tr
         F.when(goes_on, F.col("_owner")).otherwise(F.col(BLOCK)).alias("_home"),
         BLOCK,
         ROW,
-        "_line",
+        F.when(F.col("_crlf"), _without_cr(F.col("_line"))).otherwise(F.col("_line")).alias("_line"),
         F.coalesce(F.col(ROW) == F.col("_head"), F.lit(False)).alias(HEADER),
     )
     # Every home begins outside quotes, so its lines tell the state from there.
@@ -159,7 +173,7 @@ def csv_records(spark: SparkSession, path: str | list[str], multiline: bool = Tr
     )
     flipped = F.col("_before") - F.coalesce(F.col("_fixed.flips"), F.lit(0))
     begins = (F.coalesce(F.col("_fixed.state"), F.lit(0)) + flipped) % 2 == 0
-    placed = placed.where(~begins | (F.col("_line") != "")).withColumn(
+    placed = placed.where(~begins | ~_blank()).withColumn(
         "_number", F.sum(begins.cast("long")).over(so_far)
     )
     parts = F.sort_array(F.collect_list(F.struct(BLOCK, ROW, "_line")))
@@ -168,6 +182,6 @@ def csv_records(spark: SparkSession, path: str | list[str], multiline: bool = Tr
         FILE,
         F.col("_home").alias(BLOCK),
         F.col("_number").alias(ROW),
-        F.array_join(F.transform("_parts", lambda p: p["_line"]), "\n").alias(RECORD),
+        _without_cr(F.array_join(F.transform("_parts", lambda p: p["_line"]), "\n")).alias(RECORD),
         HEADER,
     )

@@ -1,6 +1,7 @@
 """CSV dialect, staging and target tables, and the jobs over them."""
 
 import csv
+import io
 import json
 import random
 from datetime import datetime
@@ -64,10 +65,10 @@ def test_reader_agrees_with_the_csv_module(spark, awkward):
     assert [tuple(r[n] for n in names) for r in rows] == [tuple(e[n] for n in names) for e in expected]
 
 
-def python_rows(data):
-    """What Python's csv makes of the bytes of a file, read as text with universal line ends."""
-    text = data.decode("utf-8", errors="ignore").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-    return [r for r in csv.reader(text.splitlines(keepends=True)) if r][1:]
+def python_rows(data, end):
+    """What Python's csv makes of the bytes of a file, its own line end read as LF."""
+    text = data.decode("utf-8", errors="ignore").removeprefix("\ufeff").replace(end, "\n")
+    return [r for r in csv.reader(io.StringIO(text, newline="\n")) if r][1:]
 
 
 def messy(seed, end, many=50):
@@ -91,14 +92,16 @@ def split_by(spark, size):
 
 
 @pytest.mark.parametrize("size", [7, 16, 40, 100, 1 << 27])
-def test_records_are_those_of_the_csv_module(spark, tmp_path, size):
+@pytest.mark.parametrize(("end", "last"), [("\r\n", True), ("\n", False), ("\r", True)])
+def test_records_are_those_of_the_csv_module(spark, tmp_path, size, end, last):
     """Files read whole or in splits of any size give the rows of Python's csv."""
     expected = []
-    for k, (end, header, last) in enumerate([("\r\n", "id,v,z", "\r\n"), ("\n", "ID,V,Z", ""), ("\r", "id,v,z", "\r")]):
-        data = (header + end + end.join(messy(size + k, end)) + last).encode()
+    for k, header in enumerate(["id,v,z", "ID,V,Z"]):
+        rows = messy(size + k, end) + (['70,"cr\rx","cr\r\nlf"'] if end == "\n" else [])
+        data = (header + end + end.join(rows) + end * last).encode()
         data = b"\xef\xbb\xbf" + data if k == 1 else data
         (tmp_path / f"{k}.csv").write_bytes(data)
-        expected += [tuple((r + [None] * 3)[:3]) for r in python_rows(data)]
+        expected += [tuple((r + [None] * 3)[:3]) for r in python_rows(data, end)]
     settings = split_by(spark, size)
     try:
         read = sources.read_raw_listings(spark, str(tmp_path), position=True)
@@ -179,7 +182,7 @@ def test_output_names():
 
 
 def test_csv_text_reads_back(spark, tmp_path):
-    values = ['q"uote', "com,ma", "line\nbreak", " blanks ", "back\\slash\\", "", "tab\t", '"', "\xe9"]
+    values = ['q"uote', "com,ma", "line\nbreak", " blanks ", "back\\slash\\", "", "tab\t", "cr\rx", "cr\r\nlf", '"', "\xe9"]
     df = spark.createDataFrame([(str(i), v, "end") for i, v in enumerate(values)], "id string, v string, z string")
     path = str(tmp_path / "out.csv")
     sources.write_text_csv(df.coalesce(1), path)

@@ -490,8 +490,8 @@ def _copies(copies: str) -> str:
     moved = f"replace(listing_url, '/rooms/' || {_ID}, '/rooms/' || {new})"
     return (
         f"select case when {_DIGITS} then {new} else id end as id, "
-        f"case when {_DIGITS} then {moved} else listing_url end as listing_url, price, c.* "
-        f"from raw, ({copies}) c"
+        f"case when {_DIGITS} then {moved} else listing_url end as listing_url, "
+        f"raw.* exclude (id, listing_url), c.* from raw, ({copies}) c"
     )
 
 
@@ -585,11 +585,12 @@ ORACLE: dict[str, str] = {
     "date_trunc('second', ts) as stamp from events",
     "largest_id": with_raw(f"select cast(max(cast({_ID} as hugeint)) as bigint) as largest_id from raw where {_DIGITS}"),
     "replicate": with_raw(
-        f", top as ({_TOP}) {_copies('select unnest(range(4)) as copy')}".replace("c.*", "cast(copy as integer) as copy")
+        f", top as ({_TOP}) {_copies('select unnest(range(4)) as copy')}".replace(", c.*", ", cast(copy as integer) as copy")
     ),
     "scale_summary": with_raw(
-        f", top as ({_TOP}) select multiplier, count(*) as records, cast(sum(coalesce(strlen(id), 0) + "
-        f"coalesce(strlen(listing_url), 0) + coalesce(strlen(price), 0)) as bigint) as text_bytes "
+        f", top as ({_TOP}) select multiplier, count(*) as records, cast(sum("
+        + " + ".join(f"coalesce(strlen({n}), 0)" for n in RAW_COLUMNS)
+        + ") as bigint) as text_bytes "
         f"from ({_copies(_PAIRS)}) r group by multiplier"
     ),
     "scale_files": " union all ".join(
@@ -597,7 +598,28 @@ ORACLE: dict[str, str] = {
     ),
     "sequence": f"select row_number() over (order by {_SEQ_KEY}, event_id) as sequential_id, "
     "case when event_type = 'error' then 'n/a' else cast(user_id as varchar) end as id, event_id from events",
-    "order_by_id": with_raw("select id, price from raw"),
+    "scale_file_contents": with_raw(
+        f", top as ({_TOP}) select "
+        + ", ".join(f"coalesce({n}, '') as {n}" for n in RAW_COLUMNS)
+        + f" from ({_copies('select unnest(range(2)) as copy')}) r"
+    ),
+    "order_by_id": with_raw(
+        "select * exclude (k), row_number() over (order by case when regexp_full_match(id, '[0-9]+') "
+        "then cast(id as hugeint) else 0 end, k) as place from raw"
+    ).replace("(select ", "(select k, ", 1),
+    "upsert_awkward_versions": "with changes as (select case when o_orderkey % 50 <> 0 then o_custkey * 2 end as c_custkey, "
+    "o_orderpriority || o_orderkey as c_mktsegment, case when o_orderkey % 3 <> 0 then o_orderkey % 4 end as version "
+    "from orders), latest as (select c_custkey, c_mktsegment from changes where c_custkey is not null qualify row_number() "
+    "over (partition by c_custkey order by version desc nulls last, c_mktsegment desc) = 1) "
+    "select * from latest union all select c_custkey, c_mktsegment from changes where c_custkey is null union all "
+    "select c_custkey, c_mktsegment from customer where c_custkey not in (select c_custkey from latest)",
+    "oversized_prices": "select variant, count(*) as raw_count, count(*) filter (o_orderkey % 4 = 0) as clean_count, "
+    "count(*) filter (o_orderkey % 4 <> 0) as removed_count, cast(0 as bigint) as error_count "
+    "from orders, (values ('base'), ('scale'), ('arch')) v(variant) group by variant",
+    "awkward_csv": "select cast(o_orderkey as varchar) as id, "
+    "['5\" wide', 'line' || chr(10) || 'break ', 'closedafter', ''][o_orderkey % 4 + 1] as a, "
+    "['a, \"b\"', 'x\"y', 'q\"', ''][o_orderkey % 4 + 1] as b, "
+    "['z', 'z', null, o_orderpriority][o_orderkey % 4 + 1] as c from orders",
     "insert_new_only": "select o_orderkey as id, o_totalprice as price from orders "
     "where o_orderkey not in (select c_custkey from customer)",
     "upsert": "with latest as (select o_custkey * 2 as c_custkey, o_totalprice as c_acctbal, "
@@ -623,8 +645,8 @@ ORACLE: dict[str, str] = {
         f"count(*) filter (outcome = 'clean') as records_processed from ({judged_sql('base')}) j"
     ),
     "numbered_transform_job": with_tables(
-        "select row_number() over (order by case when regexp_full_match(id, '[0-9]+') then cast(id as bigint) "
-        "else 0 end, cast(ltrim(id, 'a') as bigint)) as sequential_id, id from cleaned",
+        "select cast(row_number() over (order by case when regexp_full_match(id, '[0-9]+') then cast(id as bigint) "
+        "else 0 end, cast(ltrim(id, 'a') as bigint)) as varchar) as sequential_id, * from staging",
         "base",
     ),
     "load_job": with_tables("select * from typed"),
@@ -640,7 +662,7 @@ _STEPS = {
 ORACLE["run_metrics"] = " union all ".join(
     f"select '{operation}' as operation, '{step}' as step, count(*) > 0 as measured from orders"
     for operation, steps in _STEPS.items()
-    for step in steps.split()
+    for step in [*steps.split(), "sum of steps", *(["marks in order"] if operation == "transform" else [])]
 )
 
 
@@ -668,3 +690,32 @@ ORACLE["load_job_counts"] = with_raw(
     "select u.load_id, rows as staging_count, rows * u.new as inserted, bad as bad_rows_shown, rows * 2 as target_rows "
     "from n, (values ('replace', 1), ('append', 1), ('new_only', 0)) u(load_id, new)"
 )
+ORACLE["report_order"] = with_tables(
+    " union all ".join(
+        f"select '{name}' as report, {label} as label, num_listings, "
+        f"row_number() over (order by num_listings desc, {label}) as place from ({rows}) r"
+        for name, label, rows in (
+            ("price_categories", "price_category", PRICES),
+            ("top_neighbourhoods", "neighbourhood", TOP),
+            ("room_type_breakdown", "room_type_simplified", ROOMS),
+        )
+    )
+)
+_CLEAN = "select '{0}' as variant, count(*) filter (outcome = 'clean') as n from ({1}) j"
+ORACLE["transform_outputs"] = with_raw(
+    ", counts as ("
+    + " union all ".join(_CLEAN.format(v, judged_sql(v)) for v in ("base", "scale", "arch"))
+    + ") select variant, 'some' as kind, case variant when 'base' then 'clean_listings_20240304_050607.csv' "
+    "when 'scale' then 'clean_l_2x_20240304_050607.csv' else 'clean_listings_any_20240304_050607.csv' end as name, n "
+    "from counts union all select variant, 'none', null, 0 from counts"
+)
+ORACLE["arriving_accounts"] = (
+    f"with raw0 as ({raw_sql()}), raw as ({_filled(RAW_COLUMNS).replace('from raw', 'from raw0')}) "
+    "select count(*) as raw_count, count(*) filter (outcome = 'clean') as clean_count, "
+    "count(*) filter (outcome <> 'clean') as removed_count, count(*) filter (outcome = 'error') as error_count, "
+    f"true as kept_aside from ({judged_sql('scale')}) j"
+)
+ORACLE["event_loads"] = (
+    "select (select count(*) from nation) as rows_loaded, (select count(*) from orders) as target_rows, "
+    "(select count(*) from nation) as text_rows, cast(1 as bigint) as rejected"
+)

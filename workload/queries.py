@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline import functions as fn
 from hearthline import operators as ops
 from hearthline import plans, sources, streaming
 from hearthline.schema import LISTING_COLUMNS
-from hearthline.session import scratch_path, stored, tune
+from hearthline.session import child_names, scratch_path, stored, tune
 from hearthline.sources.tables import staging_rows
 
 from .listings_view import raw_listings
@@ -66,6 +67,13 @@ def report_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(spark, sf_dir, REPORT_COLUMNS)
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """The rows with their ``place`` in the order they come in."""
+    slots = df.withColumn("_slot", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_slot")).cast("bigint")
+    return slots.withColumn("place", place).drop("_slot")
+
+
 def as_doubles(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
@@ -112,7 +120,7 @@ def state_counts_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case-insensitive grouping, as a case-insensitive collation gives."""
     rows = typed(spark, sf_dir, ["state", "price", "review_scores_rating"])
     rows = rows.withColumnRenamed("state", "neighbourhood")
-    groups = plans.top_neighbourhoods(rows, collation="UTF8_LCASE")
+    groups = plans.top_neighbourhoods(rows, limit=2**31 - 1, collation="UTF8_LCASE")
     return groups.select(
         F.lower(F.col("neighbourhood").cast("string")).alias("state"), "num_listings"
     )
@@ -363,14 +371,12 @@ def largest_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_listings(spark, sf_dir).select("id", "listing_url", "price")
-    return ops.replicate(raw, 4, copy_column="copy")
+    return ops.replicate(raw_listings(spark, sf_dir), 4, copy_column="copy")
 
 
 @query
 def scale_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_listings(spark, sf_dir).select("id", "listing_url", "price")
-    return ops.scale_summary(raw)
+    return ops.scale_summary(raw_listings(spark, sf_dir))
 
 
 @query
@@ -380,6 +386,14 @@ def scale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("multiplier", "records")
 
 
+@query
+def scale_file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the doubled file holds, read back."""
+    folder = scratch_path(spark, "scales")
+    rows = plans.write_scales(spark, csv_copy(spark, sf_dir), folder, [2])
+    return sources.read_raw_listings(spark, rows.where("multiplier = 2").first().path)
+
+
 @query
 def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -394,7 +408,24 @@ def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def order_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.order_by_id(raw_listings(spark, sf_dir).select("id", "price"))
+    """All columns, and the place of each row in the order."""
+    return in_order(ops.order_by_id(raw_listings(spark, sf_dir, position=True), position=["_row"])).drop("_row")
+
+
+@query
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the ordered reports with their places."""
+    rows = stored(report_input(spark, sf_dir), "report-input")
+    reports = {
+        "price_categories": plans.price_categories(rows),
+        "top_neighbourhoods": plans.top_neighbourhoods(rows),
+        "room_type_breakdown": plans.room_type_breakdown(rows),
+    }
+    parts = [
+        in_order(df).select(F.lit(name).alias("report"), F.col(df.columns[0]).alias("label"), "num_listings", "place")
+        for name, df in reports.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -419,6 +450,34 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.upsert(target, changes, ["c_custkey"], F.struct("o_orderdate", "o_orderkey"))
 
 
+@query
+def upsert_awkward_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL versions, equal versions and missing keys among the changes."""
+    target = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    order = F.col("o_orderkey")
+    changes = table(spark, sf_dir, "orders").select(
+        F.when(order % 50 != 0, F.col("o_custkey") * 2).alias("c_custkey"),
+        F.concat("o_orderpriority", order.cast("string")).alias("c_mktsegment"),
+        F.when(order % 3 != 0, order % 4).alias("version"),
+    )
+    return ops.upsert(target, changes, ["c_custkey"], "version")
+
+
+@query
+def oversized_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounting of prices beyond the gate, some beyond any double."""
+    order = F.col("o_orderkey")
+    price = (
+        F.when(order % 4 == 0, F.lit("$5.005"))
+        .when(order % 4 == 1, F.concat(F.repeat(F.lit("9"), 320), F.lit(".125")))
+        .when(order % 4 == 2, F.concat(F.repeat(F.lit("9"), 30), F.lit(".125")))
+        .otherwise(F.lit("$10000.01"))
+    )
+    raw = table(spark, sf_dir, "orders").select(order.cast("string").alias("id"), F.lit("n").alias("name"), price.alias("price"))
+    parts = [ops.row_accounting(raw, v).select(F.lit(v).alias("variant"), "*") for v in ("base", "scale", "arch")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Events and counters
 
 
@@ -454,6 +513,27 @@ def size_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Jobs: files and tables in the shared folder
 
 
+@query
+def awkward_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes within and behind fields, breaks inside quotes, short and long records, many files."""
+    order = F.col("o_orderkey")
+    kinds = [
+        F.concat(F.lit('5" wide,"a, ""b"""'), F.lit(",z")),
+        F.concat(F.lit('"line\nbreak ",x"y'), F.lit(",z,extra")),
+        F.concat(F.lit('"closed"after,"q"""'), F.lit("")),
+        F.concat(F.lit(",,"), F.col("o_orderpriority")),
+    ]
+    record = F.lit(None).cast("string")
+    for k, kind in enumerate(kinds):
+        record = F.when(order % 4 == k, F.concat(order.cast("string"), F.lit(","), kind)).otherwise(record)
+    rows = table(spark, sf_dir, "orders").select(F.floor(order / 5000).alias("file"), record.alias("record"))
+    files = rows.groupBy("file").agg(F.array_join(F.collect_list("record"), "\r\n").alias("records"))
+    path = scratch_path(spark, "awkward")
+    text = files.select("file", F.concat(F.lit("id,a,b,c\r\n"), "records").alias("value"))
+    text.repartition("file").write.partitionBy("file").text(path)
+    return sources.read_text_table(spark, f"{path}/*")
+
+
 @query
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.read_raw_listings(spark, csv_copy(spark, sf_dir))
@@ -506,8 +586,26 @@ def numbered_transform_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "clean")
     raw = raw_listings(spark, sf_dir, position=True)
     result = plans.run_transform(spark, raw, folder, variant="arch", architecture="any")
-    back = sources.read_raw_listings(spark, result.output)
-    return back.select(F.col("sequential_id").cast("bigint").alias("sequential_id"), "id")
+    return sources.read_raw_listings(spark, result.output)
+
+
+@query
+def transform_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of what transforms write, and that nothing is left where no row survives."""
+    raw = stored(raw_listings(spark, sf_dir), "raw")
+    rows = []
+    for variant in ("base", "scale", "arch"):
+        for kind, source in (("some", raw), ("none", raw.withColumn("price", F.lit("0")))):
+            folder = scratch_path(spark, "outputs")
+            try:
+                done = plans.run_transform(
+                    spark, source, folder, variant=variant, source_name="l_2x.csv", architecture="any",
+                    now=datetime(2024, 3, 4, 5, 6, 7),
+                )
+                rows.append((variant, kind, done.output.rsplit("/", 1)[1], done.metrics.attributes["clean_count"]))
+            except plans.NoValidRecords:
+                rows.append((variant, kind, None, len(child_names(spark, folder))))
+    return spark.createDataFrame(rows, "variant string, kind string, name string, n bigint")
 
 
 @query
@@ -575,7 +673,16 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = runs.select("operation", F.explode("attributes").alias("step", "ms"))
     marks = marks.where(F.col("step").rlike("^(start|end)_"))
     steps = timed.unionByName(marks.withColumn("ms", F.col("ms").cast("double")))
-    return steps.select("operation", "step", (F.col("ms") >= 0).alias("measured"))
+    named = steps.select("operation", "step", (F.col("ms") >= 0).alias("measured"))
+    parts = F.aggregate(
+        F.map_values(F.map_filter("timings_ms", lambda k, _: k != "total")), F.lit(0.0), lambda a, v: a + v
+    )
+    within = runs.select("operation", F.lit("sum of steps").alias("step"), (parts <= F.col("timings_ms")["total"] + 1).alias("measured"))
+    order = ["start_read", "end_read", "start_transform", "end_transform", "start_save", "end_save"]
+    marked = [F.col("attributes")[name].cast("double") for name in order]
+    rising = reduce(lambda a, b: a & b, (a <= b for a, b in zip(marked, marked[1:])))
+    ordered = runs.where("operation = 'transform'").select("operation", F.lit("marks in order").alias("step"), rising.alias("measured"))
+    return named.unionByName(within).unionByName(ordered)
 
 
 @query
@@ -615,3 +722,60 @@ def arriving_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("num_listings"),
         F.sum(F.col("price").cast("decimal(20,2)")).cast("double").alias("price"),
     )
+
+
+@query
+def arriving_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records of streamed transforms; one file of the batch ends inside quotes."""
+    path = scratch_path(spark, "arrivals")
+    raw = raw_listings(spark, sf_dir)
+    sources.write_text_csv(raw, f"{path}/in/good.csv")
+    bad = spark.createDataFrame([("1", '"never closed')], "id string, name string")
+    bad.write.option("header", True).option("quote", "\0").csv(f"{path}/in/bad.csv")
+    run = streaming.transform_arrivals(
+        spark,
+        f"{path}/in/*",
+        output_path=f"{path}/out",
+        checkpoint=f"{path}/checkpoint",
+        failed_path=f"{path}/failed",
+        metrics_path=f"{path}/runs",
+    )
+    run.awaitTermination()
+    a = F.col("attributes")
+    counts = ("raw_count", "clean_count", "removed_count", "error_count")
+    runs = spark.read.parquet(f"{path}/runs").where(a["error"].isNull())
+    sums = runs.agg(*(F.sum(a[c].cast("bigint")).cast("bigint").alias(c) for c in counts))
+    failed = spark.read.parquet(f"{path}/failed").agg((F.count(F.lit(1)) > 0).alias("kept_aside"))
+    return sums.crossJoin(F.broadcast(failed))
+
+
+@query
+def event_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads as events ask for them, run twice: replaced rows, counted text, rejects aside."""
+    path = scratch_path(spark, "events")
+    rows = staging_rows(raw_listings(spark, sf_dir))
+    sources.write_text_csv(sources.listing_text(rows), f"{path}/in/all.csv")
+    sources.write_text_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), f"{path}/in/nations.csv")
+    wanted = [
+        '{"s3Bucket": "in", "s3Key": "all.csv", "pruneTargetTable": "false"}',
+        '{"s3Bucket": "in", "s3Key": "nations.csv", "target": "sqlite", "pruneTable": "true"}',
+        '{"s3Key": "nowhere.csv"}',
+    ]
+    events = spark.createDataFrame([(e,) for e in wanted], "event string")
+    for _ in range(2):
+        plans.load_from_events(
+            spark,
+            events,
+            lambda bucket, key: f"{path}/{bucket}/{key}",
+            staging_path=f"{path}/staging",
+            target_path=f"{path}/target",
+            text_path=f"{path}/text",
+            metrics_path=f"{path}/runs",
+            reject_path=f"{path}/rejects",
+        )
+    a = F.col("attributes")
+    runs = spark.read.parquet(f"{path}/runs").agg(F.max(a["rows_loaded"].cast("bigint")).alias("rows_loaded"))
+    target = sources.read_target(spark, f"{path}/target").agg(F.count(F.lit(1)).alias("target_rows"))
+    text = spark.read.parquet(f"{path}/text").agg(F.count(F.lit(1)).alias("text_rows"))
+    rejects = spark.read.parquet(f"{path}/rejects").agg(F.count(F.lit(1)).alias("rejected"))
+    return runs.crossJoin(F.broadcast(target)).crossJoin(F.broadcast(text)).crossJoin(F.broadcast(rejects))
