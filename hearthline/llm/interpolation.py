@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,15 @@ def _values(planes: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts, most of them 0 or 1, in a fraction of a byte each."""
+    return zlib.compress(_planes(counts.astype(np.uint32)), 1)
+
+
+def _counts(blob: bytes) -> np.ndarray:
+    return _values(zlib.decompress(blob), np.uint32)
+
+
 def _asked(group: pa.Table) -> pa.Table:
     """A block's distinct n-grams by range, each with its counts in training and in held-out text."""
     group = group.combine_chunks()
@@ -99,7 +109,7 @@ def _asked(group: pa.Table) -> pa.Table:
             rows["block"].append(block)
             rows["keys"].append(_planes(np.diff(keys[a:b], prepend=np.uint64(0))))
             for name, c in zip(("train", "held"), counts):
-                rows[name].append(_planes(c[a:b].astype(np.uint32)))
+                rows[name].append(_small(c[a:b]))
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
@@ -111,7 +121,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answer() -> pa.RecordBatch:
         keys = [np.cumsum(_values(row[2], np.uint64), dtype=np.uint64) for row in held]
-        given = [np.concatenate([_values(row[at], np.uint32) for row in held]) for at in (3, 4)]
+        given = [np.concatenate([_counts(row[at]) for row in held]) for at in (3, 4)]
         # Unigrams and bigrams are hashed alike but may not meet: their ranges differ.
         kind = np.repeat([row[0] >= RANGES for row in held], [len(k) for k in keys])
         every = np.concatenate(keys)
@@ -127,7 +137,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found = distinct[(total > 0) & (distinct != _START)]
         ends = np.cumsum([len(k) for k in keys]).tolist()
         spans = list(zip([0, *ends], ends))
-        out = [[_planes(c[a:b].astype(np.uint32)) for a, b in spans] for c in sums]
+        out = [[_small(c[a:b]) for a, b in spans] for c in sums]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([row[0] for row in held] + [-1], pa.int32()),
@@ -170,7 +180,7 @@ def _featured(kind: pa.DataType):
         answers = answers.sort_by("range")
         grams = Grams(texts.column("text").combine_chunks())
         train, held = (
-            np.concatenate([_values(b, np.uint32) for b in answers.column(c).to_pylist()]).astype(np.int64)
+            np.concatenate([_counts(b) for b in answers.column(c).to_pylist()]).astype(np.int64)
             for c in ("train", "held")
         )
         n = len(grams.words)
@@ -192,8 +202,8 @@ def _featured(kind: pa.DataType):
         spans = list(zip([0, *ends], ends))
         own = (role == ROLES["held"]).tolist()
         columns = [role == ROLES["test"], grams.n_tokens, known, np.zeros(many, np.int64), base]
-        blobs = [[v[a:b].tobytes() for a, b in spans] for v in (classes[0], ratios[0])]
-        blobs += [[v[a:b].tobytes() if h else None for h, (a, b) in zip(own, spans)] for v in (classes[1], ratios[1])]
+        blobs = [[_planes(v[a:b]) for a, b in spans] for v in (classes[0], ratios[0])]
+        blobs += [[_planes(v[a:b]) if h else None for h, (a, b) in zip(own, spans)] for v in (classes[1], ratios[1])]
         arrays = [pa.array(c, t) for c, t in zip([*columns, *blobs], kinds)]
         return pa.table([texts.column("id").combine_chunks(), *arrays], names=["id", *names])
 
@@ -206,6 +216,10 @@ FEATURES = (
 )
 
 
+def _floats(column: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.float32), *(_values(b, np.float32) for b in column.to_pylist())])
+
+
 def _binned(scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Held-out tokens by bucket and likelihood ratio."""
@@ -213,7 +227,7 @@ def _binned(scale: float):
         n, total = np.zeros(size, np.int64), np.zeros(size)
         for batch in batches:
             of = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
-            ratio = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32) * scale
+            ratio = _floats(batch.column(1)) * scale
             place = np.clip(np.floor((np.log2(np.maximum(ratio, 1e-30)) + 40) * _STEP) + 1, 1, _BINS)
             at = of * (_BINS + 1) + np.where(ratio > 0, place, 0).astype(np.int64)
             n += np.bincount(at, minlength=size)
@@ -252,7 +266,7 @@ def _scored(weights: np.ndarray, scale: float):
         for batch in batches:
             n = batch.column("n_tokens").to_numpy()
             of = np.frombuffer(b"".join(batch.column("class").to_pylist()), np.uint8)
-            ratio = np.frombuffer(b"".join(batch.column("ratio").to_pylist()), np.float32).astype(float)
+            ratio = _floats(batch.column("ratio")).astype(float)
             each = np.log10(1 - weights[of] + weights[of] * ratio * scale)
             base = batch.column("base").to_numpy() - n * math.log10(scale)
             score = base + np.bincount(np.repeat(np.arange(len(n)), n), weights=each, minlength=len(n))
