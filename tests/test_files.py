@@ -5,6 +5,7 @@ import io
 import json
 import random
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -429,3 +430,65 @@ def test_jdbc_options():
 def test_shared_root_is_read_from_the_session(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert RAW_COLUMNS == LISTING_COLUMNS[:60] and len(LISTING_COLUMNS) == 68
+
+
+def target_rows(spark, path):
+    return sorted(r.id for r in sources.read_target(spark, path).collect())
+
+
+def test_a_failed_repeat_keeps_the_earlier_rows(spark, tmp_path):
+    path = str(tmp_path / "target")
+    rows = spark.createDataFrame([("1", "$50"), ("2", "$60")], "id string, price string")
+    typed = ops.typed_listings(ops.transform_listings(rows))
+    sources.append_target(typed, path, "a")
+    sources.append_target(typed.limit(1), path, "b")
+    broken = typed.withColumn("id", F.raise_error(F.lit("lost")).cast(typed.schema["id"].dataType))
+    for write in (sources.append_target, sources.replace_target):
+        with pytest.raises(Exception, match="lost"):
+            write(broken, path, "a")
+        assert len(target_rows(spark, path)) == 3
+    sources.append_target(typed.limit(1), path, "a")  # a repeat replaces its own rows
+    assert len(target_rows(spark, path)) == 2
+
+
+def test_readers_see_the_old_table_or_the_new_one(spark, tmp_path):
+    path = str(tmp_path / "target")
+    rows = spark.createDataFrame([("1", "$50"), ("2", "$60")], "id string, price string")
+    typed = ops.typed_listings(ops.transform_listings(rows))
+    sources.append_target(typed, path, "a")
+    before = sources.read_target(spark, path)
+    sources.replace_target(typed.limit(1), path, "b")
+    assert before.count() == 2 and sources.read_target(spark, path).count() == 1
+    sources.vacuum_target(spark, path)
+    assert set(sources.target_loads(spark, path)) == {"b"} and sources.read_target(spark, path).count() == 1
+    assert [p.name for p in (tmp_path / "target" / "data").glob("*/*")] != []
+    with pytest.raises(FileNotFoundError):
+        sources.read_target(spark, str(tmp_path / "nothing"))
+
+
+def test_a_numbered_transform_leaves_no_scratch(spark, tmp_path):
+    (tmp_path / "listings.csv").write_text("id,name,price\n2,b,$5\n1,a,$6\n")
+    root = Path(shared_root(spark))
+    before = {p.name for p in root.iterdir()} if root.exists() else set()
+    plans.run_transform(spark, str(tmp_path / "listings.csv"), str(tmp_path / "out"), variant="arch")
+    assert {p.name for p in root.iterdir()} - before == set()
+
+
+def test_numbered_arrivals_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="whole table"):
+        streaming.transform_arrivals(
+            spark, str(tmp_path), output_path="o", checkpoint="c", variant="arch"
+        )
+
+
+def test_ids_too_long_for_a_number_are_refused(spark):
+    rows = spark.createDataFrame([("1", "u"), ("9" * 39, "u")], "id string, listing_url string")
+    with pytest.raises(Exception, match="38 digits"):
+        ops.replicate(rows, 2).collect()
+
+
+def test_both_entrances_of_typing_agree(spark, awkward):
+    cleaned = ops.transform_listings(sources.read_raw_listings(spark, awkward))
+    direct = ops.typed_listings(cleaned).collect()
+    staged = ops.typed_listings(sources.listing_text(cleaned)).collect()
+    assert sorted(map(repr, direct)) == sorted(map(repr, staged))
