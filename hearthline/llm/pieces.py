@@ -26,7 +26,6 @@ CACHED = 600_000  # words whose best segmentation a task remembers
 _ZIPF = 2.7
 # A byte piece costs so much more than the rarest normal piece: fallback is the last resort.
 _BYTE_PENALTY = 10.0
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -55,15 +54,22 @@ class Vocabulary:
                 value = int(sp.id_to_piece(i)[3:5], 16)
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
         self.longest = max(map(len, self.pieces))
-        # Pieces character by character; "" holds the score and ids of a piece that ends there.
+        # Pieces character by character: by character what goes on, then score and ids of a
+        # piece that ends there, if one does.
         self.tree: dict = {}
         for piece, (score, i) in self.pieces.items():
-            node = self.tree
+            node: list = [self.tree]
             for character in piece:
-                node = node.setdefault(character, {})
-            node[""] = (score, (i,))
-        # Where no piece goes on from a word into the next space, words are independent.
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+                node = node[0].setdefault(character, [{}, None, None])
+            node[1:] = score, (i,)
+        # A lattice falls into independent parts wherever no piece holds the two characters
+        # that meet: between a word and the next space, and around a line break if no piece
+        # goes past it. Inside words ``learn`` looks up the pairs.
+        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        spaced = any(b == SPACE != a for a, b in self.pairs)
+        broken = any("\n" in pair for pair in self.pairs)
+        end = "" if broken else "\n"
+        self.word = re.compile("(?s).+" if spaced else f"{SPACE}*[^{SPACE}{end}]+|{SPACE}+|{end or SPACE}")
 
     def edges(self, word: str, literal: frozenset[int] = frozenset()) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """Lattice: for each place the edges (start, score, ids) that end there.
@@ -102,27 +108,29 @@ def best_two(vocabulary: Vocabulary, word: str) -> tuple[list[int], float, float
     best, second, back = [0.0] + [none] * n, [none] * (n + 1), [(0, ())] * (n + 1)
     for start in range(n):
         first, other = best[start], second[start]
-        node, end = vocabulary.tree, start
+        goes_on, end = vocabulary.tree, start
         for character in word[start:]:
-            node = node.get(character)
             end += 1
-            if node is None or "" not in node:
+            node = goes_on.get(character)
+            if node is None:
+                if end > start + 1:
+                    break
+                node = ({}, None, None)
+            goes_on, cost, own = node
+            if cost is None:
                 if end > start + 1:
-                    if node is None:
-                        break
                     continue
                 own = tuple([vocabulary.byte_ids[b] for b in character.encode("utf-8", "replace")])
                 cost = vocabulary.byte_score * len(own)
-            else:
-                cost, own = node[""]
             score = first + cost
-            if score > best[end]:
-                rest, at_most = other + cost, best[end]
-                second[end] = rest if rest > at_most else at_most
+            so_far = best[end]
+            if score > so_far:
+                rest = other + cost
+                second[end] = rest if rest > so_far else so_far
                 best[end], back[end] = score, (start, own)
             elif score > second[end]:
                 second[end] = score
-            if node is None:
+            if not goes_on:
                 break
     ids: list[int] = []
     place = n
@@ -160,13 +168,13 @@ def n_best(ending: list[list[tuple[int, float, tuple[int, ...]]]], n: int) -> li
     return found
 
 
-def words_of(text: str, by_word: bool = True) -> list[tuple[str, frozenset[int]]]:
+def words_of(text: str, word: re.Pattern) -> list[tuple[str, frozenset[int]]]:
     """Independent stretches of a text's lattice, and the places of literal ``SPACE`` in them."""
     if not text:
         return []
     marked = SPACE + text.replace(" ", SPACE)
     places = {m.start() + 1 for m in re.finditer(SPACE, text)}
-    spans = [m.span() for m in _WORD.finditer(marked)] if by_word else [(0, len(marked))]
+    spans = [m.span() for m in word.finditer(marked)]
     return [(marked[a:b], frozenset(p - a for p in range(a, b) if p in places)) for a, b in spans]
 
 
@@ -181,11 +189,21 @@ class Encoder:
         self.place: dict = {}  # of a word in the lists: ids as int32 bytes, score, loss of the second best
         self.ids: list[bytes] = []
         self.scores, self.losses = array("d"), array("d")
+        self.exact: list[bool] = []
         self.others: dict = {}
 
     def learn(self, word) -> int:
         """Place of a new word; a word with literal marks is a pair of text and places."""
-        if isinstance(word, str):
+        parts = self.parts(word) if isinstance(word, str) else []
+        if len(parts) > 1:
+            places = [self.learn(p) if (at := self.place.get(p)) is None else at for p in parts]
+            self.ids.append(b"".join([self.ids[p] for p in places]))
+            self.scores.append(math.fsum([self.scores[p] for p in places]))
+            self.losses.append(min([self.losses[p] for p in places]))
+            self.exact.append(all([self.exact[p] for p in places]))
+            place = self.place[word] = len(self.ids) - 1
+            return place
+        if parts:
             ids, score, loss = best_two(self.vocabulary, word)
         else:
             paths = n_best(self.vocabulary.edges(*word), 2)
@@ -194,9 +212,23 @@ class Encoder:
         self.ids.append(array("i", ids).tobytes())
         self.scores.append(score)
         self.losses.append(loss)
+        spelled = b"".join([self.vocabulary.bytes_of[i] for i in ids])
+        plain, marks = (word, ()) if isinstance(word, str) else word
+        wanted = "".join([c if k in marks else c.replace(SPACE, " ") for k, c in enumerate(plain)]) if marks else plain.replace(SPACE, " ")
+        self.exact.append(spelled == wanted.encode("utf-8", "replace"))
         place = self.place[word] = len(self.ids) - 1
         return place
 
+    def parts(self, word: str) -> list[str]:
+        """The word cut where no piece can lie across."""
+        pairs, out, first = self.vocabulary.pairs, [], 0
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in pairs:
+                out.append(word[first:k])
+                first = k
+        out.append(word[first:])
+        return out
+
     def options(self, word, place: int) -> list[Path]:
         """The ``n`` best segmentations of a word, the one in use first."""
         if place not in self.others:
@@ -206,21 +238,22 @@ class Encoder:
             self.others[place] = [(self.scores[place], used), *rest][: self.n]
         return self.others[place]
 
-    def text(self, text: str) -> tuple[bytes, list[float], list[list[tuple[int, tuple[int, ...]]]]]:
-        """Ids of the best segmentation; scores of the N best; the words the others change.
+    def text(self, text: str) -> tuple[bytes, list[float], list[list[tuple[int, tuple[int, ...]]]], bool]:
+        """Ids of the best segmentation; scores of the N best; the words the others change;
+        whether the ids of every word spell the word.
 
         Words are independent, so another segmentation of the text is other ones of some
         words. The ``n - 1`` words that lose least suffice: changing a further one loses
         at least as much as ``n - 1`` single changes do.
         """
         if not text:
-            return b"", [], []
+            return b"", [], [], True
         if len(self.place) > CACHED:
             self.forget()
-        if self.vocabulary.by_word and SPACE not in text:
-            words = _WORD.findall(SPACE + text.replace(" ", SPACE))
+        if SPACE not in text:
+            words = self.vocabulary.word.findall(SPACE + text.replace(" ", SPACE))
         else:
-            words = [w if w[1] else w[0] for w in words_of(text, self.vocabulary.by_word)]
+            words = [w if w[1] else w[0] for w in words_of(text, self.vocabulary.word)]
         get, learn = self.place.get, self.learn
         places = [learn(w) if (p := get(w)) is None else p for w in words]
         ids = b"".join([self.ids[p] for p in places])
@@ -237,7 +270,7 @@ class Encoder:
             ways.append((lost, [(i, o[k][1]) for i, o, k in zip(picked, options, way) if k]))
         ways.sort(key=lambda w: (w[0], len(w[1]), w[1]))
         ways = ways[: self.n]
-        return ids, [score - lost for lost, _ in ways], [changed for _, changed in ways[1:]]
+        return ids, [score - lost for lost, _ in ways], [changed for _, changed in ways[1:]], all([self.exact[p] for p in places])
 
 
 def decoded(ids: np.ndarray, bytes_of: list[bytes]) -> bytes:
@@ -258,7 +291,7 @@ def encode(
 
     ``ids`` is the best one and ``scores[k]`` the k-th best score; ``others[k - 1]`` lists
     the words (by number) that segmentation k changes, with their ids. ``round_trip``
-    tells that decoding gives the text. A space before the text and spaces read as the
+    tells that decoding gives the text, word by word. A space before the text and spaces read as the
     model's space mark; a literal mark and characters without a piece are spelled in
     bytes, so that decoding is exact.
 
@@ -284,10 +317,6 @@ def encode(
                 sizes = np.array([len(r[0]) // 4 for r in rows], np.int32)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 every = np.frombuffer(b"".join(r[0] for r in rows), np.int32)
-                exact = [
-                    decoded(every[a:b], vocabulary.bytes_of) == t.encode("utf-8", "replace")
-                    for a, b, t in zip(ends, ends[1:], some)
-                ]
                 others = [[[{"word": w, "ids": list(i)} for w, i in way] for way in r[2]] for r in rows]
                 kind = pa.list_(pa.list_(pa.struct([("word", pa.int32()), ("ids", pa.list_(pa.int32()))])))
                 yield pa.RecordBatch.from_arrays(
@@ -297,7 +326,7 @@ def encode(
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(every)),
                         pa.array([r[1] for r in rows], pa.list_(pa.float64())),
                         pa.array(others, kind),
-                        pa.array(exact),
+                        pa.array([r[3] for r in rows], pa.bool_()),
                     ],
                     names=[*kept, *names],
                 )

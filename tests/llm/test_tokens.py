@@ -49,12 +49,13 @@ def test_n_best_of_texts(vocabulary):
     for n in (1, 2, 3, 5):
         encoder = pieces.Encoder(vocabulary, n)
         for _ in range(15):
-            text = " ".join("".join(rng.choice("theranio") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
-            ids, scores, others = encoder.text(text)
+            text = " ".join("".join(rng.choice("therani,.\n") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
+            ids, scores, others, exact = encoder.text(text)
+            assert exact
             expected = every_path(vocabulary.edges("▁" + text.replace(" ", "▁")))[:n]
             assert np.allclose(scores, [s for s, _ in expected])
             assert len(others) == len(scores) - 1
-            words = [list(np.frombuffer(encoder.ids[encoder.place[w]], np.int32)) for w, _ in pieces.words_of(text)]
+            words = [list(np.frombuffer(encoder.ids[encoder.place[w]], np.int32)) for w, _ in pieces.words_of(text, vocabulary.word)]
             best = np.frombuffer(ids, np.int32).tolist()
             assert [i for w in words for i in w] == best
             for way in others:
