@@ -47,7 +47,10 @@ HEADLINE = [
     "transform_job",
     "load_job",
     "three_stage_report",
+    "csv_round_trip",
 ]
+# Read in splits as a file of many gigabytes is.
+SMALL_SPLITS = {"csv_round_trip": "4m"}
 
 
 def main() -> None:
@@ -70,9 +73,12 @@ def main() -> None:
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()  # start the JVM's readers
     seconds: dict[str, float] = {}
     for name in names:
+        if name in SMALL_SPLITS:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", SMALL_SPLITS[name])
         begin = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begin, 3)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     result = {
         "metric": "total time of the headline queries",
         "value": round(sum(seconds.values()), 3),
