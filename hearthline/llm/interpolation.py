@@ -19,9 +19,9 @@ from .words import LOWER, Texts, chunks, mixed
 
 # Text per block: a block asks once for the counts of its distinct n-grams.
 BLOCK_BYTES = 8 << 20
-# Ranges of n-gram hashes. A block sends a row per range, and a range holds a couple of
-# hundred n-grams of each block; larger blocks go with more ranges.
-RANGES = 1 << 12
+# Ranges of n-gram hashes. A block sends a row per range, and a range holds some thousand
+# n-grams of each block; larger blocks go with more ranges.
+RANGES = 1 << 9
 BATCH_KEYS = 1 << 20
 PRIOR = 0.5
 _START, _END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
