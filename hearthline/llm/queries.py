@@ -41,6 +41,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy that the mix takes, with its epoch and position, in training order."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "epoch", "position")
+
+
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_lm_scores": op5_lm_scores,
     "op6_source_mix": op6_source_mix,
+    "op6_training_order": op6_training_order,
     "op7_packed_ids": op7_packed_ids,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,

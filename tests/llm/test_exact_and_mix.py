@@ -135,6 +135,34 @@ def test_positions_follow_the_schedules(spark):
             assert abs(sum(p <= cut for p in own) / len(own) - share) < 0.02
 
 
+def test_training_order_query_returns_every_copy_with_its_position(spark, tmp_path):
+    from hearthline.llm import queries
+
+    rows = mixed_documents(4)
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    taken = {r.doc_id: r.taken for r in queries.QUERIES["op6_source_mix"](spark, str(tmp_path)).collect()}
+    got = queries.QUERIES["op6_training_order"](spark, str(tmp_path)).collect()
+    copies, sizes, source_of = Counter(), Counter(), {i: s for i, _, s in rows}
+    for r in got:
+        copies[r.doc_id] += r["size"]
+    for i, text, source in rows:
+        sizes[i] = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    assert all(copies[i] == taken[i] for i in taken)
+    assert [(r.position, r.doc_id) for r in got] == sorted((r.position, r.doc_id) for r in got)
+    names = sorted(set(source_of.values()), key=lambda s: (s is None, s))
+    for r in got:
+        own = [i for i, s in source_of.items() if s == r.source]
+        key = lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)
+        middle = r.epoch * r.source_size + sum(sizes[i] for i in own if key(i) < key(r.doc_id)) + r["size"] / 2
+        corners = mixing.SCHEDULES[names.index(r.source) % 3]
+        used = whole = 0.0  # what the schedule has demanded up to the position, and in all
+        for (a, u), (b, v) in zip(corners, corners[1:]):
+            whole += (b - a) * (u + v) / 2
+            x = min(max(r.position - a, 0.0), b - a)
+            used += u * x + (v - u) / (b - a) * x * x / 2
+        assert math.isclose(used / whole, min(middle / r.target, 1.0), abs_tol=1e-6)
+
+
 def test_mix_is_native_repeats_itself_and_takes_odd_tables(spark):
     rows = [(1, "a b", "s", 7, 1.5), (1, "a b c", "s", 7, 1.5), (None, None, None, None, None), (2, "", "s", 0, 0.0)]
     docs = spark.createDataFrame(rows, DOCS + ", size int, target double").withColumn("__part", F.lit("x"))
