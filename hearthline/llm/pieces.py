@@ -53,6 +53,10 @@ class Vocabulary:
             if sp.is_byte(i):
                 value = int(sp.id_to_piece(i)[3:5], 16)
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
+        # All ids' bytes on end, and where each one's begin and how many they are.
+        self.spelling = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.sizes = np.array(list(map(len, self.bytes_of)))
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.longest = max(map(len, self.pieces))
         # Pieces character by character: by character what goes on, then score and ids of a
         # piece that ends there, if one does.
@@ -189,7 +193,6 @@ class Encoder:
         self.place: dict = {}  # of a word in the lists: ids as int32 bytes, score, loss of the second best
         self.ids: list[bytes] = []
         self.scores, self.losses = array("d"), array("d")
-        self.exact: list[bool] = []
         self.others: dict = {}
 
     def learn(self, word) -> int:
@@ -200,7 +203,6 @@ class Encoder:
             self.ids.append(b"".join([self.ids[p] for p in places]))
             self.scores.append(math.fsum([self.scores[p] for p in places]))
             self.losses.append(min([self.losses[p] for p in places]))
-            self.exact.append(all([self.exact[p] for p in places]))
             place = self.place[word] = len(self.ids) - 1
             return place
         if parts:
@@ -212,10 +214,6 @@ class Encoder:
         self.ids.append(array("i", ids).tobytes())
         self.scores.append(score)
         self.losses.append(loss)
-        spelled = b"".join([self.vocabulary.bytes_of[i] for i in ids])
-        plain, marks = (word, ()) if isinstance(word, str) else word
-        wanted = "".join([c if k in marks else c.replace(SPACE, " ") for k, c in enumerate(plain)]) if marks else plain.replace(SPACE, " ")
-        self.exact.append(spelled == wanted.encode("utf-8", "replace"))
         place = self.place[word] = len(self.ids) - 1
         return place
 
@@ -239,15 +237,20 @@ class Encoder:
         return self.others[place]
 
     def text(self, text: str) -> tuple[bytes, list[float], list[list[tuple[int, tuple[int, ...]]]], bool]:
-        """Ids of the best segmentation; scores of the N best; the words the others change;
-        whether the ids of every word spell the word.
+        """What ``segment`` gives, and whether the ids decode to the text."""
+        ids, scores, others = self.segment(text)
+        ends = np.array([0, len(ids) // 4])
+        return ids, scores, others, round_trips(np.frombuffer(ids, np.int32), ends, [text], self.vocabulary)[0]
+
+    def segment(self, text: str) -> tuple[bytes, list[float], list[list[tuple[int, tuple[int, ...]]]]]:
+        """Ids of the best segmentation; scores of the N best; the words the others change.
 
         Words are independent, so another segmentation of the text is other ones of some
         words. The ``n - 1`` words that lose least suffice: changing a further one loses
         at least as much as ``n - 1`` single changes do.
         """
         if not text:
-            return b"", [], [], True
+            return b"", [], []
         if len(self.place) > CACHED:
             self.forget()
         if SPACE not in text:
@@ -270,7 +273,26 @@ class Encoder:
             ways.append((lost, [(i, o[k][1]) for i, o, k in zip(picked, options, way) if k]))
         ways.sort(key=lambda w: (w[0], len(w[1]), w[1]))
         ways = ways[: self.n]
-        return ids, [score - lost for lost, _ in ways], [changed for _, changed in ways[1:]], all([self.exact[p] for p in places])
+        return ids, [score - lost for lost, _ in ways], [changed for _, changed in ways[1:]]
+
+
+def spelled(ids: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> tuple[bytes, np.ndarray]:
+    """The bytes of all ids, and where those of each row end; row k has the ids ``ends[k]`` to ``ends[k + 1]``."""
+    sizes = vocabulary.sizes[ids]
+    after = np.cumsum(sizes)
+    total = int(after[-1]) if len(after) else 0
+    place = np.repeat(vocabulary.begins[ids] - after + sizes, sizes) + np.arange(total)
+    return vocabulary.spelling[place].tobytes(), np.concatenate([[0], after])[ends]
+
+
+def round_trips(ids: np.ndarray, ends: np.ndarray, texts: list[str], vocabulary: Vocabulary) -> list[bool]:
+    """Whether the ids of each row decode to its text, with the space that precedes every text."""
+    data, bounds = spelled(ids, ends, vocabulary)
+    bounds = bounds.tolist()
+    return [
+        data[a:b] == (" " + t if t else "").encode("utf-8", "replace")
+        for a, b, t in zip(bounds[:-1], bounds[1:], texts, strict=True)
+    ]
 
 
 def decoded(ids: np.ndarray, bytes_of: list[bytes]) -> bytes:
@@ -291,7 +313,7 @@ def encode(
 
     ``ids`` is the best one and ``scores[k]`` the k-th best score; ``others[k - 1]`` lists
     the words (by number) that segmentation k changes, with their ids. ``round_trip``
-    tells that decoding gives the text, word by word. A space before the text and spaces read as the
+    tells that the ids of the row as written, decoded, give its text. A space before the text and spaces read as the
     model's space mark; a literal mark and characters without a piece are spelled in
     bytes, so that decoding is exact.
 
@@ -313,20 +335,22 @@ def encode(
             step = max(1, len(texts) // (1 + sum(map(len, texts)) // (4 << 20)))
             for first in range(0, len(texts), step):
                 some = texts[first : first + step]
-                rows = [encoder.text(t) for t in some]
+                rows = [encoder.segment(t) for t in some]
                 sizes = np.array([len(r[0]) // 4 for r in rows], np.int32)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 every = np.frombuffer(b"".join(r[0] for r in rows), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(every))
+                exact = round_trips(ids.values.to_numpy(), ids.offsets.to_numpy(), some, vocabulary)
                 others = [[[{"word": w, "ids": list(i)} for w, i in way] for way in r[2]] for r in rows]
                 kind = pa.list_(pa.list_(pa.struct([("word", pa.int32()), ("ids", pa.list_(pa.int32()))])))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(c.slice(first, step) for c in batch.columns[:-1]),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(every)),
+                        ids,
                         pa.array([r[1] for r in rows], pa.list_(pa.float64())),
                         pa.array(others, kind),
-                        pa.array([r[3] for r in rows], pa.bool_()),
+                        pa.array(exact, pa.bool_()),
                     ],
                     names=[*kept, *names],
                 )

@@ -79,6 +79,32 @@ def test_encoding_round_trips(spark):
     assert pieces.encode(docs.limit(0), ["doc_id"]).count() == 0
 
 
+@needs_model
+def test_round_trip_decodes_the_ids_that_are_written(vocabulary):
+    encoder = pieces.Encoder(vocabulary)
+    texts = ["one two", "", "▁ two  three", "é☃\x00", "one two"]
+    rows = [np.frombuffer(encoder.segment(t)[0], np.int32) for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    ids = np.concatenate(rows)
+    assert pieces.round_trips(ids, ends, texts, vocabulary) == [True] * 5
+    wrong = ids.copy()
+    wrong[ends[2]] += 1
+    assert pieces.round_trips(wrong, ends, texts, vocabulary) == [True, True, False, True, True]
+    moved = ends.copy()
+    moved[3] += 1
+    assert pieces.round_trips(ids, moved, texts, vocabulary) == [True, True, False, False, True]
+    # Only the space that precedes a text may be left out, and only it.
+    assert pieces.round_trips(ids[1:], ends[:2].clip(max=len(rows[0]) - 1), texts[:1], vocabulary) == [False]
+
+
+@needs_model
+def test_a_join_that_loses_a_word_is_seen(monkeypatch):
+    whole = pieces.Encoder.segment
+    monkeypatch.setattr(pieces.Encoder, "segment", lambda self, t: (whole(self, t)[0][:-4], *whole(self, t)[1:]))
+    encoder = pieces.Encoder(pieces.Vocabulary(Path(pieces.MODEL).read_bytes()))
+    assert not encoder.text("some words")[3]
+
+
 def naive_fill(sizes, length):
     bins = []
     for size in sorted(sizes, reverse=True):
