@@ -5,33 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.session import stored
+
 # Turns of a conversation that one row and one window hold; longer ones go on in the next.
 SEGMENT_TURNS = 256
+# monotonically_increasing_id keeps the row's place in its partition in 33 bits.
+_PLACE_BITS = 33
+_NO_TURN = -(2**63)  # block of rows without a turn number
 TURN = "<|im_start|>%s\n%s<|im_end|>\n"
 
 
 def _placed(turns: DataFrame) -> DataFrame:
-    """Distinct turns with ``seg``, ``at`` (place in the conversation) and the hashes of the prefix they end.
+    """Distinct turns with ``seg``, ``at`` (place in the conversation) and its ``length``.
 
-    A turn's hash covers its place, role and text, so the hashes of a prefix combine by
-    XOR in any grouping. Places and hashes run in two levels, over a segment's turns and
-    over a conversation's segments: a conversation of any length is dealt out by segment.
+    Rows are range-partitioned in their order and written once, each with its partition
+    and place there; places in a conversation, and in a block of ``SEGMENT_TURNS`` turn
+    numbers, follow from the counts per conversation, block and partition. A block is
+    cut every ``SEGMENT_TURNS`` rows, so a segment is bounded whatever the turn numbers
+    are, and no task gets a whole conversation.
     """
-    rows = turns.select("conv_id", "turn", "role", "text").distinct()
-    seg = F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(-1))
-    order = Window.partitionBy("conv_id", "seg").orderBy("turn", "role", "text")
-    inside = rows.withColumn("seg", seg).withColumn("inside", F.row_number().over(order))
-    totals = inside.groupBy("conv_id", "seg").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("conv_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
+    order = ["conv_id", "turn", "role", "text"]
+    rows = turns.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(rows.withColumn("slot", F.monotonically_increasing_id()), "turns").select(
+        "conv_id",
+        F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(_NO_TURN)).alias("block"),
+        F.shiftright("slot", _PLACE_BITS).alias("part"),
+        F.col("slot").bitwiseAND((1 << _PLACE_BITS) - 1).alias("place"),
+        "role",
+        "text",
+    )
+    runs = rows.groupBy("conv_id", "block", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    blocks = runs.groupBy("conv_id", "block").agg(F.sum("n").alias("n"))
+    segments = F.ceil(F.col("n") / SEGMENT_TURNS)
+    conversation = Window.partitionBy("conv_id")
+    earlier = conversation.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
         F.col("conv_id").alias("c"),
-        F.col("seg").alias("s"),
+        F.col("block").alias("b"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"),
-        F.sum("n").over(Window.partitionBy("conv_id")).alias("length"),
+        F.coalesce(F.sum(segments).over(earlier), F.lit(0)).alias("seg_start"),
+        F.sum("n").over(conversation).alias("length"),
     )
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("seg").eqNullSafe(F.col("s"))
-    return inside.join(starts, same).select(
-        "conv_id", "seg", "role", "text", "length", (F.col("start") + F.col("inside")).alias("at")
+    in_block = Window.partitionBy("conv_id", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("skip", F.coalesce(F.sum("n").over(in_block), F.lit(0)) - F.col("first"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
+    runs = runs.join(blocks, same).select(
+        "c", "b", F.col("part").alias("p"), "skip", "start", "seg_start", "length"
+    )
+    inside = F.col("skip") + F.col("place")
+    return rows.join(runs, same & (F.col("part") == F.col("p"))).select(
+        "conv_id",
+        (F.col("seg_start") + F.floor(inside / SEGMENT_TURNS)).alias("seg"),
+        "role",
+        "text",
+        "length",
+        (F.col("start") + inside + 1).alias("at"),
     )
 
 
@@ -69,14 +97,14 @@ def _prefixes(placed: DataFrame) -> DataFrame:
     )
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id and n_turns of conversations that are no prefix of a longer one.
+def maximal_conversations(placed: DataFrame) -> DataFrame:
+    """From ``_placed``: conv_id and n_turns of conversations that are no prefix of a longer one.
 
     Of conversations with equal turns the smallest conv_id stays. Full hashes meet the
     distinct proper prefixes in an anti-join; both sides are aggregated first, so a turn
     or a conversation that a third of the log shares is one row there.
     """
-    prefixes = _prefixes(_placed(turns))
+    prefixes = _prefixes(placed)
     full = (
         prefixes.where(F.col("at") == F.col("length"))
         .groupBy("a", "b", "length")
@@ -100,19 +128,23 @@ def format_chats(turns: DataFrame) -> DataFrame:
     first. Rows repeated in all four are one turn; other columns are ignored. Turns are
     compared by place, role and text, NULL unlike the empty text. A NULL conv_id is a
     conversation of its own; where copies exist it gives way to any id. Conversations
-    above ``SEGMENT_TURNS`` turns are rendered in segments (by turn number, a quarter of
-    a thousand each) whose texts follow each other, so that no row grows without bound.
+    above ``SEGMENT_TURNS`` turns are rendered in segments whose texts follow each other: one
+    for each ``SEGMENT_TURNS`` turn numbers, and more where these numbers, or NULL, hold
+    more rows than that. No row has more than ``SEGMENT_TURNS`` turns.
     """
     placed = _placed(turns)
-    kept = maximal_conversations(turns).withColumnRenamed("conv_id", "keep")
-    chosen = placed.join(kept, F.col("conv_id").eqNullSafe(F.col("keep")), "left_semi")
+    kept = maximal_conversations(placed).withColumnRenamed("conv_id", "keep")
+    # Joined by segment: a hot conversation's turns do not meet in one task.
+    cuts = placed.select(F.col("conv_id").alias("c"), F.col("seg").alias("s")).distinct()
+    cuts = cuts.join(kept, F.col("c").eqNullSafe(F.col("keep")), "left_semi")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg") == F.col("s"))
+    chosen = placed.join(cuts, same, "left_semi")
     parts = F.sort_array(F.collect_list(F.struct("at", "role", "text")))
     segments = chosen.groupBy("conv_id", "seg").agg(F.max("length").alias("n_turns"), parts.alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: rendered_turn(p["role"], p["text"])), "")
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("seg")) - 1
     return segments.select(
         "conv_id",
-        number.alias("segment"),
+        F.col("seg").cast("int").alias("segment"),
         "n_turns",
         F.element_at("parts", 1)["at"].cast("long").alias("first_turn"),
         text.alias("text"),

@@ -220,3 +220,24 @@ def test_chat_collapses_snapshots(spark):
     assert chat.format_chats(frame.limit(0)).count() == 0
     plan = physical(got)
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_chat_segments_are_bounded_whatever_the_turn_numbers_are(spark):
+    turns = [(None, t % 2, "user", f"logged {t:04d}") for t in range(1500)]  # a shared conversation
+    turns += [(7, None, "user", f"no number {t:04d}") for t in range(900)] + [(7, 3, "user", "end"), (7, 300, None, None)]
+    turns += [(8, None, "user", f"no number {t:04d}") for t in range(700)]  # begins 7
+    turns += [(9, t, "user", f"gaps {t}") for t in range(0, 2000, 100)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)
+    rows = chat.format_chats(frame).collect()
+    expected = kept_by_brute_force(turns)
+    assert None in expected and set(expected) == {None, 7, 9} == {r.conv_id for r in rows}
+    for conv, said in expected.items():
+        own = sorted((r for r in rows if r.conv_id == conv), key=lambda r: r.segment)
+        assert [r.segment for r in own] == list(range(len(own)))
+        held = [r.text.count("<|im_start|>") for r in own]
+        assert max(held) <= chat.SEGMENT_TURNS
+        assert [r.first_turn for r in own] == [1 + sum(held[:k]) for k in range(len(own))]
+        assert {r.n_turns for r in own} == {len(said)}
+        assert "".join(r.text for r in own) == "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in said)
+    # By number where numbers are distinct, as in the SQL.
+    assert sum(r.conv_id == 9 for r in rows) == len({t // 256 for t in range(0, 2000, 100)})
