@@ -40,8 +40,9 @@ def gram_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     for j in range(GRAM):
         code = (code << np.uint64(8)) | data[j : j + many]
     inside = np.ones(many + GRAM, bool)
+    ends = texts.bounds[1:]
     for back in range(1, GRAM):
-        inside[np.maximum(texts.bounds[1:] - back, 0)] = False
+        inside[ends[ends >= back] - back] = False  # empty texts at the front end before any place
     places = np.flatnonzero(inside[:many])
     return (mixed(code[places]) % np.uint64(BUCKETS)).astype(np.int64), places
 

@@ -219,3 +219,17 @@ def test_weights_follow_the_held_out_counts():
     weights = interpolation.expectation_maximisation(np.array([3, 3]), np.array([500, 500]), np.array([10.0, 0.0]))
     best = max(np.linspace(0.001, 0.999, 999), key=lambda w: 500 * math.log(1 - w + 10 * w) + 500 * math.log(1 - w))
     assert abs(weights[3] - best) < 0.002 and weights[0] == 0 and weights[1] == 0.5 and weights[31] == weights[3]
+
+
+@pytest.mark.parametrize("texts", [["", "abcde", "", "", "xyz", "a", "bc"], ["", "", "abc"], ["a", "bcd"], ["ab", "", "cdef", ""]])
+def test_ngrams_of_a_batch_that_begins_with_empty_texts(texts):
+    from hearthline.llm.words import Texts
+
+    data = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum(list(map(len, data)))])
+    whole = Texts(np.frombuffer(b"".join(data), np.uint8), bounds)
+    bucket, place = quality_rules.gram_buckets(whole)
+    expected = [int(a) + k for t, a in zip(data, bounds) for k in range(len(t) - quality_rules.GRAM + 1)]
+    assert place.tolist() == expected
+    alone = [quality_rules.gram_buckets(Texts(np.frombuffer(t, np.uint8), np.array([0, len(t)])))[0] for t in data]
+    assert bucket.tolist() == np.concatenate(alone).tolist()
