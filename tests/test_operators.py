@@ -144,3 +144,14 @@ def test_size_advice(spark, memory, used, runtime):
     base = available * 1.1 if available - utilized < 0.1 else utilized
     assert row.availableCPUs == round(available, 3) and row.utilizedCPUs == round(utilized, 3)
     assert row.recommendedMemory == min(max(round(0.000556 * base + 0.012346), 128), 10240)
+
+
+def test_places_do_not_put_all_rows_in_one_task(spark):
+    from workload.queries import in_order
+
+    rows = spark.range(5000).selectExpr("(id * 7919) % 5000 as k", "repeat('x', 50) as wide")
+    got = in_order(rows.repartitionByRange(6, "k").sortWithinPartitions("k"))
+    assert {(r.k + 1, r.place) for r in got.collect()} == {(i, i) for i in range(1, 5001)}
+    windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert windows and not any("_slot" in line for line in windows)
+    assert dict(got.dtypes)["place"] == "bigint"

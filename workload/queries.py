@@ -68,10 +68,21 @@ def report_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_order(df: DataFrame) -> DataFrame:
-    """The rows with their ``place`` in the order they come in."""
-    slots = df.withColumn("_slot", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.orderBy("_slot")).cast("bigint")
-    return slots.withColumn("place", place).drop("_slot")
+    """The rows with their ``place`` in the order they come in.
+
+    As in ``add_sequence``: rows are written once with their partition and place there,
+    and only a row per partition is put in one order and broadcast.
+    """
+    slots = stored(df.withColumn("_slot", F.monotonically_increasing_id()), "ordered")
+    slots = slots.withColumn("_part", F.shiftright("_slot", 33))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        slots.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    )
+    place = F.col("_before") + F.col("_slot").bitwiseAND((1 << 33) - 1) + 1
+    return slots.join(F.broadcast(offsets), "_part").select(*df.columns, place.alias("place"))
 
 
 def as_doubles(df: DataFrame, *names: str) -> DataFrame:
