@@ -47,15 +47,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+def stored(df: DataFrame, label: str, *, temporary: bool = True, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage and survives lost executors: later stages read committed files
-    instead of recomputing their input.
+    instead of recomputing their input. ``temporary`` tables go with the ``scratch`` block
+    they are written in.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    if (kept := _SCRATCH.get()) is not None:
+    if temporary and (kept := _SCRATCH.get()) is not None:
         kept.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
