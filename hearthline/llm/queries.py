@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, interpolation, language, minhash, mixing, packing, pieces, quality_rules, suffixes
+from . import chat, exact_dedup, interpolation, language, minhash, mixing, packing, periodic, phrases, pieces
+from . import quality_rules, suffixes, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +75,54 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs, trusted_ids(spark, sf_dir)).drop("text", "n_grams")
 
 
+def repeated_tail(doc_id: object, n: int) -> np.ndarray | None:
+    """In one document of ten the words behind a place repeat those that follow it."""
+    number = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if number % 10 or not n:
+        return None
+    g = number // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % period
+    return places
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_documents(spark, sf_dir).select("doc_id", "text"), shown=repeated_tail)
+    # Runs go by start, then period: the first of those with the largest exponent stays.
+    larger = F.aggregate(
+        F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))),
+        F.get("runs", F.lit(0)),
+        lambda best, run: F.when(
+            run["length"] * best["period"] > best["length"] * run["period"], run
+        ).otherwise(best),
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", larger).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", toxicity.fold("doc_id", 4) == 2)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir).select("doc_id", "lang", "text"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -83,6 +135,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE = {
@@ -183,4 +238,44 @@ ORACLE = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op13_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), worded AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2),
+                                                  lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM worded, (SELECT unnest([1, 2, 3]) AS k)
+        ), counted AS (
+            SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+        ), totals AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang
+        ), candidates AS (
+            SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 10
+        ), cuts AS (
+            SELECT c.lang, c.k, c.phrase, c.a, cut, x.f AS l, y.f AS r,
+                   CAST((c.a::HUGEINT * c.a * 1000000) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) AS c
+            JOIN counted AS x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+            JOIN counted AS y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+        ), scored AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ), inner_parts AS (
+            SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a
+            FROM candidates WHERE k = 3
+        ), within AS (
+            SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL
+        ), kept AS (
+            SELECT s.* FROM scored AS s LEFT JOIN within AS i USING (lang, phrase)
+            WHERE most IS NULL OR 100 * most < 50 * s.a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang)
+        QUALIFY rank <= 2000
+    """,
 }

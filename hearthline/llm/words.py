@@ -112,3 +112,28 @@ def windows(hashed: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
 def per_text(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Sum of ``values`` by text."""
     return np.bincount(owner, weights=values, minlength=n).astype(np.int64)
+
+
+class Tally:
+    """Sums by 64-bit key of what many chunks add; memory follows the distinct keys."""
+
+    def __init__(self, columns: int, pending: int = 1 << 21):
+        self.columns, self.most, self.size = columns, pending, 0
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        self.parts.append((keys, *values))
+        self.size += len(keys)
+        if self.size > self.most:
+            keys, values = self.sums()
+            self.parts, self.size = [(keys, *values)], 0
+            self.most = max(self.most, 2 * len(keys))
+
+    def sums(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        if not self.parts:
+            return np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * self.columns
+        keys, *values = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return keys[first], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
