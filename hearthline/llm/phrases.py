@@ -65,8 +65,15 @@ class Phrases:
             self.places[n] = place
             self.keys[n] = (key & ~np.uint64(3)) | np.uint64(n)
 
-    def words(self, place: int, n: int) -> bytes:
-        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[place : place + n], self.ends[place : place + n], strict=True))
+    def word(self, place: int) -> bytes:
+        return self.data[self.starts[place] : self.ends[place]].tobytes()
+
+    def parts(self, n: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the chosen phrases of ``n`` words without their last, and without their first word."""
+        at = np.zeros(len(self.starts) + 1, np.uint64)
+        at[self.places[n - 1]] = self.keys[n - 1]
+        place = self.places[n][chosen]
+        return at[place], at[place + 1]
 
     def eligible(self, bits: np.ndarray) -> Iterator[np.ndarray]:
         """By length: which phrases have only proposed parts."""
@@ -142,37 +149,64 @@ def _counted(bits: np.ndarray | None, before: np.ndarray | None):
     return run
 
 
-def _written(bits: np.ndarray):
-    """Counts by text of the phrases that ``bits`` hold, and (with no phrase) of all words."""
+_PARTS = "key long, head long, tail long, n long, lang string, word string"
+
+
+def _taken_apart(bits: np.ndarray):
+    """Counts of the phrases that ``bits`` hold, with the keys of their parts; of words, with
+    language and text; and, with neither, of all the words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, text, words = Tally(1), {}, {}
+        held_back: list[tuple[np.ndarray, ...]] = []
+        words: dict[int, list] = {}
+        totals: dict[str, int] = {}
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            keys, (counts,) = tally.sums()
-            rows = [text[k] for k in keys.tolist()]
-            langs = [lang for lang, _ in rows] + list(words)
-            phrases = pa.array([phrase for _, phrase in rows] + [None] * len(words), pa.binary()).cast(pa.string())
-            sizes = [k & 3 for k in keys.tolist()] + [0] * len(words)
+            if held_back:
+                columns = [np.concatenate(x) for x in zip(*held_back, strict=True)]
+                order = np.argsort(columns[0], kind="stable")
+                key, head, tail, n = (c[order] for c in columns)
+                fresh = np.append(True, (key[1:] != key[:-1]) | (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
+                first = np.flatnonzero(fresh[: len(key)])
+                n = np.add.reduceat(n, first) if len(first) else n
+                nothing = pa.nulls(len(first), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c[first].view(np.int64)) for c in (key, head, tail)), pa.array(n), nothing, nothing],
+                    names=["key", "head", "tail", "n", "lang", "word"],
+                )
+            rows = [(k, n, lang, word) for k, (n, lang, word) in words.items()]
+            rows += [(0, n, lang, None) for lang, n in totals.items()]
+            key, n, lang, word = zip(*rows, strict=True) if rows else ((), (), (), ())
+            zeros = pa.array(np.zeros(len(rows), np.int64))
+            key = pa.array(np.array(key, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), phrases, pa.array(sizes, pa.int32()), pa.array([*counts.tolist(), *words.values()], pa.int64())],
-                names=["lang", "phrase", "words", "f"],
+                [key, zeros, zeros, pa.array(n, pa.int64()), pa.array(lang, pa.string()), pa.array(word, pa.binary()).cast(pa.string())],
+                names=["key", "head", "tail", "n", "lang", "word"],
             )
+            held_back.clear()
+            words.clear()
+            totals.clear()
 
+        size = 0
         for phrases, own, names in _each(batches):
             for code, n in enumerate(np.bincount(own[phrases.owner], minlength=len(names)).tolist()):
-                words[names[code]] = words.get(names[code], 0) + n
+                totals[names[code]] = totals.get(names[code], 0) + n
             for n, keys in phrases.keys.items():
                 chosen = np.flatnonzero(held(keys, bits))
-                keys, first, counts = np.unique(keys[chosen], return_index=True, return_counts=True)
-                tally.add(keys, counts)
-                for key, at in zip(keys.tolist(), chosen[first].tolist(), strict=True):
-                    if key not in text:
-                        place = int(phrases.places[n][at])
-                        text[key] = names[own[phrases.owner[place]]], phrases.words(place, n)
-            if len(text) > HELD // 8:
+                found, first, counts = np.unique(keys[chosen], return_index=True, return_counts=True)
+                if n > 1:
+                    held_back.append((found, *phrases.parts(n, chosen[first]), counts))
+                    size += len(found)
+                    continue
+                for key, count, at in zip(found.tolist(), counts.tolist(), chosen[first].tolist(), strict=True):
+                    if key in words:
+                        words[key][0] += count
+                    else:
+                        place = int(phrases.places[1][at])
+                        words[key] = [count, names[own[phrases.owner[place]]], phrases.word(place)]
+            if size > HELD:
                 yield from flushed()
-                tally, text, words = Tally(1), {}, {}
+                size = 0
         yield from flushed()
 
     return run
@@ -206,14 +240,19 @@ def _missing(keys: DataFrame, bits) -> DataFrame:
     return keys.select("key").mapInArrow(run, "key long")
 
 
-def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """lang, phrase, words and f of every phrase of up to ``LONGEST`` words that occurs
-    ``LEAST`` times or more in a language; the row without a phrase counts all its words.
+def _sums(counts: DataFrame, *keys: str) -> DataFrame:
+    """Sums by key. The tasks have added up their own rows, so these are dealt as they are."""
+    return counts.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+
 
-    Texts are cut into pieces and words as ``collocations`` says. The counts are exact and
-    do not depend on the sample. The passes' tables are removed; the result is a written
-    table. Each task adds up its own rows first, so repeated texts and hot languages move
-    one row per phrase and block.
+def phrase_table(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """Phrases of up to ``LONGEST`` words that occur ``LEAST`` times or more in a language.
+
+    key, head and tail (keys of the phrase without its last and without its first word), n
+    (its count); words have their language and text instead; the row with key 0 counts all
+    words of a language. Counts are exact and do not depend on the sample. The passes'
+    tables are removed; the result is a written table. Each task adds up its own rows first,
+    so repeated texts and hot languages move one row per phrase and block.
     """
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast
@@ -226,7 +265,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             now, then = (None if b is None else b.value for b in (bits, before))
             return _counted(now, then)(batches)
 
-        sums = source.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        sums = _sums(source.mapInArrow(run, "key long, n long"), "key")
         return stored(sums.where(F.col("n") >= least).select("key"), label)
 
     with scratch(spark):
@@ -247,15 +286,43 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         for more in frequent[1:]:
             found = found.unionByName(more)
         wanted = broadcast(_bits(found))
-        by_text = texts.mapInArrow(
-            lambda batches: _written(wanted.value)(batches), "lang string, phrase string, words int, f long"
-        )
-        sums = by_text.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-        return stored(sums.where((F.col("words") == 0) | (F.col("f") >= LEAST)), "phrases", temporary=False)
+        apart = texts.mapInArrow(lambda batches: _taken_apart(wanted.value)(batches), _PARTS)
+        # Parts beside the key tell phrases apart whose hashes agree.
+        sums = _sums(apart, "key", "head", "tail", "lang", "word")
+        return stored(sums.where((F.col("key") == 0) | (F.col("n") >= LEAST)), "phrases", temporary=False)
 
 
-def _part(first: int, size: Column | int) -> Column:
-    return F.array_join(F.slice("w", first, size), " ")
+def _words_and_pairs(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words and pairs of words with their texts and counts."""
+    words = table.where("word is not null").select("key", "lang", "word", "n")
+    pairs = table.where("key & 3 = 2").select("key", F.col("head").alias("one"), F.col("tail").alias("two"), F.col("n").alias("a"))
+    one = words.select(F.col("key").alias("one"), "lang", F.col("word").alias("w1"), F.col("n").alias("l"))
+    two = words.select(F.col("key").alias("two"), F.col("word").alias("w2"), F.col("n").alias("r"))
+    return words, pairs.join(one, "one").join(two, "two").drop("one", "two")
+
+
+def _triples(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Phrases of three words with both pairs they hold."""
+    triples = table.where("key & 3 = 3").select("head", "tail", F.col("n").alias("a"))
+    head = pairs.select(F.col("key").alias("head"), "lang", "w1", F.col("l").alias("l1"), F.col("a").alias("l2"))
+    behind = (F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("r1"), F.col("r").alias("r2"))
+    tail = pairs.select(F.col("key").alias("tail"), *behind)
+    return triples.join(head, "head").join(tail, "tail")
+
+
+def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """lang, phrase, words and f of every frequent phrase, single words included."""
+    table = phrase_table(docs, text_col, lang_col, id_col)
+    words, pairs = _words_and_pairs(table)
+    triples = _triples(table, pairs)
+    one = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))
+    two = pairs.select("lang", F.concat_ws(" ", "w1", "w2"), F.lit(2), "a")
+    return one.union(two).union(triples.select("lang", F.concat_ws(" ", "w1", "w2", "w3"), F.lit(3), "a"))
+
+
+def _score(a: str, left: str, right: str) -> Column:
+    a, left, right = (f"cast({c} as decimal(38,0))" for c in (a, left, right))
+    return F.expr(f"({a} * {a} * 1000000) div ({left} * {right})")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", top: int = TOP) -> DataFrame:
@@ -270,34 +337,24 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     NULL and empty texts hold no phrase, a NULL language is ``und``, repeated rows count as
     often as they occur, further columns are ignored; without texts there is no row.
     """
-    table = frequent_phrases(docs, text_col, lang_col, id_col)
-    words = table.where("words = 0").select("lang", F.col("f").alias("n"))
-    known = table.where("words > 0")
-    candidates = known.where("words > 1").withColumn("w", F.split("phrase", " "))
-    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-    cuts = cuts.select(
-        "lang", "phrase", "words", F.col("f").alias("a"), "k",
-        _part(1, F.col("k")).alias("left"), F.array_join(F.slice("w", F.col("k") + 1, F.col("words")), " ").alias("right"),
-    )
-    for side, name in (("left", "l"), ("right", "r")):
-        part = known.select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
-        cuts = cuts.join(part, ["lang", side])
-    wide = {c: F.col(c).cast("decimal(38,0)") for c in "alr"}
-    score = F.expr("(wide_a * wide_a * 1000000) div (wide_l * wide_r)")
-    cuts = cuts.withColumns({f"wide_{c}": v for c, v in wide.items()}).withColumn("score", score)
-    scored = cuts.groupBy("lang", "phrase", "words").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut"))
-    scored = scored.select("lang", "phrase", "words", "cut.*")
-
-    size = F.col("words") - 1
-    inner = F.explode(F.array_distinct(F.array(_part(1, size), _part(2, size)))).alias("phrase")
-    longer = candidates.where("words > 2").select("lang", inner, F.col("f").alias("within"))
-    # A shorter phrase lies in a longer one by way of those one word shorter, which are as frequent.
-    longer = longer.groupBy("lang", "phrase").agg(F.max("within").alias("within"))
-    kept = scored.join(longer, ["lang", "phrase"], "left").where(
+    table = phrase_table(docs, text_col, lang_col, id_col)
+    totals = table.where("key = 0").select("lang", "n")
+    _, pairs = _words_and_pairs(table)
+    triples = _triples(table, pairs)
+
+    # A pair lies in a longer phrase by way of a triple.
+    inner = triples.select(F.explode(F.array_distinct(F.array("head", "tail"))).alias("key"), F.col("a").alias("within"))
+    inner = inner.groupBy("key").agg(F.max("within").alias("within"))
+    alone = pairs.join(inner, "key", "left").where(
         F.col("within").isNull() | (F.col("within") * 100 < F.col("a") * INSIDE)
     )
+    cut = [F.struct(_score("a", f"l{k}", f"r{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in (1, 2)]
+    three = triples.withColumn("cut", F.least(*cut)).select(
+        "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "cut.l", "cut.r", "cut.score"
+    )
+    two = alone.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "l", "r", _score("a", "l", "r").alias("score"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.join(words, "lang").select(
+    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score")
     )

@@ -24,11 +24,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the powers 0 to n, modulo 2^64."""
-    p = np.full(n + 1, base, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+    """``base`` to the powers 0 to n, modulo 2^64; those of a usual piece are kept."""
+    if n > 2 * CHUNK_BYTES:
+        p = np.full(n + 1, base, np.uint64)
+        p[0] = 1
+        return np.multiply.accumulate(p)
+    if base not in _POWERS:
+        p = np.full(2 * CHUNK_BYTES + 1, base, np.uint64)
+        p[0] = 1
+        _POWERS[base] = np.multiply.accumulate(p)
+    return _POWERS[base][: n + 1]
 
 
 class Texts:
