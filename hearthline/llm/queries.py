@@ -115,7 +115,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", toxicity.fold("doc_id", 4) == 2)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    model = toxicity.fit(docs.where(~F.col("held_out")), labels)
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 

@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from hearthline.session import scratch, stored
+
 from .words import LOWER, Tally, Texts, chunks, mixed
 
 PREFIXES = (3, 4, 5, 6)  # bytes of the beginnings of words that are features beside whole words
-# Counts by label cover every labelled row and choose the features: those that so many labelled
-# texts hold, and whose share of toxic ones differs from the usual by so many deviations. The
-# model keeps the MAX_FEATURES that differ most, and is fitted on at most MAX_FITTED rows of
-# each label, those whose ids have the smallest MD5.
+# The model is fitted on at most MAX_FITTED rows of each label, those whose ids have the smallest
+# MD5. Features are those that so many of its texts hold, and whose share of toxic ones differs
+# from the usual by so many deviations; the model keeps the MAX_FEATURES that differ most.
 LEAST_DOCS, LEAST_SIGMAS = 4, 6.0
 MAX_FEATURES = 20_000
 MAX_FITTED = 6000
@@ -71,25 +72,26 @@ def sentences(texts: Texts) -> tuple[np.ndarray, ...]:
     return np.concatenate([sentence[w] for w in whole]), hashed, owner[first], starts[first], ends[last]
 
 
-def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled texts, all and toxic ones, that hold a feature."""
+def telling(texts_of: pa.Array, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Hashes of the features that tell toxic texts from others, ascending."""
     tally = Tally(2)
-    for batch in batches:
-        label = np.asarray(batch.column(0).cast(pa.int64()))
-        for first, texts in chunks(batch.column(1)):
-            sentence, hashed, owner, _, _ = sentences(texts)
-            order = np.lexsort((hashed, owner[sentence]))
-            text, hashed = owner[sentence][order], hashed[order]
-            fresh = np.append(True, (text[1:] != text[:-1]) | (hashed[1:] != hashed[:-1]))[: len(text)]
-            toxic = label[first : first + len(texts)][text[fresh]]
-            tally.add(hashed[fresh], np.ones(len(toxic), np.int64), toxic)
+    for first, texts in chunks(texts_of):
+        sentence, hashed, owner, _, _ = sentences(texts)
+        order = np.lexsort((hashed, owner[sentence]))
+        text, hashed = owner[sentence][order], hashed[order]
+        fresh = np.append(True, (text[1:] != text[:-1]) | (hashed[1:] != hashed[:-1]))[: len(text)]
+        row = first + text[fresh]
+        tally.add(hashed[fresh], np.ones(len(row), np.int64), label[row].astype(np.int64))
     keys, (docs, toxic) = tally.sums()
-    for a in range(0, len(keys), 1 << 16):
-        own = slice(a, a + (1 << 16))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[own].view(np.int64)), pa.array(docs[own]), pa.array(toxic[own])],
-            names=["feature", "docs", "toxic"],
-        )
+    # In units of toxic rows, with the others as many as they stand for.
+    bad = label == 1
+    other = weight[~bad].mean() / weight[bad].mean()
+    share = bad.sum() / (bad.sum() + other * (~bad).sum())
+    stands = toxic + other * (docs - toxic)
+    off = np.abs(toxic - share * stands) / np.sqrt(stands * share * (1 - share))
+    able = np.flatnonzero((docs >= LEAST_DOCS) & (off >= LEAST_SIGMAS))
+    most = able[np.argsort(-off[able], kind="stable")[:MAX_FEATURES]]
+    return np.sort(keys[most])
 
 
 def _features(texts: Texts, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -132,71 +134,81 @@ def trained(sentence, place, owner, many, label, weight, width: int) -> tuple[np
     return parameters[:width], float(parameters[width])
 
 
-def _fitted(chosen: np.ndarray):
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        label = np.asarray(group.column("label").combine_chunks().cast(pa.float64()))
-        weight = np.asarray(group.column("weight").combine_chunks())
-        parts, before = [], 0
-        for first, texts in chunks(group.column("text").combine_chunks()):
-            sentence, place, owner, starts, _ = _features(texts, chosen)
-            told = np.unique(sentence)
-            # The sentences of a text that tell nothing are one, with their number.
-            silent = np.bincount(owner, minlength=len(texts)) - np.bincount(owner[told], minlength=len(texts))
-            rest = np.flatnonzero(silent)
-            parts.append(
-                (
-                    np.searchsorted(told, sentence) + before,
-                    place,
-                    np.concatenate([owner[told], rest]) + first,
-                    np.concatenate([np.ones(len(told)), silent[rest]]),
-                )
+def _fitted(group: pa.Table) -> pa.Table:
+    """One row: features, weights and bias learned from the rows of the sample."""
+    group = group.combine_chunks()
+    column = group.column("text").combine_chunks()
+    label = np.asarray(group.column("label").combine_chunks().cast(pa.float64()))
+    weight = np.asarray(group.column("weight").combine_chunks())
+    chosen = telling(column, label, weight)
+    parts, before = [], 0
+    for first, texts in chunks(column):
+        sentence, place, owner, starts, _ = _features(texts, chosen)
+        told = np.unique(sentence)
+        # The sentences of a text that tell nothing are one, with their number.
+        silent = np.bincount(owner, minlength=len(texts)) - np.bincount(owner[told], minlength=len(texts))
+        rest = np.flatnonzero(silent)
+        parts.append(
+            (
+                np.searchsorted(told, sentence) + before,
+                place,
+                np.concatenate([owner[told], rest]) + first,
+                np.concatenate([np.ones(len(told)), silent[rest]]),
             )
-            before += len(told) + len(rest)
-        sentence, place, owner, many = (np.concatenate(x) for x in zip(*parts, strict=True))
-        weights, bias = trained(sentence, place, owner, many, label, weight, len(chosen))
-        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": pa.array([bias])})
-
-    return run
+        )
+        before += len(told) + len(rest)
+    sentence, place, owner, many = (np.concatenate(x) for x in zip(*parts, strict=True))
+    weights, bias = trained(sentence, place, owner, many, label, weight, len(chosen))
+    return pa.table(
+        {"features": pa.array([chosen.tobytes()], pa.binary()), "weights": pa.array([weights.tobytes()], pa.binary()), "bias": pa.array([bias])}
+    )
 
 
-def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from rows labelled 0 or 1; other and missing labels, and NULL texts, are left out.
+def _smallest(rows: DataFrame, order: list[str]) -> DataFrame:
+    """At most ``MAX_FITTED`` rows of each label, the first by ``order``; no window part grows with the rows.
 
-    One pass counts, by label, the texts that hold a feature; only the most telling features
-    reach the driver. Weights are then fitted in one task on a bounded sample (``MAX_FITTED``
-    rows of each label), whose rows weigh as much as the rows they stand for. Without rows of
-    both labels every sentence has the share of toxic rows for a score.
+    Rows are cut down within parts first, dealt so that repeats of one row lie in many.
+    """
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("tie"), F.lit(FIT_PARTS)))
+    for keys in (["label", "part"], ["label"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "tie"))
+        rows = rows.withColumn("place", place).where(F.col("place") <= MAX_FITTED)
+    return rows.drop("tie", "part", "place")
+
+
+def fit(
+    training: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> Model:
+    """A model from the texts of ``training`` and the labels (0 or 1) of their ids.
+
+    The sample is chosen by id, before any text is read: at most ``MAX_FITTED`` ids of each
+    label are broadcast, and only their texts are brought together, in one task. Its rows weigh
+    as much as the labels they stand for. Other and missing labels, rows without an id and NULL
+    texts are left out; of several labels of an id the largest counts; of repeated ids again at
+    most ``MAX_FITTED`` rows are taken. Without rows of both labels every sentence has the
+    share of toxic rows for a score.
     """
-    rows = training.select(
-        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")
-    ).where("label in (0, 1) and text is not null")
-    many, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    share = bad / many if many else 0.0
+    texts = training.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = known.where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    known = known.join(texts.select("id").distinct(), "id").withColumn("order", F.md5(F.col("id").cast("string")))
+    with scratch(training.sparkSession):
+        return _model(stored(known, "labelled"), texts)
+
+
+def _model(known: DataFrame, texts: DataFrame) -> Model:
+    many, bad = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < bad < many:
-        share = min(max(share, 1e-6), 1 - 1e-6)
+        share = min(max(bad / many if many else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    counted = rows.select("label", "text").mapInArrow(_label_counts, "feature long, docs long, toxic long")
-    counted = counted.groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-    off = F.abs(F.col("toxic") - share * F.col("docs")) / F.sqrt(F.col("docs") * (share * (1 - share)))
-    telling = counted.withColumn("off", off).where((F.col("docs") >= LEAST_DOCS) & (F.col("off") >= LEAST_SIGMAS))
-    telling = telling.orderBy(F.desc("off"), "feature").limit(MAX_FEATURES).collect()
-    chosen = np.sort(np.array([r.feature for r in telling], np.int64).view(np.uint64))
-
-    placed = rows.withColumn("order", F.struct(F.md5(F.col("id").cast("string")), F.md5("text"), F.xxhash64("text")))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(FIT_PARTS)))
-    placed = placed.withColumn("tie", F.monotonically_increasing_id())
-    for keys in (["label", "part", "tie_part"], ["label"]):
-        # Repeats of one row are dealt over parts of their own.
-        if "tie_part" in keys:
-            placed = placed.withColumn("tie_part", F.pmod(F.col("tie"), F.lit(16)))
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("order", "tie"))
-        placed = placed.withColumn("place", place).where(F.col("place") <= MAX_FITTED)
     stands = [(many - bad) / min(many - bad, MAX_FITTED), bad / min(bad, MAX_FITTED)]
     weight = F.when(F.col("label") == 1, F.lit(stands[1])).otherwise(F.lit(stands[0]))
-    sample = placed.select("label", weight.alias("weight"), "text", F.lit(0).alias("all"))
-    model = sample.groupBy("all").applyInArrow(_fitted(chosen), "weights binary, bias double").first()
-    return Model(chosen, np.frombuffer(model.weights), model.bias)
+    ids = _smallest(known, ["order", "id"]).select("id", "label", "order", weight.alias("weight"))
+    sample = _smallest(texts.join(F.broadcast(ids), "id"), ["order", "id"])
+    sample = sample.select("label", "weight", "text", F.lit(0).alias("all"))
+    model = sample.groupBy("all").applyInArrow(_fitted, "features binary, weights binary, bias double").first()
+    return Model(np.frombuffer(model.features, np.uint64), np.frombuffer(model.weights), model.bias)
 
 
 def _scored(model: Model):

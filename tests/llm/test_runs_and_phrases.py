@@ -157,14 +157,16 @@ def test_few_phrases_and_none(spark):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     assert {tuple(r) for r in phrases.collocations(docs, top=3).collect()} == plain_phrases([r[1:] for r in rows], 3)
     assert phrases.collocations(docs.where("false")).collect() == []
+    listed = {(r.lang, r.phrase): r.f for r in phrases.frequent_phrases(docs).where("words = 2").collect()}
+    assert all(listed[lang, p] == a for lang, _, p, a, *_ in plain_phrases([r[1:] for r in rows], 50) if p.count(" ") == 1)
 
 
 def test_products_beyond_64_bits(spark, monkeypatch):
     table = spark.createDataFrame(
-        [("en", "a b", 2, 4 * 10**9), ("en", "a", 1, 5 * 10**9), ("en", "b", 1, 6 * 10**9), ("en", None, 0, 10**12)],
-        "lang string, phrase string, words int, f long",
+        [(6, 5, 9, 4 * 10**9, None, None), (5, 0, 0, 5 * 10**9, "en", "a"), (9, 0, 0, 6 * 10**9, "en", "b"), (0, 0, 0, 10**12, "en", None)],
+        "key long, head long, tail long, n long, lang string, word string",
     )
-    monkeypatch.setattr(phrases, "frequent_phrases", lambda *_: table)
+    monkeypatch.setattr(phrases, "phrase_table", lambda *_: table)
     row = phrases.collocations(table).first()
     assert row.score == 16 * 10**18 * 10**6 // (30 * 10**18)
 
@@ -191,7 +193,7 @@ def test_toxic_sentences_are_found_from_document_labels(spark):
     rows = labelled(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("score", F.lit("clash"))
     split = docs.withColumn("held_out", toxicity.fold("doc_id", 4) == 2)
-    model = toxicity.fit(split.where("not held_out"))
+    model = toxicity.fit(split.where("not held_out"), docs)
     scored = toxicity.score(split, model, keep=["doc_id", "text", "toxic", "held_out", "score"])
     held = [r for r in scored.collect() if r.held_out]
     assert len(held) > 150
@@ -222,7 +224,7 @@ def test_odd_texts_and_labels(spark):
     rows = labelled(4, 200)
     odd = [(i, t, l) for (i, t), l in zip(ODD, [0, 1, None, 0, 1, 0, 0, 5, 0, 0], strict=True)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, toxic int")
-    model = toxicity.fit(docs)
+    model = toxicity.fit(docs, docs)
     got = toxicity.score(docs, model, keep=["doc_id"]).collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 for r in got)
     silent = [r for r in got if r.doc_id in (900, 901, 902)]
@@ -230,14 +232,15 @@ def test_odd_texts_and_labels(spark):
     again = {r.score for r in got if r.doc_id == 905}
     assert len(again) == 1
     # One label only, or none: the share of toxic rows.
-    alone = toxicity.score(docs, toxicity.fit(docs.where("toxic = 0")), keep=["doc_id"])
+    alone = toxicity.score(docs, toxicity.fit(docs.where("toxic = 0"), docs.where("toxic = 0")), keep=["doc_id"])
     assert alone.where("predicted = 1").count() == 0
-    assert toxicity.score(docs.where("false"), toxicity.fit(docs.where("false"))).collect() == []
+    assert toxicity.score(docs.where("false"), toxicity.fit(docs.where("false"), docs)).collect() == []
 
 
 def test_repeated_rows_do_not_meet_in_one_window_part(spark):
-    rows = labelled(6, 300) + [(None, "same text krudda", 1)] * 300
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8))
+    rows = labelled(6, 300) + [(1000, "same text krudda", 1)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8)
+    model = toxicity.fit(docs, docs)
     docs = spark.createDataFrame([(1, "same text krudda"), (2, "other words")], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
     assert got == {1: 1, 2: 0}
