@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import md5
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.events import load_manifest, rejected_events
 from ..operators.merge import only_new_rows
 from ..operators.typing import BAD_ROWS_SHOWN, bad_rows, typed_listings
+from ..sources.commits import Entry, commit
 from ..sources.csv import listing_text, read_raw_listings, read_text_table
 from ..sources.tables import (
     LOAD_ID,
@@ -21,6 +24,7 @@ from ..sources.tables import (
     replace_target,
     target_loads,
     write_staging,
+    write_try,
 )
 from .metrics import RunMetrics
 
@@ -96,19 +100,26 @@ def load_text_table(
     target_path: str,
     *,
     prune: bool = False,
+    load_id: str | None = None,
     metrics_path: str | None = None,
 ) -> RunMetrics:
-    """Any CSV file into an all-text table named after its header.
+    """Any CSV file into an all-text table named after its header; ``read_text_loads`` reads it.
 
-    Rows are counted as they are written; the run is recorded whether it succeeds or not.
+    A load is named after its source unless ``load_id`` says otherwise: loading it again
+    replaces its rows. ``prune`` replaces the whole table. Rows are counted as they are
+    written; the run is recorded whether it succeeds or not.
     """
+    load_id = load_id or f"text-{md5(source.encode()).hexdigest()}"
     metrics = RunMetrics("text_load")
-    metrics.set(source_file=source, table=target_path)
+    metrics.set(source_file=source, table=target_path, load_id=load_id)
     try:
         with metrics.timed("parse_insert"):
             written = Observation("text_load")
             rows = read_text_table(spark, source).observe(written, F.count(F.lit(1)).alias("rows_loaded"))
-            rows.write.mode("overwrite" if prune else "append").parquet(target_path)
+            folder = write_try(rows, target_path, load_id)
+            clear: list[Entry] = [("load", None, None), ("columns", None, None)] if prune else []
+            own: list[Entry] = [("load", load_id, folder), ("columns", load_id, json.dumps(rows.columns))]
+            commit(spark, target_path, clear + own)
             metrics.set(**written.get)
     except Exception as error:
         metrics.fail(error)
@@ -147,7 +158,10 @@ def load_from_events(
         path = locate(event.bucket, event.object_key)
         if event.destination == "text_table":
             runs.append(
-                load_text_table(spark, path, text_path, prune=event.prune_text_table, metrics_path=metrics_path)
+                load_text_table(
+                    spark, path, text_path, prune=event.prune_text_table,
+                    load_id=f"event-{event.load_id}", metrics_path=metrics_path,
+                )
             )
             continue
         result = load_listings(

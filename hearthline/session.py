@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
@@ -107,26 +108,53 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def read_small_file(spark: SparkSession, path: str, most: int = 1 << 24) -> str:
-    """The first ``most`` bytes of a file as text."""
+def read_small_file(spark: SparkSession, path: str) -> str:
+    """A small file as text, all of it."""
     fs, p = _hadoop(spark, path)
-    io = spark.sparkContext._jvm.org.apache.commons.io
     stream = fs.open(p)
     try:
-        return io.IOUtils.toString(io.input.BoundedInputStream(stream, most), "UTF-8")
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
-def create_small_file(spark: SparkSession, path: str, text: str) -> None:
-    """A whole new file under its name; an error if there is one already."""
+def _written_aside(spark: SparkSession, path: str, text: str):
+    """A whole new file beside ``path``, with its file system and both path objects."""
     fs, target = _hadoop(spark, path)
     _, fresh = _hadoop(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     stream = fs.create(fresh)
     try:
-        stream.write(text.encode())
+        stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if fs.exists(target) or not fs.rename(fresh, target):
+    return fs, target, fresh
+
+
+def create_small_file(spark: SparkSession, path: str, text: str) -> None:
+    """A whole new file under its name; ``FileExistsError`` if there is one already.
+
+    Of writers that try at the same time one succeeds: by a hard link on a local file
+    system, else by a rename that does not replace.
+    """
+    fs, target, fresh = _written_aside(spark, path, text)
+    jvm = spark.sparkContext._jvm
+    try:
+        if fs.getUri().getScheme() == "file":
+            local = jvm.java.io.File
+            jvm.java.nio.file.Files.createLink(local(target.toUri().getPath()).toPath(), local(fresh.toUri().getPath()).toPath())
+        elif fs.exists(target) or not fs.rename(fresh, target):
+            raise FileExistsError(path)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in str(error.java_exception):
+            raise
+        raise FileExistsError(path) from error
+    finally:
+        fs.delete(fresh, False)
+
+
+def replace_small_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that may be lost or old: readers have to do without it."""
+    fs, target, fresh = _written_aside(spark, path, text)
+    fs.delete(target, False)
+    if not fs.rename(fresh, target):
         fs.delete(fresh, False)
-        raise FileExistsError(path)

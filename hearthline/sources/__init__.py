@@ -13,8 +13,10 @@ from .csv import (
 from .jdbc import jdbc_options, read_relational, write_relational
 from .tables import (
     append_target,
+    read_part,
     read_staging,
     read_target,
+    read_text_loads,
     replace_target,
     target_loads,
     vacuum_target,

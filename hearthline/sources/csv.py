@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import float_text
 from ..schema import LISTING_COLUMNS, SEQUENCE_COLUMN
-from ..session import read_small_file
-from .csv_records import BLOCK, FILE, HEADER, RECORD, ROW, csv_records, fields
+from .csv_records import BLOCK, FIELDS, FILE, HEADER, ROW, csv_records
 
 POSITION = [FILE, BLOCK, ROW]
 Paths = str | list[str]
@@ -30,13 +29,6 @@ def header_names(spark: SparkSession, path: Paths) -> list[str]:
     return ["" if name is None else name for name in first]
 
 
-def line_end(spark: SparkSession, path: Paths) -> str:
-    """CR if the first line of the first file ends with a lone CR, else LF."""
-    first = spark.read.format("binaryFile").load(path).where("length > 0").select("path").head()
-    begin = read_small_file(spark, first.path, 1 << 16) if first else ""
-    return "\r" if re.match("[^\r\n]*\r(?!\n)", begin) else "\n"
-
-
 def sanitized_names(names: list[str]) -> list[str]:
     """Names safe as SQL identifiers; clashes are an error, not a silent rename."""
     blanks = "".join(map(chr, range(33)))
@@ -57,19 +49,14 @@ def _parsed(
 ) -> DataFrame:
     """Fields by place; a field that a short record lacks is NULL, further ones are left out."""
 
-    def field(i: int, name: str) -> Column:
-        text = F.get("_fields", F.lit(i))
-        return (F.replace(text, F.lit("\ufffd"), F.lit("")) if drop_bad_bytes else text).alias(name)
-
-    header = F.transform(fields(F.replace(RECORD, F.lit("\ufeff"), F.lit(""))), F.lower)
+    header = F.transform(FIELDS, lambda f: F.lower(F.replace(f, F.lit("\ufeff"), F.lit(""))))
     expected = F.array(*(F.lit(n.lower()) for n in names))
     other = F.raise_error(F.concat(F.lit("another header in "), F.col(FILE))).cast("boolean")
     is_row = F.when(F.col(HEADER), F.when(header == expected, False).otherwise(other)).otherwise(True)
-    # A generator, so that filters on the fields stay above the parser: pushed below a
-    # plain projection they would parse the record once per field they mention.
-    rows = csv_records(spark, path, multiline, line_end(spark, path)).where(is_row)
-    rows = rows.select(*POSITION, F.explode(F.array(fields(F.col(RECORD)))).alias("_fields"))
-    return rows.select(*(field(i, n) for i, n in enumerate(names)), *(POSITION if position else []))
+    rows = csv_records(spark, path, multiline, drop_bad_bytes).where(is_row)
+    return rows.select(
+        *(F.get(FIELDS, F.lit(i)).alias(n) for i, n in enumerate(names)), *(POSITION if position else [])
+    )
 
 
 def read_raw_listings(
@@ -82,7 +69,7 @@ def read_raw_listings(
     """Raw listings by header name.
 
     ``multiline`` allows line breaks inside quotes; records are put together across
-    splits. Without it every line is a record, and the lines are not shuffled.
+    splits. Without it every line is a record.
     ``position`` adds the file order (``POSITION``) that sequence numbers tie-break on.
     """
     return _parsed(spark, path, header_names(spark, path), multiline, True, position)
@@ -103,10 +90,17 @@ def listing_text(df: DataFrame) -> DataFrame:
     )
 
 
-def write_text_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Text columns as a CSV folder: doubled quotes, empty fields bare, blanks kept."""
+def write_text_csv(df: DataFrame, path: str, mode: str = "errorifexists", by: str | None = None) -> None:
+    """Text columns as a CSV folder: doubled quotes, empty fields bare, blanks kept.
+
+    ``by`` names a column whose values get folders of their own; overwriting then replaces
+    the folders that get rows, and no others.
+    """
+    writer = df.write.mode(mode)
+    if by is not None:
+        writer = writer.partitionBy(by).option("partitionOverwriteMode", "dynamic")
     (
-        df.write.mode(mode)
+        writer
         .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")

@@ -1,187 +1,324 @@
-"""Records and fields of CSV files whose quoted fields hold line breaks, read in splits.
+"""Records of CSV files whose quoted fields hold line breaks, read in splits.
 
-The rules are those of Python's ``csv`` module: a quote opens a field only where the field begins, and any other one outside quotes is a
-plain character. A line is a function from "entered inside quotes" to "left inside
-quotes"; functions of lines compose to those of splits, and the splits of a file tell
-each other where they begin. No rule depends on the length of a file or of a split.
+The rows are those of Python's ``csv`` module, which parses them in the tasks. A line is a
+function from "entered inside quotes" to "left inside quotes"; every split is followed for
+both ways it may be entered, the functions of a file's splits compose, and that picks one
+way for each. Records then are parsed where their lines are read; only the lines of records
+that cross the end of a split move. No rule depends on the length of a file or of a split.
 """
 
 from __future__ import annotations
 
+import csv
+import re
+import sys
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
+# Tasks get these functions by value: executors need not have the library installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FILE, BLOCK, ROW = "_file", "_block", "_row"
-RECORD, HEADER = "_record", "_header"
-_START, _PLAIN, _QUOTED, _CLOSED = 3, 0, 1, 2  # what a quote is met in
-_MARK = "\x01"
-
-
-def _after_quote(state: Column, before: Column) -> Column:
-    """State behind a quote, given the state and the text since the quote before it."""
-    opens = before.endswith(",") | ((state == _START) & (before == ""))
-    return (
-        F.when(state == _QUOTED, F.lit(_CLOSED))
-        .when((state == _CLOSED) & (before == ""), F.lit(_QUOTED))
-        .when(opens, F.lit(_QUOTED))
-        .otherwise(F.lit(_PLAIN))
-    )
+FIELDS, HEADER = "_fields", "_header"
+_RECORDS = f"{FILE} string, {BLOCK} long, {ROW} long, {HEADER} boolean, {FIELDS} array<string>"
+_WAYS = f"{FILE} string, {BLOCK} long, outside int, inside int, closes long, tail_outside long, tail_inside long"
+_START, _PLAIN, _QUOTED, _CLOSED = range(4)  # what a quote is met in
+# Tables with a row per split or file are broadcast up to so many rows; beyond, lines are joined to them by a shuffle.
+MOST_BROADCAST = 1 << 20
+_ESCAPE = "\ue000"  # stands before what a plain line break in a line is written as
+_HELD = 4096  # records a task hands on at once
+
+
+def leaves_inside(line: str, inside: bool) -> bool:
+    """Whether a line ends inside quotes, by the rules of Python's ``csv``: a quote opens a
+    field only where the field begins, and any other one outside quotes is a plain character."""
+    state = _QUOTED if inside else _START
+    for before in line.split('"')[:-1]:
+        if state == _QUOTED:
+            state = _CLOSED
+        elif (state == _CLOSED and not before) or before.endswith(",") or (state == _START and not before):
+            state = _QUOTED
+        else:
+            state = _PLAIN
+    return state == _QUOTED
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Stretches of lines of one split: its key, file, block, and the further columns as lists."""
+    for batch in batches:
+        keys = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                columns = [c.slice(a, b - a).to_pylist() for c in batch.columns[3:]]
+                yield keys[a], batch.column(1)[a].as_py(), batch.column(2)[a].as_py(), columns
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[tuple]]]:
+    """File, block and lines (as tuples of the further columns) of each split in turn."""
+    segments = _segments(batches)
+    segment = next(segments, None)
+    while segment is not None:
+        key, file, block, _ = segment
+
+        def own() -> Iterator[tuple]:
+            nonlocal segment
+            while segment is not None and segment[0] == key:  # noqa: B023
+                yield from zip(*segment[3], strict=True)
+                segment = next(segments, None)
+
+        lines = own()
+        yield file, block, lines
+        for _ in lines:
+            pass
 
 
-def _leaves_inside(line: Column, entered_inside: bool) -> Column:
-    parts = F.split(line, '"', -1)
-    quotes = F.slice(parts, 1, F.size(parts) - 1)
-    end = F.aggregate(quotes, F.lit(_QUOTED if entered_inside else _START), _after_quote)
-    return (end == _QUOTED).cast("int")
+def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split with a quote: how it is left if entered outside or inside quotes, the
+    row that closes what it is entered in, and the row where the record begins that it is left in."""
+    found = []
+    for file, block, lines in _by_split(batches):
+        state, begin, closes = [False, True], [None, None], None
+        for row, line in lines:
+            left = [leaves_inside(line, state[0])]
+            left.append(left[0] if state[1] == state[0] else leaves_inside(line, state[1]))
+            for way in (0, 1):
+                if left[way] and not state[way]:
+                    begin[way] = row
+                elif state[way] and not left[way]:
+                    if way == 1 and closes is None:
+                        closes = row
+                    begin[way] = None
+            state = left
+        found.append((file, block, int(state[0]), int(state[1]), closes, *begin))
+    names = [c.split()[0] for c in _WAYS.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    columns = zip(*found, strict=True) if found else [()] * len(names)
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def fields(record: Column) -> Column:
-    """Fields of a record as an array of text."""
-    parts = F.split(F.replace(record, F.lit(_MARK), F.lit(_MARK + "0")), '"', -1)
+class _Parser:
+    """Python's ``csv`` over lines, where a line break within a line is a plain character."""
 
-    def taken(acc: Column, part: Column) -> Column:
-        ends = F.replace(part, F.lit(","), F.lit(_MARK + "1"))
-        return F.concat(acc["text"], F.when(acc["state"] == _QUOTED, part).otherwise(ends))
+    def __init__(self, lines: Iterator[str]):
+        self.escaped = False
+        self.reader = csv.reader(self._escaped(lines))
 
-    def step(acc: Column, part: Column) -> Column:
-        state = _after_quote(acc["state"], part)
-        kept = (state == _PLAIN) | ((acc["state"] == _CLOSED) & (part == ""))
-        text = F.concat(taken(acc, part), F.when(kept, F.lit('"')).otherwise(F.lit("")))
-        return F.struct(state.alias("state"), text.alias("text"))
+    def _escaped(self, lines: Iterator[str]) -> Iterator[str]:
+        for line in lines:
+            if "\r" in line or "\n" in line or _ESCAPE in line:
+                end = "\r" if line.endswith("\r") else ""
+                line = line.removesuffix("\r").replace(_ESCAPE, _ESCAPE + "0")
+                line = line.replace("\r", _ESCAPE + "1").replace("\n", _ESCAPE + "2") + end
+                self.escaped = True
+            yield line + "\n"
 
-    begin = F.struct(F.lit(_START).alias("state"), F.lit("").alias("text"))
-    quotes = F.slice(parts, 1, F.size(parts) - 1)
-    whole = F.aggregate(quotes, begin, step, lambda acc: taken(acc, F.element_at(parts, -1)))
-    marked = F.transform(F.split(whole, _MARK + "1", -1), lambda f: F.replace(f, F.lit(_MARK + "0"), F.lit(_MARK)))
-    return F.when(F.instr(record, '"') == 0, F.split(record, ",", -1)).otherwise(marked)
+    def records(self) -> Iterator[tuple[int, list[str]]]:
+        """Number of the first line and fields of every record that is not blank."""
+        first = 0
+        for record in self.reader:
+            if record:
+                if self.escaped:
+                    for code, char in ("2", "\n"), ("1", "\r"), ("0", _ESCAPE):
+                        record = [f.replace(_ESCAPE + code, char) for f in record]
+                    self.escaped = False
+                yield first, record
+            first = self.reader.line_num
 
 
-def _lines(spark: SparkSession, path: str | list[str], line_end: str) -> DataFrame:
-    """Lines with their place; those of files with CR LF still end with CR."""
-    return spark.read.option("lineSep", line_end).text(path).select(
-        F.make_valid_utf8("value").alias("_line"),
+class _Records:
+    """Records on their way out of a task."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def batch(self) -> pa.RecordBatch:
+        rows, self.rows = self.rows, []
+        bounds, flat = [0], []
+        for row in rows:
+            flat += row[4]
+            bounds.append(len(flat))
+        columns = list(zip(*(r[:4] for r in rows), strict=True)) if rows else [()] * 4
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        fields = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.string()))
+        arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), fields]
+        return pa.RecordBatch.from_arrays(arrays, names=[FILE, BLOCK, ROW, HEADER, FIELDS])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of lines (row, line, row of the header, CR LF) that lie whole within their split."""
+    csv.field_size_limit(2**31 - 1)
+    out = _Records()
+    for file, block, lines in _by_split(batches):
+        rows: list[int] = []
+        heads: list[int | None] = []
+
+        def taken() -> Iterator[str]:
+            for row, line, head, crlf in lines:  # noqa: B023
+                rows.append(row)  # noqa: B023
+                if not heads:  # noqa: B023
+                    heads.append(head)  # noqa: B023
+                yield line.removesuffix("\r") if crlf else line
+
+        for first, record in _Parser(taken()).records():
+            out.rows.append((file, block, rows[first], rows[first] == heads[0], record))
+            if len(out.rows) >= _HELD:
+                yield out.batch()
+    yield out.batch()
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One record of each row (file, split, row, header, lines)."""
+    csv.field_size_limit(2**31 - 1)
+    out = _Records()
+    for batch in batches:
+        for file, block, row, head, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, record in _Parser(iter(lines)).records():
+                out.rows.append((file, block, row, head, record))
+                break
+        yield out.batch()
+
+
+def _text(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    return spark.read.options(**options).text(path).select(
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(ROW),
+        F.col("value").alias("_line"),
     )
 
 
-def _composed(changes: Column) -> Column:
-    """One function [left if entered outside, left if entered inside] from those of lines in order."""
-    same = F.array(F.lit(0), F.lit(1))
-    return F.aggregate(changes, same, lambda f, line: F.transform(f, lambda s: F.get(line["to"], s)))
+def _split_key() -> Column:
+    return F.xxhash64(FILE, BLOCK).alias("_split")
 
 
 def _blank() -> Column:
     return F.col("_line").isin("", "\r")
 
 
-def _without_cr(text: Column) -> Column:
-    return F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+def _beside(lines: DataFrame, table: DataFrame, keys: list[str], many: int) -> DataFrame:
+    """Lines with the ``many`` rows of a small table, in file order; they stay in place while it is small."""
+    if many <= MOST_BROADCAST:
+        return lines.join(F.broadcast(table), keys)
+    return lines.join(table, keys).sortWithinPartitions(FILE, BLOCK, ROW)
 
 
 def _splits(lines: DataFrame) -> DataFrame:
-    """Per split: state it is entered in, last row of the record it goes on with and the
-    split that record began in, the row of the file's first record, and whether that one
-    ends with CR LF.
-
-    Lines that change a state are few; their list is no longer than the split.
-    """
-    to = F.array(_leaves_inside(F.col("_line"), False), _leaves_inside(F.col("_line"), True))
-    change = F.when(
-        (F.instr("_line", '"') > 0) & (to != F.array(F.lit(0), F.lit(1))), F.struct(F.col(ROW).alias("row"), to.alias("to"))
-    )
-    found = lines.groupBy(FILE, BLOCK).agg(
-        F.sort_array(F.collect_list(change)).alias("changes"),
-        F.max(ROW).alias("last"),
-        F.min(F.when(~_blank(), F.struct(ROW, F.col("_line").endswith("\r").alias("crlf")))).alias("first"),
-    )
-    found = found.withColumn("to", _composed(F.col("changes")))
-    closing = F.filter("changes", lambda c: F.get(c["to"], F.lit(1)) == 0)
-    found = found.withColumn("closes", F.get(closing, F.lit(0))["row"])
+    """Per split: the rows up to ``_until`` go on with a record of the split ``_owner``, those
+    from ``_since`` on belong to one that goes on in the next; the row of the file's header if
+    it begins there, and whether that ends with CR LF."""
+    # Row, if a CR stands before its last character, and if it ends with one, in one number.
+    cr = F.instr("_line", "\r")
+    head = F.col(ROW) * 4 + ((cr > 0) & (cr < F.length("_line"))).cast("long") * 2 + F.col("_line").endswith("\r").cast("long")
+    every = lines.groupBy(FILE, BLOCK).agg(F.max(ROW).alias("last"), F.min(F.when(~_blank(), head)).alias("head"))
+    quoted = lines.where(F.instr("_line", '"') > 0).select(_split_key(), FILE, BLOCK, ROW, "_line")
+    found = every.join(quoted.mapInArrow(_ways, _WAYS), [FILE, BLOCK], "left")
+    found = found.withColumns({"outside": F.coalesce("outside", F.lit(0)), "inside": F.coalesce("inside", F.lit(1))})
 
     order = Window.partitionBy(FILE).orderBy(BLOCK)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    outside, inside = F.get("to", F.lit(0)), F.get("to", F.lit(1))
+    outside, inside = F.col("outside"), F.col("inside")
     found = found.withColumn("flips", F.sum((outside > inside).cast("int")).over(so_far))
     fixed = F.when(outside == inside, F.struct(outside.alias("state"), F.col("flips").alias("flips")))
     found = found.withColumn("fixed", F.last(fixed, ignorenulls=True).over(earlier))
     flipped = F.coalesce(F.max("flips").over(earlier), F.lit(0)) - F.coalesce(F.col("fixed.flips"), F.lit(0))
-    found = found.withColumn("entry", (F.coalesce(F.col("fixed.state"), F.lit(0)) + flipped) % 2)
-    begins = (F.col("entry") == 0) | (F.col("closes") < F.col("last"))
-    found = found.withColumn("owner", F.last(F.when(begins, F.col(BLOCK)), ignorenulls=True).over(earlier))
+    entered = (F.coalesce(F.col("fixed.state"), F.lit(0)) + flipped) % 2 == 1
+    found = found.withColumn("entered", entered)
+    left = F.when(F.col("entered"), inside).otherwise(outside) == 1
+    found = found.withColumns(
+        {
+            "left": left,
+            "until": F.when(F.col("entered"), F.coalesce("closes", "last")),
+            "since": F.when(left, F.when(F.col("entered"), F.col("tail_inside")).otherwise(F.col("tail_outside"))),
+        }
+    )
     whole_file = Window.partitionBy(FILE)
-    left = F.max_by(F.get("to", F.col("entry").cast("int")), F.col(BLOCK)).over(whole_file)
-    header = F.min(F.when(F.col("first").isNotNull(), F.struct(BLOCK, "first"))).over(whole_file)
-    unclosed = F.raise_error(F.concat(F.lit("a quote is never closed in "), F.col(FILE))).cast("int")
+    header = F.min(F.when(F.col("head").isNotNull(), F.struct(BLOCK, "head"))).over(whole_file)
+    by_cr = F.coalesce(header["head"] % 4 >= 2, F.lit(False))
+    unclosed = F.raise_error(F.concat(F.lit("a quote is never closed in "), F.col(FILE))).cast("long")
     return found.select(
         FILE,
         BLOCK,
-        F.when(left == 1, unclosed).otherwise(F.col("entry")).alias("_entry"),
-        F.coalesce("closes", "last").alias("_until"),
-        F.col("owner").alias("_owner"),
-        F.when(header[BLOCK] == F.col(BLOCK), header["first"][ROW]).alias("_head"),
-        F.coalesce(header["first"]["crlf"], F.lit(False)).alias("_crlf"),
+        F.when(F.max_by("left", BLOCK).over(whole_file) & ~by_cr, unclosed).otherwise(F.col("until")).alias("_until"),
+        F.col("since").alias("_since"),
+        F.last(F.when(F.col("since").isNotNull(), F.col(BLOCK)), ignorenulls=True).over(earlier).alias("_owner"),
+        F.when(header[BLOCK] == F.col(BLOCK), F.expr("head div 4")).alias("_head"),
+        F.coalesce(header["head"] % 2 == 1, F.lit(False)).alias("_crlf"),
+        by_cr.alias("_by_cr"),
     )
 
 
-def csv_records(
-    spark: SparkSession, path: str | list[str], multiline: bool = True, line_end: str = "\n"
-) -> DataFrame:
-    """One row per record that is not blank: file, split, number, text, and if it is the header.
+def _names(files: DataFrame) -> list[str]:
+    """Names of files as paths to read; the driver holds a list of them anyway."""
+    rows = files.select(FILE).distinct().toLocalIterator()
+    return [re.sub(r"([\[\]{}*?\\,])", r"\\\1", unquote(row[FILE])) for row in rows]
 
-    Lines end with ``line_end``, LF or CR; before an LF a CR is part of the line end.
-    Inside quotes a file's own line end (that of its header) reads as LF, others stay.
 
-    A record belongs to the split it begins in: the lines that end it in later splits are
-    dealt there, and nothing else leaves its split. The table of splits, a row per split,
-    is broadcast. A file that ends inside quotes is an error. Without ``multiline`` every line is a record and the text is not shuffled.
-    """
-    lines = _lines(spark, path, line_end)
+def _read(spark: SparkSession, path: str | list[str], line_end: str, multiline: bool, drop_bad_bytes: bool) -> DataFrame:
+    line = F.make_valid_utf8("_line")
+    line = F.replace(line, F.lit("\ufffd"), F.lit("")) if drop_bad_bytes else line
+    lines = _text(spark, path, lineSep=line_end).withColumn("_line", line)
+    splits = stored(_splits(lines), "splits")
+    is_open = F.col("_until").isNotNull() | F.col("_since").isNotNull()
     if not multiline:
-        lines = lines.where(~_blank())
-        heads = lines.groupBy(FILE).agg(F.min(F.struct(BLOCK, ROW)).alias("_first"))
-        is_head = F.col("_first") == F.struct(BLOCK, ROW)
-        rows = lines.join(F.broadcast(heads), FILE)
-        return rows.select(FILE, BLOCK, ROW, _without_cr(F.col("_line")).alias(RECORD), is_head.alias(HEADER))
-    placed = lines.join(F.broadcast(_splits(lines)), [FILE, BLOCK])
-    goes_on = (F.col("_entry") == 1) & (F.col(ROW) <= F.col("_until"))
-    placed = placed.select(
-        FILE,
-        F.when(goes_on, F.col("_owner")).otherwise(F.col(BLOCK)).alias("_home"),
-        BLOCK,
-        ROW,
-        F.when(F.col("_crlf"), _without_cr(F.col("_line"))).otherwise(F.col("_line")).alias("_line"),
-        F.coalesce(F.col(ROW) == F.col("_head"), F.lit(False)).alias(HEADER),
-    )
-    # Every home begins outside quotes, so its lines tell the state from there.
-    order = Window.partitionBy(FILE, "_home").orderBy(BLOCK, ROW)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    outside, inside = (_leaves_inside(F.col("_line"), e) for e in (False, True))
-    quoted = F.instr("_line", '"') > 0
-    placed = placed.withColumns(
-        {"_o": F.when(quoted, outside).otherwise(0), "_i": F.when(quoted, inside).otherwise(1)}
-    ).withColumn("_flips", F.sum((F.col("_o") > F.col("_i")).cast("int")).over(so_far))
-    fixed = F.when(F.col("_o") == F.col("_i"), F.struct(F.col("_o").alias("state"), F.col("_flips").alias("flips")))
-    placed = placed.withColumns(
-        {
-            "_fixed": F.last(fixed, ignorenulls=True).over(earlier),
-            "_before": F.coalesce(F.max("_flips").over(earlier), F.lit(0)),
-        }
-    )
-    flipped = F.col("_before") - F.coalesce(F.col("_fixed.flips"), F.lit(0))
-    begins = (F.coalesce(F.col("_fixed.state"), F.lit(0)) + flipped) % 2 == 0
-    placed = placed.where(~begins | ~_blank()).withColumn(
-        "_number", F.sum(begins.cast("long")).over(so_far)
+        # Every line is a record, whatever quotes it leaves open.
+        splits = splits.select(FILE, BLOCK, "_head", "_by_cr", F.lit(None).cast("long").alias("_until"))
+        splits, is_open = splits.withColumn("_since", F.col("_until")).withColumn("_crlf", F.lit(False)), F.lit(False)
+    many, by_cr, n_open = splits.agg(
+        F.count(F.lit(1)), F.count_if("_by_cr"), F.count_if(is_open)
+    ).first()
+    if by_cr and line_end == "\n":
+        # Files without an LF behind their header are read with CR instead.
+        files = [(_names(splits.where(which)), end) for which, end in (("_by_cr", "\r"), ("not _by_cr", "\n"))]
+        found = [_read(spark, own, end, multiline, drop_bad_bytes) for own, end in files if own]
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    placed = _beside(lines, splits.drop("_by_cr"), [FILE, BLOCK], many)
+    if not multiline:
+        is_head = F.coalesce(F.col(ROW) == F.col("_head"), F.lit(False)).alias(HEADER)
+        rows = placed.where(~_blank()).select(FILE, BLOCK, ROW, is_head, F.array("_line").alias("_lines"))
+        return rows.mapInArrow(_alone, _RECORDS)
+    crosses = F.coalesce(F.col(ROW) <= F.col("_until"), F.lit(False)) | F.coalesce(F.col(ROW) >= F.col("_since"), F.lit(False))
+    whole = placed.where(~crosses).select(_split_key(), FILE, BLOCK, ROW, "_line", "_head", "_crlf")
+    whole = whole.mapInArrow(_whole, _RECORDS)
+    if not n_open:
+        return whole
+    text = F.when(F.col("_crlf"), F.regexp_replace("_line", "\r$", "")).otherwise(F.col("_line"))
+    # Before its first row a split goes on with what an earlier one began.
+    home = F.when(F.col(ROW) <= F.col("_until"), F.col("_owner")).otherwise(F.col(BLOCK)).alias("_home")
+    is_head = F.coalesce(F.col(ROW) == F.col("_head"), F.lit(False)).alias(HEADER)
+    parts = _beside(lines, splits.where(is_open).drop("_by_cr"), [FILE, BLOCK], n_open).where(crosses)
+    parts = parts.select(FILE, home, BLOCK, ROW, text.alias("_line"), is_head).groupBy(FILE, "_home").agg(
+        F.sort_array(F.collect_list(F.struct(BLOCK, ROW, "_line"))).alias("_parts"), F.max(HEADER).alias(HEADER)
     )
-    parts = F.sort_array(F.collect_list(F.struct(BLOCK, ROW, "_line")))
-    records = placed.groupBy(FILE, "_home", "_number").agg(parts.alias("_parts"), F.max(HEADER).alias(HEADER))
-    return records.select(
+    crossing = parts.select(
         FILE,
         F.col("_home").alias(BLOCK),
-        F.col("_number").alias(ROW),
-        _without_cr(F.array_join(F.transform("_parts", lambda p: p["_line"]), "\n")).alias(RECORD),
+        F.col("_parts")[0][ROW].alias(ROW),
         HEADER,
-    )
+        F.transform("_parts", lambda p: p["_line"]).alias("_lines"),
+    ).mapInArrow(_alone, _RECORDS)
+    return whole.unionByName(crossing)
+
+
+def csv_records(
+    spark: SparkSession, path: str | list[str], multiline: bool = True, drop_bad_bytes: bool = False
+) -> DataFrame:
+    """One row per record that is not blank: file, split, number, if it is the header, and fields.
+
+    Files may end their lines with LF, CR LF or CR, each its own way, as its header's line
+    shows; before an LF a CR is part of the line end. A file of CR lines is one line to the first
+    scan, whose task holds it (2 GB at most); then it is read in splits as others are. Inside quotes a file's own line end (that of its header) reads as LF,
+    others stay. A record belongs to the split it begins in. A file that ends inside quotes is
+    an error. Without ``multiline`` every line is a record. Bytes that are not UTF-8 read as
+    U+FFFD, which ``drop_bad_bytes`` leaves out before the lines are parsed.
+    """
+    return _read(spark, path, "\n", multiline, drop_bad_bytes)

@@ -1,10 +1,11 @@
 """Staging and target tables as Parquet folders.
 
-Every try of a load writes a folder of its own below the target. What the target holds
-is said by its newest commit record, a small numbered file that lists the valid folders:
-creating the next one is the one step in which a load happens. A load that fails leaves
-the table as it was, a repeated one replaces its own rows, and readers see the old table
-or the new one. Folders no longer listed stay until ``vacuum_target``.
+Every try of a load writes a folder of its own below the target. What the target holds is
+said by the log of commits beside it: one record makes a load's folder valid, and with it
+whatever else belongs to the load (its staging rows, its rejects, the files it has read). A
+load that fails leaves the table as it was, a repeated one replaces its own rows, and
+readers see the old table or the new one. Folders no longer valid stay until
+``vacuum_target``.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import LISTING_COLUMNS, text_schema, typed_schema
-from ..session import child_names, create_small_file, read_small_file, remove_path
+from ..session import child_names, remove_path
+from .commits import Entry, commit, items, next_number
 
 LOAD_ID = "load_id"
 
@@ -41,55 +44,69 @@ def read_staging(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(text_schema(LISTING_COLUMNS)).parquet(path)
 
 
-def _records(spark: SparkSession, path: str) -> list[str]:
-    return [n for n in child_names(spark, f"{path}/_commits") if n.endswith(".json")]
-
-
 def target_loads(spark: SparkSession, path: str) -> dict[str, str]:
     """Folder of every load the target holds, by load id; empty if there is no target."""
-    records = _records(spark, path)
-    return json.loads(read_small_file(spark, f"{path}/_commits/{records[-1]}")) if records else {}
+    count = next_number(spark, path)
+    return {r.item: r.value for r in items(spark, path, "load", count).toLocalIterator()} if count else {}
 
 
-def _commit(typed: DataFrame, path: str, load_id: str, keep_others: bool) -> None:
-    spark = typed.sparkSession
+def write_try(rows: DataFrame, path: str, load_id: str) -> str:
+    """Write the rows of one try of a load below ``path``; its folder, not valid yet."""
     folder = f"data/{LOAD_ID}={load_id}/try={uuid.uuid4().hex}"
     try:
-        typed.write.parquet(f"{path}/{folder}")
-        records = _records(spark, path)
-        held = target_loads(spark, path) if keep_others else {}
-        number = int(records[-1].removesuffix(".json")) + 1 if records else 0
-        create_small_file(spark, f"{path}/_commits/{number:012d}.json", json.dumps({**held, load_id: folder}))
+        rows.write.parquet(f"{path}/{folder}")
     except Exception:
-        remove_path(spark, f"{path}/{folder}")
+        remove_path(rows.sparkSession, f"{path}/{folder}")
         raise
+    return folder
 
 
-def append_target(typed: DataFrame, path: str, load_id: str) -> None:
-    """Add one load; running the same load again replaces its own rows."""
-    _commit(typed, path, load_id, keep_others=True)
+def append_target(typed: DataFrame, path: str, load_id: str, also: list[Entry] | None = None) -> None:
+    """Add one load, with what ``also`` commits; running the same load again replaces its own rows."""
+    folder = write_try(typed, path, load_id)
+    commit(typed.sparkSession, path, [("load", load_id, folder), *(also or [])])
 
 
 def replace_target(typed: DataFrame, path: str, load_id: str) -> None:
     """Replace the whole target, in one step after the new rows are all written."""
-    _commit(typed, path, load_id, keep_others=False)
+    folder = write_try(typed, path, load_id)
+    commit(typed.sparkSession, path, [("load", None, None), ("load", load_id, folder)])
 
 
-def read_target(spark: SparkSession, path: str, with_load: bool = False) -> DataFrame:
+def read_loads(spark: SparkSession, path: str, schema: str | StructType, with_load: bool = False) -> DataFrame:
+    """The rows of all valid loads, in the columns of ``schema``."""
     folders = target_loads(spark, path).values()
     if not folders:
         raise FileNotFoundError(f"{path} holds no committed load")
-    reader = spark.read.schema(f"{typed_schema()}, {LOAD_ID} string").option("basePath", f"{path}/data")
+    reader = spark.read.schema(schema).option("basePath", f"{path}/data")
     table = reader.parquet(*(f"{path}/{f}" for f in folders))
-    return table if with_load else table.drop(LOAD_ID)
+    names = table.columns[: len(table.columns) - 2]  # the folders' load and try come last
+    load = [F.col(LOAD_ID).cast("string").alias(LOAD_ID)] if with_load else []
+    return table.select(*(f"`{n}`" for n in names), *load)
+
+
+def read_target(spark: SparkSession, path: str, with_load: bool = False) -> DataFrame:
+    """The 68 typed columns, and with ``with_load`` the load each row came by."""
+    return read_loads(spark, path, typed_schema(), with_load)
+
+
+def read_text_loads(spark: SparkSession, path: str) -> DataFrame:
+    """All valid loads of an all-text table; a column that a load's file lacks is NULL there."""
+    columns = [r.value for r in items(spark, path, "columns").orderBy("item").toLocalIterator()]
+    names = list(dict.fromkeys(name for found in columns for name in json.loads(found)))
+    return read_loads(spark, path, text_schema(names))
+
+
+def read_part(spark: SparkSession, path: str, kind: str, schema: str | StructType) -> DataFrame:
+    """What else the loads of the target at ``path`` have committed under ``kind``: "staging" or "rejects"."""
+    folders = [r.value for r in items(spark, path, kind).toLocalIterator()] if next_number(spark, path) else []
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def vacuum_target(spark: SparkSession, path: str) -> None:
-    """Remove what the newest commit does not list; not while older readers are at work."""
+    """Remove folders that no commit holds valid; not while older readers or loads are at work."""
     valid = set(target_loads(spark, path).values())
     for load in child_names(spark, f"{path}/data"):
         for attempt in child_names(spark, f"{path}/data/{load}"):
             if f"data/{load}/{attempt}" not in valid:
                 remove_path(spark, f"{path}/data/{load}/{attempt}")
-    for record in _records(spark, path)[:-1]:
-        remove_path(spark, f"{path}/_commits/{record}")

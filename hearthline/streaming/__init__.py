@@ -1,5 +1,5 @@
 """Loads and transforms of files as they arrive."""
 
-from .arrivals import load_arrivals, transform_arrivals
+from .arrivals import arrival_output, load_arrivals, transform_arrivals
 
-__all__ = ["load_arrivals", "transform_arrivals"]
+__all__ = ["arrival_output", "load_arrivals", "transform_arrivals"]

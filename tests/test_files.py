@@ -86,7 +86,7 @@ def messy(seed, end, many=50):
 
 def split_by(spark, size):
     settings = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
-    settings["spark.sql.files.minPartitionNum"] = "1000"
+    settings["spark.sql.files.minPartitionNum"] = "1"
     for key, value in settings.items():
         spark.conf.set(key, value)
     return settings
@@ -98,7 +98,7 @@ def test_records_are_those_of_the_csv_module(spark, tmp_path, size, end, last):
     """Files read whole or in splits of any size give the rows of Python's csv."""
     expected = []
     for k, header in enumerate(["id,v,z", "ID,V,Z"]):
-        rows = messy(size + k, end) + (['70,"cr\rx","cr\r\nlf"'] if end == "\n" else [])
+        rows = messy(size + k, end, many=10 if size < 40 else 50) + (['70,"cr\rx","cr\r\nlf"'] if end == "\n" else [])
         data = (header + end + end.join(rows) + end * last).encode()
         data = b"\xef\xbb\xbf" + data if k == 1 else data
         (tmp_path / f"{k}.csv").write_bytes(data)
@@ -131,6 +131,23 @@ def test_lines_as_records(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("1", "a, b"), ("2", '5" wide'), ("3", None)]
 
 
+def test_files_of_one_folder_end_lines_in_their_own_ways(spark, tmp_path):
+    header = "id,v," + "z" * 70_000  # longer than any prefix one might look at
+    for k, end in enumerate(["\n", "\r\n", "\r"]):
+        text = end.join([header, f'{k}0,"a{end}b",x', f"{k}1,plain,y", ""])
+        (tmp_path / f"{k} x.csv").write_bytes(text.encode())
+    for size in (1 << 15, 1 << 27):
+        settings = split_by(spark, size)
+        try:
+            rows = sorted(map(tuple, sources.read_raw_listings(spark, str(tmp_path)).collect()))
+        finally:
+            for key in settings:
+                spark.conf.unset(key)
+        assert rows == sorted(r for k in range(3) for r in [(f"{k}0", "a\nb", "x"), (f"{k}1", "plain", "y")])
+    by_line = sources.read_raw_listings(spark, str(tmp_path / "1 x.csv"), multiline=False)
+    assert by_line.count() == 3
+
+
 def test_byte_order_mark_is_dropped(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + AWKWARD)
     assert sources.header_names(spark, str(tmp_path / "a.csv"))[0] == "id"
@@ -315,7 +332,7 @@ def test_streamed_loads_equal_one_batch_load(spark, tmp_path):
 
     run()
     assert target_ids(spark, paths["target"]) == list(range(40))
-    rejects = spark.read.parquet(paths["rejects"])
+    rejects = sources.read_part(spark, paths["target"], "rejects", "id string, host_id string, price string")
     assert rejects.count() == 40  # these listings have no host
     run()  # no new files, nothing changes
     assert target_ids(spark, paths["target"]) == list(range(40))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -560,8 +561,9 @@ def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = scratch_path(spark, "text")
     sources.write_text_csv(customers, f"{path}/in.csv")
-    plans.load_text_table(spark, f"{path}/in.csv", f"{path}/table")
-    return spark.read.parquet(f"{path}/table")
+    for _ in range(2):  # a repeat replaces its own rows
+        plans.load_text_table(spark, f"{path}/in.csv", f"{path}/table")
+    return sources.read_text_loads(spark, f"{path}/table")
 
 
 @query
@@ -757,7 +759,50 @@ def arriving_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spark.read.parquet(f"{path}/runs").where(a["error"].isNull())
     sums = runs.agg(*(F.sum(a[c].cast("bigint")).cast("bigint").alias(c) for c in counts))
     failed = spark.read.parquet(f"{path}/failed").agg((F.count(F.lit(1)) > 0).alias("kept_aside"))
-    return sums.crossJoin(F.broadcast(failed))
+    return sums.withColumn("kept_aside", failed.scalar())
+
+
+@query
+def arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One output per file, named after it; the same files taken again by another stream change nothing."""
+    path = scratch_path(spark, "arrivals")
+    raw = raw_listings(spark, sf_dir)
+    part = F.pmod(F.length("neighbourhood"), F.lit(3))
+    sources.write_text_csv(raw.withColumn("part", part), f"{path}/in", by="part")
+    for checkpoint in ("first", "again"):
+        streaming.transform_arrivals(
+            spark, f"{path}/in/*", output_path=f"{path}/out", checkpoint=f"{path}/{checkpoint}", max_files=2
+        ).awaitTermination()
+    files = spark.read.format("binaryFile").load(f"{path}/in/*").select("path")
+    part_of = F.regexp_extract("path", "part=([0-9]+)", 1)
+    names = files.select(part_of.alias("part"), streaming.arrival_output("path").alias("output"))
+    out = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{path}/out")
+    counts = out.groupBy("output").agg(F.count(F.lit(1)).alias("rows"))
+    return names.join(counts, "output", "left").groupBy("part").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("clean_rows")
+    )
+
+
+@query
+def replayed_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per listing after a load that fails behind its commit and a stream that starts anew."""
+    path = scratch_path(spark, "arrivals")
+    sources.write_listings_csv(cleaned(spark, sf_dir).repartition(3), f"{path}/in")
+
+    def run(checkpoint: str, metrics: str) -> None:
+        streaming.load_arrivals(
+            spark, f"{path}/in", staging_path=f"{path}/staging", target_path=f"{path}/target",
+            reject_path=f"{path}/rejects", checkpoint=f"{path}/{checkpoint}", metrics_path=metrics, max_files=2,
+        ).awaitTermination()
+
+    try:
+        run("first", "nowhere://cannot/be/written")  # fails with the first batch committed
+    except StreamingQueryException:
+        pass
+    run("first", f"{path}/runs")
+    run("second", f"{path}/runs")
+    held = sources.read_target(spark, f"{path}/target").groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    return held.groupBy("copies").agg(F.count(F.lit(1)).alias("listings"))
 
 
 @query
@@ -769,7 +814,7 @@ def event_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources.write_text_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), f"{path}/in/nations.csv")
     wanted = [
         '{"s3Bucket": "in", "s3Key": "all.csv", "pruneTargetTable": "false"}',
-        '{"s3Bucket": "in", "s3Key": "nations.csv", "target": "sqlite", "pruneTable": "true"}',
+        '{"s3Bucket": "in", "s3Key": "nations.csv", "target": "sqlite"}',
         '{"s3Key": "nowhere.csv"}',
     ]
     events = spark.createDataFrame([(e,) for e in wanted], "event string")
@@ -786,7 +831,10 @@ def event_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     a = F.col("attributes")
     runs = spark.read.parquet(f"{path}/runs").agg(F.max(a["rows_loaded"].cast("bigint")).alias("rows_loaded"))
-    target = sources.read_target(spark, f"{path}/target").agg(F.count(F.lit(1)).alias("target_rows"))
-    text = spark.read.parquet(f"{path}/text").agg(F.count(F.lit(1)).alias("text_rows"))
-    rejects = spark.read.parquet(f"{path}/rejects").agg(F.count(F.lit(1)).alias("rejected"))
-    return runs.crossJoin(F.broadcast(target)).crossJoin(F.broadcast(text)).crossJoin(F.broadcast(rejects))
+    count = F.count(F.lit(1))
+    counted = {
+        "target_rows": sources.read_target(spark, f"{path}/target"),
+        "text_rows": sources.read_text_loads(spark, f"{path}/text"),
+        "rejected": spark.read.parquet(f"{path}/rejects"),
+    }
+    return runs.withColumns({name: rows.agg(count).scalar() for name, rows in counted.items()})
