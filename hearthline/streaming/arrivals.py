@@ -205,5 +205,6 @@ def transform_arrivals(
 def arrival_output(path: Column | str) -> Column:
     """The name of a file's output: its own, and a part of its path's hash, as names may repeat in other folders."""
     c = F.col(path) if isinstance(path, str) else path
-    base = F.regexp_replace(F.coalesce(F.try_url_decode(F.element_at(F.split(c, "/"), -1)), F.lit("")), "\\.csv$", "")
+    c = F.regexp_replace(F.coalesce(F.try_url_decode(c), c), "^([A-Za-z0-9]+):/+", "$1:/")  # sources spell it in two ways
+    base = F.regexp_replace(F.element_at(F.split(c, "/"), -1), "\\.csv$", "")
     return F.concat(F.lit("clean_"), base, F.lit("_"), F.substring(F.md5(c), 1, 8), F.lit(".csv"))

@@ -721,9 +721,8 @@ ORACLE["event_loads"] = (
 )
 ORACLE["arriving_files"] = (
     f"with raw0 as ({raw_sql()}), raw as ({_filled(RAW_COLUMNS).replace('from raw', 'from raw0')}), "
-    f"cleaned as ({cleaned_sql('scale')}), parts as (select distinct cast(length(coalesce(neighbourhood, '')) % 3 as varchar) as part from raw) "
-    "select p.part, cast(count(c.id) as bigint) as clean_rows from parts p "
-    "left join cleaned c on cast(length(c.neighbourhood) % 3 as varchar) = p.part group by p.part"
+    f"cleaned as ({cleaned_sql('scale')}) select cast(length(neighbourhood) % 3 as varchar) as part, "
+    "count(*) as clean_rows from cleaned group by all"
 )
 ORACLE["replayed_loads"] = with_tables(
     "select cast(1 as bigint) as copies, count(distinct id) as listings from typed"

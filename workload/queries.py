@@ -767,7 +767,7 @@ def arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One output per file, named after it; the same files taken again by another stream change nothing."""
     path = scratch_path(spark, "arrivals")
     raw = raw_listings(spark, sf_dir)
-    part = F.pmod(F.length("neighbourhood"), F.lit(3))
+    part = F.pmod(F.length(fn.strip("neighbourhood")), F.lit(3))
     sources.write_text_csv(raw.withColumn("part", part), f"{path}/in", by="part")
     for checkpoint in ("first", "again"):
         streaming.transform_arrivals(
