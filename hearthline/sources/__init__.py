@@ -10,7 +10,8 @@ from .csv import (
     write_listings_csv,
     write_text_csv,
 )
-from .jdbc import jdbc_options, read_relational, write_relational
+from .jdbc import jdbc_options, key_slices, read_relational, write_relational
+from .keyed import keyed_files, read_keyed, upsert_keyed, vacuum_keyed, write_keyed
 from .tables import (
     append_target,
     read_part,

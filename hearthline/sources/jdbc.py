@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed value: rows sent per batch.
 BATCH_ROWS = 1000
@@ -34,9 +37,35 @@ def jdbc_options(
     return options
 
 
-def read_relational(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
-    """A database table or ``(query) alias``; filters and columns are pushed down."""
-    return spark.read.format("jdbc").options(**jdbc_options(url, table, **options)).load()
+def key_slices(keys: DataFrame, key: str, slices: int, accuracy: int = 10_000) -> list[str]:
+    """Conditions that cut a table into about equal slices by a numeric key; at most ``slices``.
+
+    Bounds are quantiles from a mergeable sketch of the key column (``keys`` holds it, or a
+    sample of it), off by 1/``accuracy`` of the rows at most; only they reach the driver. Every
+    row meets exactly one condition, NULL keys the first. A key that repeats in more rows than a
+    slice has is not cut. Without keys there is one condition that all rows meet.
+    """
+    shares = [k / slices for k in range(1, slices)]
+    found = keys.agg(F.percentile_approx(key, shares, accuracy).alias("at")).first()["at"] if shares else None
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return ["1 = 1"]
+    between = [f"{key} > {low} AND {key} <= {high}" for low, high in pairwise(bounds)]
+    return [f"{key} <= {bounds[0]} OR {key} IS NULL", *between, f"{key} > {bounds[-1]}"]
+
+
+def read_relational(
+    spark: SparkSession, url: str, table: str, *, conditions: list[str] | None = None, **options
+) -> DataFrame:
+    """A database table or ``(query) alias``; filters and columns are pushed down.
+
+    With ``conditions``, as from ``key_slices``, each task reads the rows that meet one.
+    """
+    wanted = jdbc_options(url, table, **options)
+    if conditions is None:
+        return spark.read.format("jdbc").options(**wanted).load()
+    properties = {k: v for k, v in wanted.items() if k not in ("url", "dbtable")}
+    return spark.read.jdbc(url, table, predicates=conditions, properties=properties)
 
 
 def write_relational(

@@ -498,10 +498,24 @@ def test_numbered_arrivals_are_refused(spark, tmp_path):
         )
 
 
-def test_ids_too_long_for_a_number_are_refused(spark):
-    rows = spark.createDataFrame([("1", "u"), ("9" * 39, "u")], "id string, listing_url string")
+def test_ids_of_any_length_are_shifted(spark):
+    ids = ["1", "9" * 39, "9" * 200, "12" * 60, "0", "x", "0" * 50 + "7"]
+    rows = spark.createDataFrame([(i, f"u/rooms/{i}") for i in ids], "id string, listing_url string")
+    top = int("9" * 200)
+    wanted = [str(int(i) + k * top) if i.isdigit() else i for i in ids for k in range(3)]
+    copies = ops.replicate(rows, 3)
+    assert sorted(r.id for r in copies.collect()) == sorted(wanted)
+    assert all(r.listing_url == f"u/rooms/{r.id}" for r in copies.collect())
+    size = sum(len(i) + len(f"u/rooms/{i}") for i in wanted)
+    assert ops.scale_summary(rows, [3]).where("multiplier = 3").first()[:] == (3, 21, size)
+
+
+def test_largest_id_of_any_length(spark):
+    rows = spark.createDataFrame([("9" * 39,), ("+1_" + "0" * 60,), ("-" + "5" * 90,), (None,)], "id string")
+    assert rows.agg(ops.largest_id_text("id")).first()[0] == "1" + "0" * 60
+    assert rows.where("id is null").agg(ops.largest_id_text("id")).first()[0] == "0"
     with pytest.raises(Exception, match="38 digits"):
-        ops.replicate(rows, 2).collect()
+        rows.agg(ops.largest_id("id")).collect()
 
 
 def test_both_entrances_of_typing_agree(spark, awkward):

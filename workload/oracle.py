@@ -495,6 +495,50 @@ def _copies(copies: str) -> str:
     )
 
 
+def _long_ids() -> str:
+    """Addition in two halves of 30 digits."""
+    raw = (
+        "select cast(c_custkey as varchar) || case when c_custkey % 3 = 0 then '' "
+        "else repeat('9', cast(c_custkey % 45 as int)) end as id from customer"
+    )
+    unit = "cast('1' || repeat('0', 30) as hugeint)"
+    halves = "cast(substr(lpad(id, 60, '0'), 1, 30) as hugeint) as hi, cast(substr(lpad(id, 60, '0'), 31) as hugeint) as lo"
+    return (
+        f"with raw as ({raw}), halves as (select id, {halves} from raw), "
+        "top as (select hi as top_hi, lo as top_lo from halves order by hi desc, lo desc limit 1), "
+        "sums as (select copy, hi + top_hi * copy as hi, lo + top_lo * copy as lo "
+        "from halves, top, (select unnest(range(3)) as copy)), "
+        f"moved as (select copy, coalesce(nullif(ltrim(cast(hi + lo // {unit} as varchar) "
+        f"|| lpad(cast(lo % {unit} as varchar), 30, '0'), '0'), ''), '0') as id from sums) "
+        "select id, 'u/rooms/' || id || '?x' as listing_url, cast(copy as integer) as copy from moved"
+    )
+
+
+def _literal(c: str) -> str:
+    escaped = f"replace(replace(cast({c} as varchar), chr(92), chr(92) || chr(92)), chr(39), chr(39) || chr(39))"
+    return f"coalesce(chr(39) || {escaped} || chr(39), 'NULL')"
+
+
+def _statements(source: str, stream: str, order: str, values: list[str], before: str, after: str, limit: int) -> str:
+    """Greedy cuts: from each row the last that still fits, then a walk from cut to cut."""
+    row = " || ', ' || ".join(values)
+    room = limit - len(before) - len(after) + 1
+    text = f"'{before}' || string_agg(line, ',' order by n) || '{after}'"
+    return (
+        f"with recursive lines as (select {stream} as stream, {order} as k, '(' || {row} || ')' as line from {source}), "
+        "placed as (select *, row_number() over (partition by stream order by k, line) as n, strlen(line) + 1 as size from lines), "
+        "ends as (select *, cast(sum(size) over (partition by stream order by n) as bigint) as upto from placed), "
+        f"reach as (select stream, n, size, upto - size + {room} as target from ends), "
+        "fits as (select r.stream, r.n, greatest(r.n, coalesce(e.n, 0)) as last from reach r "
+        "asof left join ends e on r.stream = e.stream and r.target >= e.upto), "
+        "cuts as (select stream, cast(0 as bigint) as statement, n as first, last from fits where n = 1 union all "
+        "select c.stream, c.statement + 1, f.n, f.last from cuts c join fits f on f.stream = c.stream and f.n = c.last + 1), "
+        f"texts as (select cast(c.stream as integer) as stream, statement, count(*) as n_rows, {text} as text "
+        "from cuts c join placed p on p.stream = c.stream and p.n between c.first and c.last group by c.stream, statement) "
+        "select stream, statement, n_rows, cast(strlen(text) as bigint) as n_bytes, md5(text) as text from texts"
+    )
+
+
 _PAIRS = " union all ".join(f"select {m} as multiplier, {k} as copy" for m in (1, 2, 4, 6) for k in range(m))
 _SEQ_KEY = "case when event_type = 'error' then 0 else user_id end"
 
@@ -626,6 +670,33 @@ ORACLE: dict[str, str] = {
     "o_orderpriority as c_mktsegment from orders qualify row_number() over (partition by o_custkey "
     "order by o_orderdate desc, o_orderkey desc) = 1) select * from latest union all "
     "select c_custkey, c_acctbal, c_mktsegment from customer where c_custkey not in (select c_custkey from latest)",
+    "stored_upsert": "with latest as (select o_custkey * 2 as c_custkey, o_totalprice as c_acctbal, "
+    "o_orderpriority as c_mktsegment from orders qualify row_number() over (partition by o_custkey "
+    "order by o_orderdate desc, o_orderkey desc) = 1), "
+    "second as (select s_suppkey * 3 as c_custkey, s_acctbal as c_acctbal, s_name as c_mktsegment from supplier) "
+    "select * from second union all "
+    "select * from latest where c_custkey not in (select c_custkey from second) union all "
+    "select c_custkey, c_acctbal, c_mktsegment from customer where c_custkey not in (select c_custkey from latest) "
+    "and c_custkey not in (select c_custkey from second)",
+    "replicate_long_ids": _long_ids(),
+    "insert_statements": _statements(
+        "lineitem",
+        "l_orderkey % 4",
+        "(l_orderkey, l_linenumber)",
+        ["l_orderkey", "l_linenumber", "l_partkey", _literal("l_returnflag"), _literal("cast(l_shipdate as date)")],
+        "INSERT INTO items (l_orderkey, l_linenumber, l_partkey, l_returnflag, l_shipdate) VALUES ",
+        "",
+        1_024_000,
+    ),
+    "replace_statements": _statements(
+        "documents",
+        "coalesce(doc_id % 3, 0)",
+        "doc_id",
+        ["coalesce(cast(doc_id as varchar), 'NULL')", _literal("lang"), _literal("source"), _literal("text")],
+        "REPLACE INTO documents (doc_id, lang, source, text) VALUES ",
+        " AS new ON DUPLICATE KEY UPDATE text = new.text",
+        4000,
+    ),
     "load_manifest": _manifest(None),
     "load_manifest_default_bucket": _manifest("inbox"),
     "rejected_events": _manifest(None, rejected=True),

@@ -475,6 +475,67 @@ def upsert_awkward_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.upsert(target, changes, ["c_custkey"], "version")
 
 
+@query
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after two upserts that rewrite the files they touch."""
+    path = scratch_path(spark, "keyed")
+    sources.write_keyed(
+        table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), path, "c_custkey", file_rows=500
+    )
+    orders = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") * 2).alias("c_custkey"),
+        F.col("o_totalprice").alias("c_acctbal"),
+        F.col("o_orderpriority").alias("c_mktsegment"),
+        F.struct("o_orderdate", "o_orderkey").alias("version"),
+    )
+    sources.upsert_keyed(orders, path, "version", file_rows=500)
+    suppliers = table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") * 3).alias("c_custkey"),
+        F.col("s_acctbal").alias("c_acctbal"),
+        F.col("s_name").alias("c_mktsegment"),
+        F.col("s_suppkey").alias("version"),
+    )
+    sources.upsert_keyed(suppliers, path, "version", file_rows=500)
+    return sources.read_keyed(spark, path)
+
+
+@query
+def replicate_long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of ids of up to 50 digits."""
+    key = F.col("c_custkey")
+    digits = F.concat(key.cast("string"), F.expr("repeat('9', cast(c_custkey % 45 as int))"))
+    rows = table(spark, sf_dir, "customer").select(F.when(key % 3 == 0, key.cast("string")).otherwise(digits).alias("id"))
+    urls = rows.withColumn("listing_url", F.concat(F.lit("u/rooms/"), "id", F.lit("?x")))
+    return ops.replicate(urls, 3, copy_column="copy")
+
+
+def _digest(statements: DataFrame) -> DataFrame:
+    return statements.withColumn("text", F.md5("text"))
+
+
+@query
+def insert_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of at most 1,024,000 bytes, in four streams."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.col("l_shipdate").cast("date").alias("l_shipdate")
+    )
+    stream = F.col("l_orderkey") % 4
+    return _digest(ops.insert_statements(rows, "items", ["l_orderkey", "l_linenumber"], streams=4, stream=stream))
+
+
+@query
+def replace_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small statements over whole texts with quotes, some of which are longer than a statement may be."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    stream = F.coalesce(F.col("doc_id") % 3, F.lit(0))
+    return _digest(
+        ops.insert_statements(
+            rows, "documents", ["doc_id"], streams=3, stream=stream, verb="REPLACE", limit=4000,
+            ending="AS new ON DUPLICATE KEY UPDATE text = new.text",
+        )
+    )
+
+
 @query
 def oversized_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounting of prices beyond the gate, some beyond any double."""
