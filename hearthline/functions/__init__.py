@@ -22,6 +22,7 @@ from .numbers import (
     round_cents,
     round_exact,
 )
+from .sql import SQL_FUNCTIONS, register_sql_functions
 from .temporal import (
     date_from_ticks,
     decode_date,

@@ -619,6 +619,21 @@ ORACLE: dict[str, str] = {
             "then cast(string_split(bedrooms, '.')[1] as bigint) end",
         }
     ),
+    "listings_in_sql": _functions(
+        {
+            "price": money("price"),
+            "latitude": real("latitude"),
+            "beds": whole("beds"),
+            "host_response_rate": percent("host_response_rate"),
+            "host_is_superhost": flag("host_is_superhost"),
+            "is_professional_host": f"cast({whole('host_listings_count')} > 3 as integer)",
+            "has_cleaning_fee": f"cast({money('cleaning_fee')} > 0 as integer)",
+            "first_review": date_text("first_review"),
+            "amenities": items("amenities"),
+            "host_since": typed_date("trim(host_since, ' ')"),
+            "bedrooms": typed("bedrooms", "bigint"),
+        }
+    ),
     "decode_datetimes": _datetimes(),
     "decode_intervals": _intervals(),
     "decode_times": _times(),
@@ -730,6 +745,7 @@ _STEPS = {
     "bulk_load": "load count insert badrows total",
     "report": "aggregate summary top_neighbourhoods price_categories room_type_breakdown total",
 }
+ORACLE["decode_dates_in_sql"] = ORACLE["decode_dates"]
 ORACLE["run_metrics"] = " union all ".join(
     f"select '{operation}' as operation, '{step}' as step, count(*) > 0 as measured from orders"
     for operation, steps in _STEPS.items()

@@ -325,6 +325,38 @@ def typed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_sql(rows: DataFrame, keep: str, columns: dict[str, str]) -> DataFrame:
+    """``columns`` as SQL over ``rows``, with the column functions under the names ``hl_...``."""
+    spark = rows.sparkSession
+    fn.register_sql_functions(spark, "hl_")
+    return spark.sql(f"select {keep}, {', '.join(f'{e} as {n}' for n, e in columns.items())} from {{rows}}", rows=rows)
+
+
+@query
+def listings_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned, derived and typed columns by SQL functions."""
+    columns = {
+        "price": "hl_clean_price(price)",
+        "latitude": "hl_clean_float(latitude)",
+        "beds": "hl_clean_int(beds)",
+        "host_response_rate": "hl_clean_percentage(host_response_rate)",
+        "host_is_superhost": "hl_parse_flag(host_is_superhost)",
+        "is_professional_host": "hl_is_professional_host(hl_clean_int(host_listings_count))",
+        "has_cleaning_fee": "hl_has_cleaning_fee(hl_clean_price(cleaning_fee))",
+        "first_review": "hl_clean_date(first_review)",
+        "amenities": "hl_count_items(amenities)",
+        "host_since": "hl_typed_date(host_since)",
+        "bedrooms": "hl_typed_integer(bedrooms)",
+    }
+    return in_sql(raw_listings(spark, sf_dir), "id", columns)
+
+
+@query
+def decode_dates_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = {"value": "hl_decode_date(day_text).value", "raw": "hl_decode_date(day_text).raw"}
+    return in_sql(view(spark, sf_dir, "events", TEMPORAL_TEXT), "event_id", decoded)
+
+
 @query
 def decode_datetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "events", TEMPORAL_TEXT)
