@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import as_column, strip
 
+# The text forms that are read.
 _CLOCK = r"([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})(?:.([0-9]{1,6}))?"
 _DATETIME = (
     r"^([0-9]{1,4})(-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})(?:.([0-9]{1,6}))?"
@@ -18,6 +19,7 @@ _DATETIME = (
 _TIME = rf"^{_CLOCK}"
 _INTERVAL = r"^(-)?([0-9]{1,3}):([0-9]{1,2}):([0-9]{1,2})(?:.([0-9]{1,6}))?"
 _WHOLE = r"^[+]?[0-9]+$"
+# End of fixed values.
 
 
 def _group(c: Column, pattern: str, index: int) -> Column:
