@@ -19,7 +19,7 @@ SCHEDULES = (
 # Digits of the order key that split a source; a source of 10^10 rows gives parts of 10^6.
 SPLIT_DIGITS = 3
 _TAKEN = {
-    "size", "source_size", "target", "before", "copies", "epoch", "position", "__order", "__part", "__in_part",
+    "size", "source_size", "target", "before", "copies", "epoch", "position", "positions", "__order", "__part", "__in_part",
     "__source", "__its_part", "__offset", "__of", "__turn", "__epochs",
 }
 
@@ -144,6 +144,21 @@ def position_of(epoch: Column) -> Column:
     return choice
 
 
+def schedule(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """``mix_plan`` with ``positions``: the training time of each copy, first epoch first; empty if not taken."""
+    plan = mix_plan(docs, id_col, text_col, source_col)
+    times = F.array(*(position_of(F.lit(epoch)) for epoch in range(MAX_EPOCHS)))
+    return plan.withColumn("positions", F.slice(times, F.lit(1), F.col("copies").cast("int"))).drop("__turn")
+
+
+def in_order(planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per document of a ``schedule``, range-sorted by its first position; those not taken come last."""
+    first = F.get("positions", F.lit(0)).asc_nulls_last()
+    return planned.repartitionByRange(first, F.col(id_col)).sortWithinPartitions(first, F.col(id_col))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
@@ -152,7 +167,6 @@ def mix(
     Sorted by range, so the files of the written result follow each other in time. See
     ``mix_plan`` for nulls and repeated rows; documents that are not taken are left out.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col).where("copies > 0")
-    copies = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    timed = copies.withColumn("position", position_of(F.col("epoch"))).drop("__turn")
+    planned = schedule(docs, id_col, text_col, source_col).where("copies > 0")
+    timed = planned.select("*", F.posexplode("positions").alias("epoch", "position")).drop("positions")
     return timed.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)

@@ -39,9 +39,16 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixing.mix_plan(docs).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    """The mix by document, in training order: what it takes of each, and when the first and last copy's turn is."""
+    planned = mixing.schedule(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixing.in_order(planned).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("copies")).alias("taken"),
+        F.get("positions", F.lit(0)).alias("first_position"),
+        F.get("positions", (F.col("copies") - 1).cast("int")).alias("last_position"),
     )
 
 
@@ -214,21 +221,41 @@ ORACLE = {
                                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
             FROM caps
         ), targets AS (
-            SELECT source, source_size,
+            SELECT source, source_size, turn,
                    least(CAST(cap AS DOUBLE),
                          coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER (), 0) * weight) AS target
             FROM levels
         ), placed AS (
-            SELECT d.doc_id, d.size, t.source_size, t.target,
+            SELECT d.doc_id, d.size, t.source_size, t.target, t.turn,
                    CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
                    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
             FROM sized AS d JOIN targets AS t ON d.source IS NOT DISTINCT FROM t.source
+        ), counted AS (
+            SELECT *, epochs + CASE WHEN epochs < 2
+                      AND before * 2 + size <= (target - epochs * source_size) * 2 THEN 1 ELSE 0 END AS copies
+            FROM placed
+        ), shares AS (
+            SELECT *, list_transform(range(0, copies), lambda e: CASE WHEN target > 0
+                      THEN least((e * source_size + before + size / 2.0::DOUBLE) / target, 1) ELSE 0 END) AS share
+            FROM counted
+        ), timed AS (
+            SELECT *, list_transform(share, lambda s: CASE turn % 3
+                WHEN 0 THEN CASE
+                    WHEN s <= 0.625::DOUBLE THEN s * 2 / (1.5::DOUBLE + sqrt(2.25::DOUBLE - s * 2))
+                    ELSE 0.5::DOUBLE + (s - 0.625::DOUBLE) * 2 / (1 + sqrt(1 - (s - 0.625::DOUBLE) * 2)) END
+                WHEN 1 THEN s
+                ELSE CASE
+                    WHEN s * 0.84375::DOUBLE <= 0.46875::DOUBLE
+                    THEN s * 0.84375::DOUBLE * 2 / (0.25::DOUBLE + sqrt(s * 0.84375::DOUBLE * 2 + 0.0625::DOUBLE))
+                    ELSE 0.75::DOUBLE + (s * 0.84375::DOUBLE - 0.46875::DOUBLE) * 2
+                         / (1 + sqrt((s * 0.84375::DOUBLE - 0.46875::DOUBLE) * 8 + 1)) END
+                END) AS positions
+            FROM shares
         )
-        SELECT doc_id, size, source_size, target,
-               size * (epochs + CASE WHEN epochs < 2
-                       AND before * 2 + size <= (target - epochs * source_size) * 2 THEN 1 ELSE 0 END) AS taken
-        FROM placed
+        SELECT doc_id, size, source_size, target, size * copies AS taken,
+               positions[1] AS first_position, positions[copies] AS last_position
+        FROM timed
     """,
     "op9_exact_dedup": """
         SELECT doc_id,

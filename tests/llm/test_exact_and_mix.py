@@ -140,7 +140,10 @@ def test_training_order_query_returns_every_copy_with_its_position(spark, tmp_pa
 
     rows = mixed_documents(4)
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
-    taken = {r.doc_id: r.taken for r in queries.QUERIES["op6_source_mix"](spark, str(tmp_path)).collect()}
+    by_document = queries.QUERIES["op6_source_mix"](spark, str(tmp_path)).collect()
+    taken = {r.doc_id: r.taken for r in by_document}
+    turns = [(r.first_position is None, r.first_position or 0.0, r.doc_id) for r in by_document]
+    assert turns == sorted(turns) and len(turns) == len(rows)
     got = queries.QUERIES["op6_training_order"](spark, str(tmp_path)).collect()
     copies, sizes, source_of = Counter(), Counter(), {i: s for i, _, s in rows}
     for r in got:
@@ -148,6 +151,10 @@ def test_training_order_query_returns_every_copy_with_its_position(spark, tmp_pa
     for i, text, source in rows:
         sizes[i] = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
     assert all(copies[i] == taken[i] for i in taken)
+    ends = {r.doc_id: (r.first_position, r.last_position) for r in by_document}
+    for i, (first, last) in ends.items():
+        own = [r.position for r in sorted(got, key=lambda r: r.epoch) if r.doc_id == i]
+        assert (own[0], own[-1]) == (first, last) if own else (first, last) == (None, None)
     assert [(r.position, r.doc_id) for r in got] == sorted((r.position, r.doc_id) for r in got)
     names = sorted(set(source_of.values()), key=lambda s: (s is None, s))
     for r in got:
