@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from hearthline.session import stored
 
-from .words import Texts, chunks, mixed
+from .words import Texts, chunks, long_windows, mixed
 
 SPAN = 400  # bytes of the shortest repeat
 GRAM = 32  # bytes of an anchor
+PASSAGE_WORDS = 51  # words of the shortest passage that two documents are said to share
+STRETCH_WORDS = 38  # words that stand for it
 # Contexts that one task sorts together; larger groups are dealt out by window.
 GROUP = 8192
 BATCH_BYTES = 1 << 19  # texts sorted at once, if groups are smaller
@@ -255,6 +257,40 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found()
 
 
+# --- Stretches of words ---------------------------------------------------------------------
+
+
+def stretches(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of the stretches that stand for its passages, each once.
+
+    Of the ``STRETCH_WORDS``-word stretches of every ``PASSAGE_WORDS``-word window the one
+    of the smallest hash is taken, so texts that share a window share a stretch.
+    """
+    starts, ends = texts.words()
+    many = len(starts) - PASSAGE_WORDS + 1
+    if many < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    owner = texts.owner(starts)
+    least = long_windows(texts.hashes(starts, ends), STRETCH_WORDS)
+    width, done = PASSAGE_WORDS - STRETCH_WORDS + 1, 1
+    while done < width:  # smallest of 1, 2, 4, ... neighbours, then of all
+        step = min(done, width - done)
+        least, done = np.minimum(least[:-step], least[step:]), done + step
+    valid = np.flatnonzero(owner[:many] == owner[PASSAGE_WORDS - 1 :])
+    of, least = owner[valid], least[valid]
+    _, one = np.unique(mixed(least ^ mixed(of.astype(np.uint64))), return_index=True)
+    return of[one], least[one]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, texts in chunks(batch.column(1)):
+            of, least = stretches(texts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of + row)), pa.array(least.view(np.int64))], names=["doc", "stretch"]
+            )
+
+
 # --- The operator ---------------------------------------------------------------------------
 
 
@@ -311,25 +347,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents that hold repeats: id, n_removed, n_spans, and the bytes ``kept``.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc`` names a document by its id, one without an id by its text; ``data`` holds the bytes."""
+    data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    named = F.concat(F.lit("i"), F.col(id_col).cast("string"))
+    return docs.select(
+        F.col(id_col).alias("id"), F.coalesce(named, F.concat(F.lit("t"), F.sha2(data, 256))).alias("doc"), data.alias("data")
+    )
 
-    Every byte that a ``SPAN``-byte string covers which also starts elsewhere goes, in
-    all places; strings are judged on the input.
 
-    Equal windows share an anchor, so windows are grouped by it, each once. Runs whose
-    whole context is met twice are repeats without further ado; pre-aggregated counts
-    find them however many copies there are. Where contexts with one anchor differ, one
-    of each is sorted into a suffix array, whose maximal repeat groups give the
-    occurrences' ranges. Groups above ``GROUP`` contexts are not put in one task: their
-    windows are counted by hash, which forms the tree's nodes of ``SPAN`` symbols.
+def shared_stretches(own: DataFrame) -> DataFrame:
+    """Per ``doc`` the number of its stretches that another row holds too (``n_shared``, above 0 only).
 
-    NULL and empty texts hold no repeat. Ids name documents: rows that repeat an id get
-    the ranges of all of them. The texts of rows without an id count, but stay whole.
+    A document that shares ``PASSAGE_WORDS`` words in a row with another has such a stretch;
+    one that has none shares no passage of that length. Stretches are counted before they are
+    shuffled, so one that many documents hold stays one row of each task.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    own = docs.select(F.col(id_col).alias("doc"), data.alias("data"))
+    picked = own.select("doc", "data").mapInArrow(_stretches, "doc string, stretch long")
+    shared = picked.groupBy("stretch").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
+    return picked.join(shared, "stretch", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def _passages(own: DataFrame) -> DataFrame:
+    """``repeated_passages`` by ``doc``."""
+    own, kind = own.select("doc", "data"), "string"
     runs = own.mapInArrow(_anchored, f"doc {kind}, starts array<long>, n long, gram long, whole long")
     shared = (
         runs.groupBy("gram")
@@ -368,20 +409,46 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranges = found.union(counted).union(copied).groupBy("doc")
     ranges = ranges.agg(F.collect_list(F.struct("starts", "size")).alias("ranges"))
     hit = texts.drop("wanted").join(ranges, "doc")
-    return hit.mapInArrow(_cut, f"doc {kind}, n_removed long, n_spans long, kept binary").withColumnRenamed("doc", id_col)
+    return hit.mapInArrow(_cut, f"doc {kind}, n_removed long, n_spans long, kept binary")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents that hold repeats: id, n_removed, n_spans, and the bytes ``kept``.
+
+    Every byte that a ``SPAN``-byte string covers which also starts elsewhere goes, in
+    all places; strings are judged on the input.
+
+    Equal windows share an anchor, so windows are grouped by it, each once. Runs whose
+    whole context is met twice are repeats without further ado; pre-aggregated counts
+    find them however many copies there are. Where contexts with one anchor differ, one
+    of each is sorted into a suffix array, whose maximal repeat groups give the
+    occurrences' ranges. Groups above ``GROUP`` contexts are not put in one task: their
+    windows are counted by hash, which forms the tree's nodes of ``SPAN`` symbols.
+
+    NULL and empty texts hold no repeat. Ids name documents: rows that repeat an id get
+    the ranges of all of them. Rows without an id take part like others, named by their text.
+    """
+    kind = docs.schema[id_col].dataType
+    found = _passages(_keyed(docs, id_col, text_col))
+    named = F.when(F.col("doc").startswith("i"), F.substring("doc", 2, 2**31 - 1)).cast(kind)
+    return found.select(named.alias(id_col), "n_removed", "n_spans", "kept")
 
 
 def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document: id, n_bytes, n_removed, n_spans, and kept_sha256 of what is left."""
-    data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    every = docs.select(id_col, F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"))
-    hit = repeated_passages(docs, id_col, text_col)
-    hit = hit.withColumn("rest", F.sha2("kept", 256)).drop("kept").dropDuplicates([id_col])
+    """Every document: id, n_bytes, n_removed, n_spans, kept_sha256 of what is left, and
+    n_shared_stretches (see ``shared_stretches``), 0 if no passage of over 50 words repeats across rows.
+    """
+    own = _keyed(docs, id_col, text_col)
+    every = own.select(
+        "id", "doc", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("whole")
+    )
+    hit = _passages(own).withColumn("rest", F.sha2("kept", 256)).drop("kept").dropDuplicates(["doc"])
     zero = F.lit(0).cast("long")
-    return every.join(hit, id_col, "left").select(
-        id_col,
+    return every.join(hit, "doc", "left").join(shared_stretches(own), "doc", "left").select(
+        F.col("id").alias(id_col),
         "n_bytes",
         F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("rest", "whole").alias("kept_sha256"),
+        F.coalesce("n_shared", zero).alias("n_shared_stretches"),
     )

@@ -118,6 +118,15 @@ def windows(hashed: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
     return mixed(total[places]), places
 
 
+def long_windows(hashed: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every ``n`` consecutive words, by running sums; the windows across texts are among them."""
+    if len(hashed) < n:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(hashed) + 1, np.uint64)
+    np.cumsum(hashed * powers(_BASE, len(hashed))[:-1], out=sums[1:])
+    return mixed((sums[n:] - sums[:-n]) * powers(_INVERSE, len(hashed))[: len(hashed) - n + 1])
+
+
 def per_text(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Sum of ``values`` by text."""
     return np.bincount(owner, weights=values, minlength=n).astype(np.int64)

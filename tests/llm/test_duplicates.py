@@ -152,7 +152,38 @@ def test_passages_of_odd_tables(spark):
     assert suffixes.passage_report(spark.createDataFrame([], DOCS)).count() == 0
     text = "".join(chr(97 + i * i % 23) for i in range(900))
     got = suffixes.passage_report(spark.createDataFrame([(None, text), (1, text), (None, None)], DOCS)).collect()
-    assert sorted((r.n_bytes, r.n_removed) for r in got) == [(0, 0), (900, 0), (900, 900)]
+    assert sorted((r.n_bytes, r.n_removed) for r in got) == [(0, 0), (900, 900), (900, 900)]
+    passage, front, back = text[:600], "x" * 350, "".join(chr(97 + i % 25) for i in range(0, 2100, 7))
+    rows = [(None, front + passage), (7, passage + back), (None, back + "-")]
+    got = suffixes.passage_report(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in got) == [(301, 0), (900, 600), (950, 600)]
+    named = suffixes.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or 0, bytes(r.kept).decode()) for r in named) == [(0, front), (7, back)]
+
+
+def test_shared_stretches_find_passages_of_over_fifty_words(spark):
+    rng = random.Random(9)
+    text = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(1000)) for _ in range(n)]
+    shared = [text(n) for n in (30, 37, 45, 51, 51, 60, 130)]
+    rows = [(1000, None), (1001, ""), (1002, "a " * 500), (1003, "one two")]
+    for i in range(150):
+        words = text(rng.choice([0, 20, 90]))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words += rng.choice(shared) + text(rng.choice([0, 10]))
+        rows.append((i if i % 9 else None, rng.choice(["", "\n"]) + rng.choice([" ", "\t "]).join(words) + f" é{i}"))
+
+    def holders(n):
+        held = {k: set(zip(*(t.split()[j:] for j in range(n)))) for k, (_, t) in enumerate(rows) if t}
+        met = Counter(s for stretches in held.values() for s in stretches)
+        return [sum(met[s] > 1 for s in held.get(k, ())) for k in range(len(rows))]
+
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], DOCS + ", n_shared long")
+    own = {r.doc: r.n_shared for r in suffixes.shared_stretches(suffixes._keyed(docs, "doc_id", "text")).collect()}
+    keys = [f"t{hashlib.sha256((t or '').encode()).hexdigest()}" if i is None else f"i{i}" for i, t in rows]
+    for key, passages_met, stretches_met in zip(keys, holders(51), holders(38)):
+        found = own.get(key, 0)
+        assert found <= stretches_met and (found > 0 or not passages_met)
+    assert len(own) > 20 and not own.keys() - set(keys)
 
 
 def test_long_texts_are_cut_into_pieces_without_losing_windows(monkeypatch):
