@@ -8,20 +8,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from hearthline.session import stored
 
 from .words import LOWER, Texts, chunks, mixed
 
-# Text per block: a block asks once for the counts of its distinct n-grams.
+# Text per block: a block asks once for the counts of its distinct n-grams. Above
+# WIDE_BYTES of text blocks grow with the root of the whole, so that their rows to the
+# ranges, of which there are more as well, do not become many and short; up to MOST_BYTES.
 BLOCK_BYTES = 8 << 20
-# Ranges of n-gram hashes. A block sends a row per range, and a range holds some thousand
-# n-grams of each block; larger blocks go with more ranges.
-RANGES = 1 << 9
+WIDE_BYTES = 64 << 30
+MOST_BYTES = 128 << 20
+# Text per range of n-gram hashes: the number of ranges follows the input, and what a
+# range holds does not: some RANGE_BYTES / 8 n-grams, each once for every block.
+RANGE_BYTES = 8 << 20
 BATCH_KEYS = 1 << 20
 PRIOR = 0.5
 _START, _END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
@@ -60,10 +62,18 @@ class Grams:
         self.owner = np.repeat(np.arange(len(column)), self.n_tokens)
 
 
-def _ranged(keys: np.ndarray) -> np.ndarray:
-    """First key of each range, and the end; ``keys`` ascend."""
-    edges = np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def dealt(size: int, held: int) -> tuple[int, int, int]:
+    """Blocks of other and of held-out text and ranges (a power of two) for so many bytes."""
+    block = min(max(BLOCK_BYTES, int(BLOCK_BYTES * math.sqrt(size / WIDE_BYTES))), MOST_BYTES)
+    ranges = 1 << max(1, (-(-size // RANGE_BYTES) - 1).bit_length())
+    return max(1, -(-(size - held) // block)), max(1, -(-held // block)), ranges
+
+
+def _ranged(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that hold some of the ascending ``keys``, with their first key and end."""
+    of = keys >> np.uint64(64 - ranges.bit_length() + 1)
+    heads = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    return of[heads].astype(np.int64), heads, np.append(heads[1:], len(keys))[: len(heads)]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -85,78 +95,86 @@ def _counts(blob: bytes) -> np.ndarray:
     return _values(zlib.decompress(blob), np.uint32)
 
 
-def _asked(group: pa.Table) -> pa.Table:
-    """A block's distinct n-grams by range, each with its counts in training and in held-out text."""
-    group = group.combine_chunks()
-    grams = Grams(group.column("text").combine_chunks())
-    role = group.column("role").to_numpy()
-    train = role[grams.owner] > 0
-    held = role[grams.owner] == ROLES["held"]
-    rows: dict[str, list] = {"range": [], "block": [], "keys": [], "train": [], "held": []}
-    counted = []
-    for kind, (keys, place) in enumerate(((grams.words, grams.word), (grams.pairs, grams.pair))):
-        counts = [np.bincount(place[m], minlength=len(keys)) for m in (train, held)]
-        if kind == 0:  # how often a text starts is the frequency of that context, and no token
-            for c, own in zip(counts, (role > 0, role == ROLES["held"])):
-                c += np.bincount(grams.starts[own], minlength=len(keys))
-        counted.append((keys, counts))
-    block = group.column("block")[0].as_py()
-    for kind, (keys, counts) in enumerate(counted):
-        edges = _ranged(keys)
-        for r in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[r], edges[r + 1]
-            rows["range"].append(kind * RANGES + r)
-            rows["block"].append(block)
-            rows["keys"].append(_planes(np.diff(keys[a:b], prepend=np.uint64(0))))
-            for name, c in zip(("train", "held"), counts):
-                rows[name].append(_small(c[a:b]))
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
-
-
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows with counts summed over all blocks; rows come sorted by range."""
-    held: list[tuple] = []
-    size = 0
-
-    def answer() -> pa.RecordBatch:
+def _asked(ranges: int):
+    def run(group: pa.Table) -> pa.Table:
+        """A block's distinct n-grams by range, each with its counts in training and in held-out text."""
+        group = group.combine_chunks()
+        grams = Grams(group.column("text").combine_chunks())
+        role = group.column("role").to_numpy()
+        train = role[grams.owner] > 0
+        held = role[grams.owner] == ROLES["held"]
+        rows: dict[str, list] = {"range": [], "block": [], "keys": [], "train": [], "held": []}
+        block = group.column("block")[0].as_py()
+        for kind, (keys, place) in enumerate(((grams.words, grams.word), (grams.pairs, grams.pair))):
+            counts = [np.bincount(place[m], minlength=len(keys)) for m in (train, held)]
+            if kind == 0:  # how often a text starts is the frequency of that context, and no token
+                for c, own in zip(counts, (role > 0, role == ROLES["held"])):
+                    c += np.bincount(grams.starts[own], minlength=len(keys))
+            for r, a, b in zip(*(v.tolist() for v in _ranged(keys, ranges))):
+                rows["range"].append(kind * ranges + r)
+                rows["block"].append(block)
+                rows["keys"].append(_planes(np.diff(keys[a:b], prepend=np.uint64(0))))
+                for name, c in zip(("train", "held"), counts):
+                    rows[name].append(_small(c[a:b]))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
+
+    return run
+
+
+def _answered(ranges: int):
+    def answer(held: list[tuple]) -> pa.RecordBatch:
         keys = [np.cumsum(_values(row[2], np.uint64), dtype=np.uint64) for row in held]
         given = [np.concatenate([_counts(row[at]) for row in held]) for at in (3, 4)]
         # Unigrams and bigrams are hashed alike but may not meet: their ranges differ.
-        kind = np.repeat([row[0] >= RANGES for row in held], [len(k) for k in keys])
+        kind = np.repeat([row[0] >= ranges for row in held], [len(k) for k in keys])
         every = np.concatenate(keys)
-        found = []
+        whole = [0, 0, 0]  # distinct and all training tokens, held-out tokens
         sums = np.zeros((2, len(every)), np.int64)
         for which in (False, True):
             own = np.flatnonzero(kind == which)
             distinct, place = np.unique(every[own], return_inverse=True)
-            for s in (0, 1):
-                total = np.bincount(place, weights=given[s][own], minlength=len(distinct)).astype(np.int64)
-                sums[s, own] = total[place]
-                if s == 0 and not which:
-                    found = distinct[(total > 0) & (distinct != _START)]
+            totals = [
+                np.bincount(place, weights=given[s][own], minlength=len(distinct)).astype(np.int64) for s in (0, 1)
+            ]
+            sums[:, own] = [total[place] for total in totals]
+            if not which:
+                train, test = (total[distinct != _START] for total in totals)
+                whole = [int((train > 0).sum()), int(train.sum()), int(test.sum())]
         ends = np.cumsum([len(k) for k in keys]).tolist()
         spans = list(zip([0, *ends], ends))
         out = [[_small(c[a:b]) for a, b in spans] for c in sums]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([row[0] for row in held] + [-1], pa.int32()),
+                pa.array([row[0] for row in held] + [-1], pa.int64()),
                 pa.array([row[1] for row in held] + [-1], pa.int64()),
                 *(pa.array([*c, b""], pa.binary()) for c in out),
-                pa.array([0] * len(held) + [len(found)], pa.int64()),
+                *(pa.array([0] * len(held) + [n], pa.int64()) for n in whole),
             ],
-            names=["range", "block", "train", "held", "vocabulary"],
+            names=[f.split()[0] for f in ANSWER.split(", ")],
         )
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "keys", "train", "held"))):
-            if size >= BATCH_KEYS and row[0] != held[-1][0]:
-                yield answer()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[2]) // 8
-    if held:
-        yield answer()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same rows with counts summed over all blocks; rows come sorted by range.
+
+        A row of block -1 holds what the ranges add to the corpus totals.
+        """
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "keys", "train", "held"))):
+                if size >= BATCH_KEYS and row[0] != held[-1][0]:
+                    yield answer(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[2]) // 8
+        if held:
+            yield answer(held)
+
+    return run
+
+
+ANSWER = "range long, block long, train binary, held binary, vocabulary long, tokens long, held_tokens long"
 
 
 def frequency_class(count: np.ndarray) -> np.ndarray:
@@ -164,76 +182,40 @@ def frequency_class(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(count + 1.0)), CLASSES - 1).astype(np.uint8)
 
 
-def _featured(kind: pa.DataType):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        """Per document: sums for the base score; per token: its context's bucket, and the
-        bigram estimate over the unigram count. For held-out documents both also without them.
-        """
-        names = [f.split()[0] for f in FEATURES.split(", ")]
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64()] + [pa.binary()] * 4
-        if not len(texts):
-            total = pc.sum(answers.column("vocabulary"))
-            columns = [pa.nulls(1, t) for t in kinds]
-            columns[3] = pa.array([total.as_py()], pa.int64())
-            return pa.table([pa.nulls(1, kind), *columns], names=["id", *names])
-        texts = texts.combine_chunks()
+class Block(Grams):
+    """A block's texts with the counts that its n-grams have in all training text."""
+
+    def __init__(self, texts: pa.Table, answers: pa.Table):
+        super().__init__(texts.column("text").combine_chunks())
         answers = answers.sort_by("range")
-        grams = Grams(texts.column("text").combine_chunks())
-        train, held = (
+        self.train, self.held = (
             np.concatenate([_counts(b) for b in answers.column(c).to_pylist()]).astype(np.int64)
             for c in ("train", "held")
         )
-        n = len(grams.words)
-        if len(train) != n + len(grams.pairs):
+        if len(self.train) != len(self.words) + len(self.pairs):
             raise ValueError("a block's n-grams and their counts differ")
-        role = texts.column("role").to_numpy()
-        counts = (train, train - held)
-        classes, ratios = [], []
-        for c in counts:
-            context = c[:n][grams.context]
-            classes.append(frequency_class(context))
-            estimate = c[n:][grams.pair] / np.maximum(context, 1)
-            ratios.append((estimate / (c[:n][grams.word] + PRIOR)).astype(np.float32))
-        token = train[:n][grams.word]
-        many = len(texts)
-        known = np.bincount(grams.owner, weights=token > 0, minlength=many).astype(np.int64)
-        base = np.bincount(grams.owner, weights=np.log10(token + PRIOR), minlength=many)
-        ends = np.cumsum(grams.n_tokens).tolist()
-        spans = list(zip([0, *ends], ends))
-        own = (role == ROLES["held"]).tolist()
-        columns = [role == ROLES["test"], grams.n_tokens, known, np.zeros(many, np.int64), base]
-        blobs = [[_planes(v[a:b]) for a, b in spans] for v in (classes[0], ratios[0])]
-        blobs += [[_planes(v[a:b]) if h else None for h, (a, b) in zip(own, spans)] for v in (classes[1], ratios[1])]
-        arrays = [pa.array(c, t) for c, t in zip([*columns, *blobs], kinds)]
-        return pa.table([texts.column("id").combine_chunks(), *arrays], names=["id", *names])
 
-    return run
-
-
-FEATURES = (
-    "held_out boolean, n_tokens long, n_known long, vocabulary long, base double, "
-    "class binary, ratio binary, held_class binary, held_ratio binary"
-)
-
-
-def _floats(column: pa.Array) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.float32), *(_values(b, np.float32) for b in column.to_pylist())])
+    def ratios(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per token its context's bucket, and the bigram estimate over the unigram count."""
+        n = len(self.words)
+        context = c[:n][self.context]
+        estimate = c[n:][self.pair] / np.maximum(context, 1)
+        return frequency_class(context), estimate / (c[:n][self.word] + PRIOR)
 
 
 def _binned(scale: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Held-out tokens by bucket and likelihood ratio."""
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """Tokens of a held-out block by bucket and likelihood ratio, by counts that leave held-out text out."""
+        grams = Block(texts.combine_chunks(), answers)
+        of, ratio = grams.ratios(grams.train - grams.held)
+        ratio = ratio * scale
         size = CLASSES * (_BINS + 1)
-        n, total = np.zeros(size, np.int64), np.zeros(size)
-        for batch in batches:
-            of = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
-            ratio = _floats(batch.column(1)) * scale
-            place = np.clip(np.floor((np.log2(np.maximum(ratio, 1e-30)) + 40) * _STEP) + 1, 1, _BINS)
-            at = of * (_BINS + 1) + np.where(ratio > 0, place, 0).astype(np.int64)
-            n += np.bincount(at, minlength=size)
-            total += np.bincount(at, weights=ratio, minlength=size)
+        place = np.clip(np.floor((np.log2(np.maximum(ratio, 1e-30)) + 40) * _STEP) + 1, 1, _BINS)
+        at = of.astype(np.int64) * (_BINS + 1) + np.where(ratio > 0, place, 0).astype(np.int64)
+        n = np.bincount(at, minlength=size)
+        total = np.bincount(at, weights=ratio, minlength=size)
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays(
+        return pa.table(
             [pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(total[some])], names=["bin", "n", "total"]
         )
 
@@ -262,23 +244,30 @@ def expectation_maximisation(of: np.ndarray, n: np.ndarray, ratio: np.ndarray, r
 
 
 def _scored(weights: np.ndarray, scale: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            of = np.frombuffer(b"".join(batch.column("class").to_pylist()), np.uint8)
-            ratio = _floats(batch.column("ratio")).astype(float)
-            each = np.log10(1 - weights[of] + weights[of] * ratio * scale)
-            base = batch.column("base").to_numpy() - n * math.log10(scale)
-            score = base + np.bincount(np.repeat(np.arange(len(n)), n), weights=each, minlength=len(n))
-            kept = [batch.column(c) for c in ("id", "held_out", "n_tokens", "n_known")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(base), pa.array(score)],
-                names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        grams, many = Block(texts, answers), len(texts)
+        token = grams.train[: len(grams.words)][grams.word]
+        known, base, mixed_in = (
+            np.bincount(grams.owner, weights=each, minlength=many)
+            for each in (token > 0, np.log10(token + PRIOR), _mixture(*grams.ratios(grams.train), weights, scale))
+        )
+        base -= grams.n_tokens * math.log10(scale)
+        role = texts.column("role").to_numpy()
+        arrays = [role == ROLES["test"], grams.n_tokens, known.astype(np.int64), base, base + mixed_in]
+        return pa.table(
+            [texts.column("id").combine_chunks(), *(pa.array(v) for v in arrays)],
+            names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
 
     return run
 
 
+def _mixture(of: np.ndarray, ratio: np.ndarray, weights: np.ndarray, scale: float) -> np.ndarray:
+    """log10 of what mixing in the bigram estimate makes of the unigram's."""
+    return np.log10(1 - weights[of] + weights[of] * ratio * scale)
+
+
 def score_texts(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
@@ -289,46 +278,47 @@ def score_texts(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col:
     of c(v). Weights come from expectation-maximisation on the documents of role 2, with
     counts that leave these out. ``base_score`` is the unigram part alone, in log10.
 
-    Texts are dealt into blocks. A block asks for the counts of its distinct n-grams, one
-    row per range of hashes; ranges sum over blocks and answer; block and answers meet
-    again. No n-gram is looked up by a task that holds them all, a frequent one is one
-    number per block, and the corpus moves twice at most. Only the weights' statistics
-    (buckets by ratio bins) reach the driver.
+    Texts are dealt into blocks, held-out texts into their own. A block asks for the
+    counts of its distinct n-grams, one row per range of hashes; ranges sum over blocks and
+    answer; block and answers meet again, those of held-out text first, to learn the
+    weights, then all. No n-gram is looked up by a task that holds them all, a frequent one
+    is one number per block, the number of ranges follows the text (``dealt``), and the
+    corpus moves twice at most. Only the weights' statistics (buckets by ratio bins) reach
+    the driver.
 
     NULL and empty texts are a single end. Rows that repeat an id are scored each. A
     corpus without training text knows no token. An empty table gives an empty one.
     """
-    kind = docs.schema[id_col].dataType
-    size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // BLOCK_BYTES))))
+    kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), role.cast("int").alias("role"))
+    learns = F.col("role") == ROLES["held"]
+    length = F.octet_length("text")
+    sizes = own.agg(F.sum(length).alias("size"), F.sum(F.when(learns, length)).alias("held")).first()
+    many, many_held, ranges = dealt(sizes["size"] or 0, sizes["held"] or 0)
+    hashed = F.xxhash64("id", "text")
+    block = F.when(learns, F.pmod(hashed, F.lit(many_held)) + many).otherwise(F.pmod(hashed, F.lit(many)))
     own = own.withColumn("block", block)
-    asked = own.groupBy("block").applyInArrow(_asked, "range int, block long, keys binary, train binary, held binary")
-    answers = asked.repartition("range").sortWithinPartitions("range").mapInArrow(
-        _answered, "range int, block long, train binary, held binary, vocabulary long"
+    asked = own.groupBy("block").applyInArrow(
+        _asked(ranges), "range long, block long, keys binary, train binary, held binary"
     )
-    met = own.groupBy("block").cogroup(answers.groupBy("block"))
-    features = stored(
-        met.applyInArrow(_featured(to_arrow_type(kind)), f"id {kind.simpleString()}, {FEATURES}"), "features", compression="zstd"
-    )
-    rows = features.where("n_tokens is not null")
-    known = features.agg(
-        F.sum("vocabulary").alias("v"),
-        F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("n"),
-        F.sum(F.when(F.col("held_class").isNotNull(), F.col("n_tokens"))).alias("h"),
+    answers = asked.repartition("range").sortWithinPartitions("range").mapInArrow(_answered(ranges), ANSWER)
+    answers = stored(answers, "answers", compression="zstd")
+    known = answers.where("block = -1").agg(
+        *(F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "tokens", "held_tokens"))
     ).first()
-    distinct, train_tokens, held_tokens = known["v"] or 0, known["n"] or 0, known["h"] or 0
+    distinct, train_tokens, held_tokens = known
     scale = train_tokens + PRIOR * (distinct + 1)
+    answers = answers.where("block >= 0").select("range", "block", "train", "held")
 
-    held = rows.where("held_class is not null").select("held_class", "held_ratio")
-    bins = held.mapInArrow(_binned(scale - held_tokens), "bin int, n long, total double")
+    held = own.where(learns).groupBy("block").cogroup(answers.where(F.col("block") >= many).groupBy("block"))
+    bins = held.applyInArrow(_binned(scale - held_tokens), "bin int, n long, total double")
     bins = bins.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).orderBy("bin").collect()
     at, n, total = (np.array([b[c] for b in bins], float) for c in ("bin", "n", "total"))
     weights = expectation_maximisation((at // (_BINS + 1)).astype(int), n, total / np.maximum(n, 1))
 
-    needed = ["id", "held_out", "n_tokens", "n_known", "base", "class", "ratio"]
-    schema = f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = rows.select(*needed).mapInArrow(_scored(weights, scale), schema)
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    met = own.groupBy("block").cogroup(answers.groupBy("block"))
+    scored = met.applyInArrow(_scored(weights, scale), schema)
     return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
         F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score",

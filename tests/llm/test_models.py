@@ -165,7 +165,14 @@ def scores_by_brute_force(rows, roles):
                 of.append(frequency(c))
                 bigram = (pair[a, b] - less[1][a, b]) / c if c else 0
                 ratio.append(bigram / (uni[b] - less[0][b] + 0.5) * (scale - sum(less[0].values())))
-    weights = interpolation.expectation_maximisation(np.array(of, int), np.ones(len(of)), np.array(ratio))
+    bins = {}  # the operator learns from ratios by bins of 1/32 of a doubling
+    for c, r in zip(of, ratio):
+        place = math.floor((math.log2(r) + 40) * 32) if r > 0 else None
+        bins.setdefault((c, place), []).append(r)
+    counts, means = [len(v) for v in bins.values()], [sum(v) / len(v) for v in bins.values()]
+    weights = interpolation.expectation_maximisation(
+        np.array([c for c, _ in bins], int), np.array(counts, float), np.array(means)
+    )
     out = []
     for words in tokens:
         score = base = 0.0
@@ -193,6 +200,7 @@ def chained(seed, many=200):
 @pytest.mark.parametrize("block", [1 << 23, 2000])
 def test_lm_scores(spark, block, monkeypatch):
     monkeypatch.setattr(interpolation, "BLOCK_BYTES", block)
+    monkeypatch.setattr(interpolation, "RANGE_BYTES", block // 2)
     monkeypatch.setattr(interpolation, "BATCH_KEYS", 500)
     rows = chained(4) + [(900, None), (901, ""), (902, " "), (903, "new words"), (3, "w1 w2"), (904, "w1 " * 30_000)]
     roles = [0 if i % 5 == 1 else 2 if i % 5 == 2 else 1 for i, _ in rows]
@@ -203,11 +211,24 @@ def test_lm_scores(spark, block, monkeypatch):
     found = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got.collect()), key=key)
     expected = sorted(((i, *e) for (i, _), e in zip(rows, scores_by_brute_force(rows, roles))), key=key)
     for f, e in zip(found, expected, strict=True):
-        assert f[:4] == e[:4] and math.isclose(f[4], e[4], rel_tol=1e-9) and math.isclose(f[5], e[5], rel_tol=2e-3)
+        assert f[:4] == e[:4] and math.isclose(f[4], e[4], rel_tol=1e-9) and math.isclose(f[5], e[5], rel_tol=1e-6)
     held = [(f[4], f[5]) for f in found if f[0] % 5 == 1 and f[0] < 200]
     assert sum(s for _, s in held) > 1.05 * sum(b for b, _ in held)  # less negative on unseen texts
 
 
+def test_ranges_grow_with_the_text():
+    for size in (0, 1, 10**6, 10**9, 10**12, 10**14):
+        blocks, held, ranges = interpolation.dealt(size, size // 20)
+        assert ranges & (ranges - 1) == 0 and size / ranges <= interpolation.RANGE_BYTES
+        assert blocks >= 1 and held >= 1 and size / (blocks + held) <= interpolation.MOST_BYTES
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**64, 1000, np.uint64))
+    for ranges in (2, 64, 1 << 20):
+        of, heads, ends = interpolation._ranged(keys, ranges)
+        assert [k for r, a, b in zip(of, heads, ends) for k in keys[a:b]] == keys.tolist()
+        assert all((int(k) * ranges) >> 64 == r for r, a, b in zip(of, heads, ends) for k in keys[a:b])
+    assert [len(v) for v in interpolation._ranged(keys[:0], 2)] == [0, 0, 0]
+
+
 def test_lm_scores_of_odd_tables(spark):
     assert interpolation.score_texts(spark.createDataFrame([], DOCS), F.lit(1)).count() == 0
     rows = interpolation.score_texts(spark.createDataFrame([(1, "a b"), (None, None)], DOCS), F.lit(0)).collect()
