@@ -372,6 +372,7 @@ def _passages(own: DataFrame) -> DataFrame:
     """``repeated_passages`` by ``doc``."""
     own, kind = own.select("doc", "data"), "string"
     runs = own.mapInArrow(_anchored, f"doc {kind}, starts array<long>, n long, gram long, whole long")
+    runs = stored(runs, "anchored", compression="zstd")
     shared = (
         runs.groupBy("gram")
         .agg(F.sum(F.size("starts")).alias("met"), (F.min("whole") != F.max("whole")).alias("differ"))
