@@ -1,6 +1,7 @@
 """Readers and writers: CSV files, staging and target tables, relational tables."""
 
 from .csv import (
+    FILE_ROWS,
     header_names,
     listing_text,
     output_name,
