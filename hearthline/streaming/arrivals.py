@@ -9,8 +9,9 @@ together. A batch that is run again, for whatever reason and after whatever step
 the files the log holds. Transforms write one output folder per file, named after it, so a
 file that is taken again replaces its own output.
 
-A batch that fails is taken file by file; the files that fail alone are kept aside with
-their errors, and the stream goes on. Every batch or file leaves a run record with its
+A batch that fails is taken in halves, and a half that fails in its halves: a bad file costs
+a few runs, however many good ones came with it. The files that fail alone are kept aside with
+their errors, and the stream goes on. Every run leaves a record with its
 counts; if the record cannot be written the stream fails, and its files stay loaded.
 """
 
@@ -78,7 +79,7 @@ def _on_arrival(
         return failure
 
     files = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
-    files = files.option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "*.csv")
+    files = files.option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "*.csv{,.gz}")
     names = files.load(folder).select("path", "length", F.unix_micros("modificationTime").alias("changed"))
 
     def batch(arrived: DataFrame, number: int) -> None:
@@ -92,9 +93,16 @@ def _on_arrival(
         if failed_path is None:
             raise failure
         failed = []
-        for k, file in enumerate(found):
-            if (failure := run([file], f"batch-{number}-file-{k}")) is not None:
-                failed.append((file.path, str(failure)))
+        waiting = [(0, len(found))]
+        while waiting:
+            a, b = waiting.pop()
+            # The batch as a whole has failed already; a batch of one file is tried again.
+            if b - a == 1:
+                failure = run(found[a:b], f"batch-{number}-file-{a}")
+                if failure is not None:
+                    failed.append((found[a].path, str(failure)))
+            elif b - a == len(found) or run(found[a:b], f"batch-{number}-files-{a}-{b}") is not None:
+                waiting += [((a + b) // 2, b), (a, (a + b) // 2)]
         if failed:
             aside = spark.createDataFrame(failed, "path string, error string")
             aside.write.mode("overwrite").parquet(f"{failed_path}/{LOAD_ID}=batch-{number}")
@@ -174,6 +182,7 @@ def transform_arrivals(
     multiline: bool = True,
     max_files: int = 1000,
     once: bool = True,
+    compression: str = "none",
 ) -> StreamingQuery:
     """Clean every new raw file into a CSV folder of its own, ``output=<name>``.
 
@@ -194,7 +203,7 @@ def transform_arrivals(
         judged = judge_rows(raw, chosen).observe(counts, *accounting_columns())
         cleaned = clean_listings(judged, chosen).observe(quality, *quality_columns())
         text = listing_text(cleaned.select(*LISTING_COLUMNS, arrival_output(FILE).alias("output")))
-        write_text_csv(text, output_path, "overwrite", by="output")
+        write_text_csv(text, output_path, "overwrite", by="output", compression=compression)
         metrics.set(variant=variant, **counts.get, **quality.get)
 
     return _on_arrival(
@@ -206,5 +215,5 @@ def arrival_output(path: Column | str) -> Column:
     """The name of a file's output: its own, and a part of its path's hash, as names may repeat in other folders."""
     c = F.col(path) if isinstance(path, str) else path
     c = F.regexp_replace(F.coalesce(F.try_url_decode(c), c), "^([A-Za-z0-9]+):/+", "$1:/")  # sources spell it in two ways
-    base = F.regexp_replace(F.element_at(F.split(c, "/"), -1), "\\.csv$", "")
+    base = F.regexp_replace(F.element_at(F.split(c, "/"), -1), "\\.csv(\\.gz)?$", "")
     return F.concat(F.lit("clean_"), base, F.lit("_"), F.substring(F.md5(c), 1, 8), F.lit(".csv"))
