@@ -176,3 +176,26 @@ def test_slices_with_repeats_and_without_keys(spark):
     sizes = [keys.where(c).count() for c in sources.key_slices(keys, "k", 6)]
     assert sum(sizes) == 1400 and len(sizes) <= 6
     assert sources.key_slices(keys.where("k is null"), "k", 6) == ["1 = 1"] == sources.key_slices(keys, "k", 1)
+
+
+def test_statements_of_one_stream_are_cut_by_many_tasks(spark):
+    random.seed(5)
+    rows = [(i, random.choice("abc") * random.choice([1, 40, 90, 700])) for i in range(3000)]
+    rows += [(None, "n"), (None, "n")] + [(7, "same")] * 200
+    df = spark.createDataFrame(rows, "k int, v string").repartition(5)
+    stream = F.when(F.col("k") > 2900, 1).when(F.col("k").isNotNull(), 0)
+    ordered = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], f"({r[0]}, '{r[1]}')"))
+    before = "INSERT INTO t (k, v) VALUES "
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions are merged otherwise
+    try:
+        for limit in (40, 600, 20_000, 10**6):
+            statements = ops.insert_statements(df, "t", ["k"], stream=stream, limit=limit)
+            got = statements.withColumn("task", F.spark_partition_id()).orderBy("stream", "statement").collect()
+            assert limit > 600 or len({r.task for r in got if r.stream == 0}) > 1
+            for s in (0, 1, None):
+                own = [r for r in ordered if (1 if r[0] > 2900 else 0) == s] if s is not None else rows[3000:3002]
+                wanted = greedy([f"({'NULL' if k is None else k}, '{v}')" for k, v in own], before, "", limit)
+                mine = [r for r in got if r.stream == s]
+                assert [r.text for r in mine] == wanted and [r.statement for r in mine] == list(range(len(wanted)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

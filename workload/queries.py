@@ -556,7 +556,8 @@ def _digest(statements: DataFrame) -> DataFrame:
 @query
 def insert_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of at most 1,024,000 bytes, in four streams."""
-    rows = table(spark, sf_dir, "lineitem").select(
+    # One row group is one task; rows are dealt out before they become text.
+    rows = table(spark, sf_dir, "lineitem").repartition("l_orderkey", "l_linenumber").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.col("l_shipdate").cast("date").alias("l_shipdate")
     )
     stream = F.col("l_orderkey") % 4
