@@ -155,3 +155,14 @@ def test_places_do_not_put_all_rows_in_one_task(spark):
     windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
     assert windows and not any("_slot" in line for line in windows)
     assert dict(got.dtypes)["place"] == "bigint"
+
+
+def test_replicate_ids_of_any_length(spark):
+    random.seed(11)
+    ids = [str(random.randrange(10 ** (n - 1), 10**n)) for n in (1, 9, 17, 18, 19, 36, 37, 38, 39, 54, 70, 71, 72, 90) for _ in range(4)]
+    ids += ["9" * n for n in (17, 18, 19, 38, 53, 54, 70, 71)] + ["0", "000", "0" * 80 + "5"]
+    for longest in (18, 19, 38, 71, 90):
+        kept = [i for i in ids if len(i) <= longest]
+        top = max(map(int, kept))
+        got = ops.replicate(spark.createDataFrame([(i,) for i in kept], "id string"), 3, copy_column="copy").collect()
+        assert sorted(r.id for r in got) == sorted(str(int(i) + k * top) for i in kept for k in range(3))

@@ -82,3 +82,13 @@ def test_no_python_rows_and_no_cross_joins(spark, name):
     plan = physical(QUERIES[name](spark, SF_DIR))
     for operator in ("EvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in plan
+
+
+def test_long_ids_are_dealt_out_before_they_are_multiplied(spark):
+    plan = physical(QUERIES["replicate_long_ids"](spark, SF_DIR))
+    assert "Exchange hashpartitioning(c_custkey" in plan.split("Generate explode")[-1]
+
+
+def test_copies_add_texts_that_are_multiplied_once(spark):
+    plan = physical(ops.replicate(spark.createDataFrame([("1",)], "id string"), 3))
+    assert "lambdafunction" not in plan[plan.index("Generate explode") :].split("Subquery")[0]
