@@ -8,10 +8,20 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def only_new_rows(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``batch`` whose key the target does not hold yet."""
-    return batch.join(target.select(*keys), keys, "left_anti")
+    """Rows of ``batch`` whose key the target does not hold yet; rows that lack a key are new.
+
+    Only keys are joined with the target. New keys are written, so their size is known before
+    whole rows are moved: of few, the rows are picked out where they are.
+    """
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    new = batch.select(*keys).distinct().join(target.select(*keys), keys, "left_anti")
+    new = stored(new.select(*(F.col(k).alias(n) for k, n in names.items())), "new-keys")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return batch.join(new, same, "left_semi")
 
 
 def latest_rows(

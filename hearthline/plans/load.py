@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.events import load_manifest, rejected_events
 from ..operators.merge import only_new_rows
 from ..operators.typing import BAD_ROWS_SHOWN, bad_rows, typed_listings
+from ..session import scratch
 from ..sources.commits import Entry, commit
 from ..sources.csv import listing_text, read_raw_listings, read_text_table
 from ..sources.tables import (
@@ -69,7 +70,7 @@ def load_listings(
         staging = read_staging(spark, staging_path)
         with metrics.timed("count"):
             metrics.set(staging_count=staging.count())
-        with metrics.timed("insert"):
+        with metrics.timed("insert"), scratch(spark):
             typed = typed_listings(staging, lenient_int)
             if new_only and not prune and target_loads(spark, target_path):
                 held = read_target(spark, target_path, with_load=True)

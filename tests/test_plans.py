@@ -92,3 +92,16 @@ def test_long_ids_are_dealt_out_before_they_are_multiplied(spark):
 def test_copies_add_texts_that_are_multiplied_once(spark):
     plan = physical(ops.replicate(spark.createDataFrame([("1",)], "id string"), 3))
     assert "lambdafunction" not in plan[plan.index("Generate explode") :].split("Subquery")[0]
+
+
+def test_known_keys_move_no_whole_rows(spark, tmp_path):
+    wide = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.repeat(F.lit("x"), 500).alias("text"))
+    for name in ("batch", "target"):
+        wide.write.parquet(str(tmp_path / name))
+    batch, target = (spark.read.parquet(str(tmp_path / n)) for n in ("batch", "target"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000b")  # less than the target's keys, more than no new ones
+    try:
+        new = ops.only_new_rows(batch, target, ["k"])
+        assert "hashpartitioning" not in physical(new) and new.count() == 1  # the row without a key
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
