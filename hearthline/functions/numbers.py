@@ -72,13 +72,18 @@ def round_cents(c: Column | str) -> Column:
 def clean_price(c: Column | str) -> Column:
     """Keep digits and dots, read them as a number, round to cents; else 0. Never NULL.
 
-    Text with two decimals at most needs no rounding. A number beyond a double is infinite;
-    only then has the formatted text no number.
+    Text with two decimals at most needs no rounding; most of it has nothing to drop but a
+    dollar sign and commas. A number beyond a double is infinite; only then has the formatted
+    text no number.
     """
-    digits = F.regexp_replace(as_column(c), "[^0-9.]++", "")
+    text = as_column(c)
+    amount = F.replace(F.replace(text, F.lit("$"), F.lit("")), F.lit(","), F.lit(""))
+    digits = F.regexp_replace(text, "[^0-9.]++", "")
     number = digits.try_cast("double")
     return (
-        F.when(digits.rlike(_WHOLE_CENTS), number)
+        F.when(text == "", 0.0)
+        .when(amount.rlike(_WHOLE_CENTS), amount.try_cast("double"))
+        .when(digits.rlike(_WHOLE_CENTS), number)
         .when(digits.rlike(_PRICE), F.coalesce(exact_text(number, 2).try_cast("double"), F.lit(float("inf"))))
         .otherwise(0.0)
     )
@@ -89,7 +94,10 @@ def price_per_guest(price: Column | str, guests: Column | str) -> Column:
 
 
 def float_text(c: Column | str) -> Column:
-    """Shortest positional text of a double: ``12345678.0``, not ``1.2345678E7``."""
+    """Shortest positional text of a double: ``12345678.0``, not ``1.2345678E7``.
+
+    Numbers from 0.001 to below 10**7, and 0, are cast to positional text anyway.
+    """
     x = as_column(c)
     text = x.cast("string")
     size = F.abs(x)
@@ -101,7 +109,8 @@ def float_text(c: Column | str) -> Column:
     power_text = F.abs(power).cast("string")
     padded = F.when(F.length(power_text) < 2, F.lpad(power_text, 2, "0")).otherwise(power_text)
     return (
-        F.when(F.isnan(x), F.lit("nan"))
+        F.when((size >= 1e-3) & (size < 1e7) | (size == 0), text)
+        .when(F.isnan(x), F.lit("nan"))
         .when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
         .when(~text.contains("E"), text)
         .when((size >= 1e-4) & (size < 1e16), positional)

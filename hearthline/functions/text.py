@@ -18,6 +18,8 @@ YES_WORDS = ["t", "true", "1", "yes"]
 # ranges. Runs that are a lone space already are left out, so most words are skipped.
 BLANK = r"[\s\x1c-\x1f]"
 _UNEVEN_RUN = rf"(?U)(?! [^\s\x1c-\x1f]){BLANK}+"
+# Text of these characters alone has no blanks but spaces; one range is the cheapest test there is.
+_BEYOND_ASCII = "[^ -~]"
 
 
 def as_column(c: Column | str) -> Column:
@@ -31,11 +33,17 @@ def strip(c: Column | str) -> Column:
 
 def clean_text(c: Column | str, max_length: int | None = None) -> Column:
     """Collapse white space, trim, and shorten with an ellipsis."""
-    text = F.trim(F.regexp_replace(F.coalesce(as_column(c), F.lit("")), _UNEVEN_RUN, " "))
+    given = F.coalesce(as_column(c), F.lit(""))
+    # Most text is plain, and its runs are pairs of spaces at most.
+    halved = F.replace(given, F.lit("  "), F.lit(" "))
+    settled = ~given.rlike(_BEYOND_ASCII) & ~halved.contains("  ")
+    text = F.trim(F.when(settled, halved).otherwise(F.regexp_replace(given, _UNEVEN_RUN, " ")))
     if max_length is None:
         return text
     shortened = F.concat(F.substring(text, 1, max_length - 3), F.lit("..."))
-    return F.when(F.char_length(text) > max_length, shortened).otherwise(text)
+    # Text of few bytes has few characters, and need not be counted.
+    too_long = (F.octet_length(text) > max_length) & (F.char_length(text) > max_length)
+    return F.when(too_long, shortened).otherwise(text)
 
 
 def parse_flag(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import float_text
 from ..schema import LISTING_COLUMNS, SEQUENCE_COLUMN
-from .csv_records import BLOCK, FIELDS, FILE, HEADER, ROW, csv_records
+from .csv_records import BLOCK, FIELDS, FILE, HEADER, ROW, csv_records, packed_columns
 
 POSITION = [FILE, BLOCK, ROW]
 # Fixed value: rows of a compressed file at most, as one task reads it whole.
@@ -50,15 +50,20 @@ def _parsed(
     position: bool,
 ) -> DataFrame:
     """Fields by place; a field that a short record lacks is NULL, further ones are left out."""
+    place = POSITION if position else []
+    packed, path = packed_columns(spark, path, names, drop_bad_bytes, position) if multiline else (None, path)
+    if packed is not None:
+        packed = packed.select(*(F.col(f"_{i}").alias(n) for i, n in enumerate(names)), *place)
+        if not path:
+            return packed
 
     header = F.transform(FIELDS, lambda f: F.lower(F.replace(f, F.lit("\ufeff"), F.lit(""))))
     expected = F.array(*(F.lit(n.lower()) for n in names))
     other = F.raise_error(F.concat(F.lit("another header in "), F.col(FILE))).cast("boolean")
     is_row = F.when(F.col(HEADER), F.when(header == expected, False).otherwise(other)).otherwise(True)
     rows = csv_records(spark, path, multiline, drop_bad_bytes).where(is_row)
-    return rows.select(
-        *(F.get(FIELDS, F.lit(i)).alias(n) for i, n in enumerate(names)), *(POSITION if position else [])
-    )
+    rows = rows.select(*(F.get(FIELDS, F.lit(i)).alias(n) for i, n in enumerate(names)), *place)
+    return rows if packed is None else packed.union(rows)
 
 
 def read_raw_listings(
@@ -99,11 +104,11 @@ def write_text_csv(
 
     ``by`` names a column whose values get folders of their own; overwriting then replaces
     the folders that get rows, and no others. With ``compression`` (``gzip``) the files hold
-    ``FILE_ROWS`` rows at most; the readers take them as they are.
+    ``FILE_ROWS`` rows at most, packed fast rather than small; the readers take them as they are.
     """
     writer = df.write.mode(mode).option("compression", compression)
     if compression != "none":
-        writer = writer.option("maxRecordsPerFile", FILE_ROWS)
+        writer = writer.option("maxRecordsPerFile", FILE_ROWS).option("zlib.compress.level", "BEST_SPEED")
     if by is not None:
         writer = writer.partitionBy(by).option("partitionOverwriteMode", "dynamic")
     (

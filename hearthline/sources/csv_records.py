@@ -5,18 +5,26 @@ function from "entered inside quotes" to "left inside quotes"; every split is fo
 both ways it may be entered, the functions of a file's splits compose, and that picks one
 way for each. Records then are parsed where their lines are read; only the lines of records
 that cross the end of a split move. No rule depends on the length of a file or of a split.
+
+A file packed by gzip cannot be split, so one task reads it anyway: it gets the packed bytes and
+makes columns of them in one pass (``packed_columns``), by Arrow's parser where that reads the
+text as ``csv`` does, else by ``csv``.
 """
 
 from __future__ import annotations
 
 import csv
+import gzip
+import io
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.csv as arrow_csv
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +42,9 @@ _WAYS = f"{FILE} string, {BLOCK} long, outside int, inside int, closes long, tai
 MOST_BROADCAST = 1 << 20
 _ESCAPE = "\ue000"  # stands before what a plain line break in a line is written as
 _HELD = 4096  # records a task hands on at once
+PACKED_BYTES = 1 << 27  # packed files up to this size are handed to their task whole; larger ones are read as lines
+_CHUNK = 1 << 22  # bytes of unpacked text parsed at once
+_BOM = b"\xef\xbb\xbf"
 
 
 # A line whose fields are all closed, if it begins outside quotes. Possessive: a line has one reading.
@@ -319,3 +330,189 @@ def csv_records(
     U+FFFD, which ``drop_bad_bytes`` leaves out before the lines are parsed.
     """
     return _read(spark, path, "\n", multiline, drop_bad_bytes)
+
+
+class _Irregular(Exception):
+    """Text that Arrow's parser would read otherwise than Python's ``csv``."""
+
+
+def _regular(text: io.BufferedIOBase, drop_bad_bytes: bool, last: bytes) -> Iterator[bytes]:
+    """The text in pieces, its own line end as LF, and then ``last``.
+
+    A CR that stands before no LF is a plain character to ``csv`` and a line end to Arrow, and
+    U+FFFD has to go before lines are parsed: text with either is refused.
+    """
+    held, crlf = b"", None
+    while True:
+        more = text.read(_CHUNK)
+        data = held + more
+        if crlf is None:
+            if data.startswith(_BOM):
+                data = data.removeprefix(_BOM)
+                if data[:1] in (b'"', b"\r", b"\n", b""):
+                    raise _Irregular
+            head, end, _ = data.lstrip(b"\r\n").partition(b"\n")
+            if more and not end:
+                raise _Irregular
+            crlf = head.endswith(b"\r")
+        # What may go on as CR LF or U+FFFD waits for the next piece.
+        begun = next((b for b in (b"\xef\xbf", b"\xef", b"\r") if more and data.endswith(b)), b"")
+        data, held = data[: len(data) - len(begun)], begun
+        if drop_bad_bytes and b"\xef\xbf\xbd" in data:
+            raise _Irregular
+        if (n_cr := data.count(b"\r")) and n_cr != data.count(b"\r\n"):
+            raise _Irregular
+        yield data.replace(b"\r\n", b"\n") if crlf and n_cr else data
+        if not more:
+            break
+    yield last
+
+
+class _Pieces(io.RawIOBase):
+    """An input stream of pieces."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.rest = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        while not self.rest:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.rest = memoryview(piece)
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _same_header(file: str, fields: list[str | None], names: list[str]) -> None:
+    if [(f or "").replace("\ufeff", "").lower() for f in fields] != [n.lower() for n in names]:
+        raise ValueError(f"another header in {file}")
+
+
+def _by_arrow(file: str, text: io.BufferedIOBase, names: list[str], drop_bad_bytes: bool) -> Iterator[pa.RecordBatch]:
+    """Rows behind the header. A row of another length than the header's is an error of Arrow."""
+    # A last row of its own: an open quote would swallow it.
+    token = uuid4().hex
+    columns = [f"_{i}" for i in range(len(names))]
+    rows = arrow_csv.open_csv(
+        _Pieces(_regular(text, drop_bad_bytes, f"\n{token}{',' * (len(names) - 1)}\n".encode())),
+        arrow_csv.ReadOptions(use_threads=False, block_size=_CHUNK, column_names=columns),
+        arrow_csv.ParseOptions(newlines_in_values=True),
+        arrow_csv.ConvertOptions(column_types=dict.fromkeys(columns, pa.string())),
+    )
+    held, begun = None, False
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield held
+        if not begun:
+            header, begun = [c[0].as_py() for c in batch.columns], True
+            if header[0] == token:
+                return  # a file without a line
+            _same_header(file, header, names)
+            batch = batch.slice(1)
+        held = batch
+    if held is None or not held.num_rows or held.column(0)[-1].as_py() != token:
+        raise ValueError(f"a quote is never closed in {file}")
+    yield held.slice(0, held.num_rows - 1)
+
+
+def _by_csv(
+    file: str, opened: Callable[[], io.BufferedIOBase], names: list[str], drop_bad_bytes: bool
+) -> Iterator[pa.RecordBatch]:
+    """The same rows by Python's ``csv``, whatever the text is."""
+
+    def lines(end: str) -> Iterator[str]:
+        for line in io.TextIOWrapper(opened(), "utf-8", errors="replace", newline=end):
+            line = line.removesuffix(end)
+            yield line.replace("\ufffd", "") if drop_bad_bytes else line
+
+    end = "\n"
+    head = next((line for line in lines(end) if line not in ("", "\r")), "")
+    if "\r" in head[:-1]:
+        end = "\r"
+    crlf = end == "\n" and head.endswith("\r")
+    token = uuid4().hex
+
+    def taken() -> Iterator[str]:
+        for line in lines(end):
+            yield line.removesuffix("\r") if crlf else line
+        yield token
+
+    def batch(rows: list[list[str]]) -> pa.RecordBatch:
+        fields = zip(*((r + [None] * len(names))[: len(names)] for r in rows), strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(f, pa.string()) for f in fields], [f"_{i}" for i in range(len(names))])
+
+    rows: list[list[str]] = []
+    held, begun = None, False
+    for _, record in _Parser(taken()).records():
+        if held is not None and not begun:
+            _same_header(file, held, names)
+            begun = True
+        elif held is not None:
+            rows.append(held)
+        held = record
+        if len(rows) >= _HELD:
+            yield batch(rows)
+            rows = []
+    if held != [token]:
+        raise ValueError(f"a quote is never closed in {file}")
+    yield batch(rows)
+
+
+def _unpacked(names: list[str], position: bool, drop_bad_bytes: bool) -> Callable:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+
+                def opened() -> io.BufferedIOBase:
+                    return gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))  # noqa: B023
+
+                done = 0
+                for rows in either(path, opened):
+                    if position:
+                        n = rows.num_rows
+                        place = [pa.repeat(path, n), pa.repeat(pa.scalar(0, pa.int64()), n), pa.array(np.arange(done, done + n))]
+                        rows = pa.RecordBatch.from_arrays([*rows.columns, *place], [*rows.schema.names, FILE, BLOCK, ROW])
+                        done += n
+                    yield rows
+
+    def either(path: str, opened: Callable[[], io.BufferedIOBase]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        try:
+            for rows in _by_arrow(path, opened(), names, drop_bad_bytes):
+                yield rows
+                done += rows.num_rows
+            return
+        except (_Irregular, pa.ArrowException):
+            pass
+        for rows in _by_csv(path, opened, names, drop_bad_bytes):
+            known = min(done, rows.num_rows)
+            done -= known
+            yield rows.slice(known)
+
+    return read
+
+
+def packed_columns(
+    spark: SparkSession, path: str | list[str], names: list[str], drop_bad_bytes: bool, position: bool
+) -> tuple[DataFrame | None, str | list[str]]:
+    """Rows of the files packed by gzip, with a column for each of ``names`` (by place) and on request
+    their file, split and number; and the paths that are left. The rules are those of ``csv_records``."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.col("_metadata.file_path")
+    listed = files.select(name.alias(FILE), (name.endswith(".gz") & (F.col("length") <= PACKED_BYTES)).alias("_packed"))
+    n_packed, n_other = listed.agg(F.count_if("_packed"), F.count_if(~F.col("_packed"))).first()
+    if not n_packed:
+        return None, path
+    if n_other:
+        files = spark.read.format("binaryFile").load(_names(listed.where("_packed")))
+    schema = ", ".join([*(f"_{i} string" for i in range(len(names))), *([f"{FILE} string, {BLOCK} long, {ROW} long"] * position)])
+    content = files.select(name.alias(FILE), "content")
+    return content.mapInArrow(_unpacked(names, position, drop_bad_bytes), schema), _names(listed.where("not _packed")) if n_other else []

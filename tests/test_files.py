@@ -1,6 +1,7 @@
 """CSV dialect, staging and target tables, and the jobs over them."""
 
 import csv
+import gzip
 import io
 import json
 import random
@@ -8,6 +9,7 @@ from datetime import datetime
 from itertools import product
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from hearthline import operators as ops
 from hearthline import plans, sources, streaming
 from hearthline.schema import LISTING_COLUMNS, RAW_COLUMNS, SEQUENCE_COLUMN
 from hearthline.session import shared_root
+from hearthline.sources import csv_records
 from hearthline.sources.csv_records import leaves_inside
 
 HEADER = "id,name,price,host_id,city,description,zipcode\r\n"
@@ -591,3 +594,55 @@ def test_packed_files_arrive(spark, tmp_path):
     assert target_ids(spark, str(tmp_path / "target")) == list(range(20))
     name = spark.range(1).select(streaming.arrival_output(F.lit("/in/a.csv.gz"))).first()[0]
     assert name.startswith("clean_a_") and name.endswith(".csv")
+
+
+def scans(spark, read):
+    """Jobs that ``read`` starts to find out about its files, and the plan it returns."""
+    group = f"scans-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        df = read()
+    finally:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext._jsc.clearJobGroup()
+    return jobs, df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_files_are_read_once(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), f'a, "{i}"\r\nb') for i in range(50)], "id string, name string")
+    path = str(tmp_path / "in.csv")
+    sources.write_text_csv(rows, path, compression="gzip")
+    jobs, plan = scans(spark, lambda: sources.read_raw_listings(spark, path))
+    assert plan.count("FileScan") == plan.count("FileScan binaryFile") == 1 and "Join" not in plan
+    assert jobs <= 4  # the header, and the kinds of files; no pass over the text
+    assert sorted(sources.read_raw_listings(spark, path).collect()) == sorted(rows.collect())
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 22])
+@pytest.mark.parametrize("end", ["\r\n", "\n", "\r"])
+def test_records_of_packed_files_are_those_of_the_csv_module(tmp_path, monkeypatch, end, chunk):
+    monkeypatch.setattr(csv_records, "_CHUNK", chunk)
+    for seed in range(20):
+        rows = messy(seed, end) + ([] if seed % 2 else ["71,b\udcffad\udce2\udc82,�"])
+        rows = [r for r in rows if seed % 3 or r != "62,a,b,extra,more"]
+        rows += ['70,"cr\rx","cr\r\nlf"'] if end == "\n" and seed % 4 == 0 else []
+        rows += ['72,"cr\r\nlf",x'] if end == "\n" and seed % 4 == 1 else []
+        data = (f"id,V,z{end}" + end.join(rows)).encode("utf-8", "surrogateescape")
+        data = b"\xef\xbb\xbf" + data if seed % 5 == 0 else data
+        batch = pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([gzip.compress(data)])], ["file", "content"])
+        found = [r for b in csv_records._unpacked(["id", "v", "z"], True, True)(iter([batch])) for r in b.to_pylist()]
+        expected = [tuple((r + [None] * 3)[:3]) for r in python_rows(data.replace("�".encode(), b""), end)]
+        assert [tuple(r.values())[:3] for r in found] == expected
+        assert [r["_row"] for r in found] == list(range(len(found)))
+
+
+def test_packed_and_plain_files_of_one_folder(spark, tmp_path):
+    (tmp_path / "a, b.csv.gz").write_bytes(gzip.compress(b'id,v\n1,"x\ny"\n2\n'))
+    (tmp_path / "c.csv").write_bytes(b"id,v\n3,z\n")
+    read = sources.read_raw_listings(spark, str(tmp_path), position=True)
+    assert sorted(map(tuple, read.select("id", "v").collect())) == [("1", "x\ny"), ("2", None), ("3", "z")]
+    assert sorted(r._file.rsplit("/", 1)[1] for r in read.collect()) == ["a,%20b.csv.gz"] * 2 + ["c.csv"]
+    for text, why in ((b'id,v\n4,"open\n5,x\n', "never closed"), (b'id,v\n4\n5,"open\n', "never closed"), (b"v,id\n4,x\n", "another header")):
+        (tmp_path / "d.csv.gz").write_bytes(gzip.compress(text))
+        with pytest.raises(Exception, match=why):
+            sources.read_raw_listings(spark, str(tmp_path)).collect()
