@@ -270,3 +270,29 @@ def test_ticks(spark):
     ).collect()
     assert tuple(rows[0]) == (dt.date(2007, 2, 25), "23:06:20", dt.datetime(2007, 2, 25, 23, 6, 20))
     assert tuple(rows[1]) == (dt.date(1969, 12, 31), "23:59:59", dt.datetime(1969, 12, 31, 23, 59, 59))
+
+
+def test_plain_and_other_text_collapse_alike(spark):
+    texts = ["", " ", "a", " a  b ", "a   b", "a    b", "a\tb", "a \tb", "é  x", "a b", "x" * 9 + "  y  z", "a\x1cb  c", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", fn.clean_text("t").alias("whole"), fn.clean_text("t", 6).alias("short")).collect()
+    for r in rows:
+        whole = " ".join((r.t or "").split())
+        assert (r.whole, r.short) == (whole, whole if len(whole) <= 6 else whole[:3] + "..."), r
+
+
+def test_prices_with_and_without_other_characters(spark):
+    cases = {
+        "$1,234.05": 1234.05, "USD 12.10": 12.1, "12": 12.0, "12.": 12.0, ".5": 0.5, "-5": 5.0, "2.675": 2.67, "$$1,,2.5 ": 12.5,
+        "1.2.3": 0.0, "": 0.0, ",": 0.0, "x" + "9" * 20 + ".25": 1e20, "$" + "1" * 400: float("inf"), "y" + "1" * 400: float("inf"),
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, v double")
+    assert [r for r in df.select("t", "v", fn.clean_price("t").alias("found")).collect() if r.v != r.found] == []
+    # A pushed filter makes the text anew for every mention of it.
+    assert str(fn.clean_price("the_text")).count("the_text") <= 4
+
+
+def test_numbers_as_text_at_the_ends_of_plain_notation(spark):
+    cases = [(1e-3, "0.001"), (9.5e-4, "0.00095"), (9999999.5, "9999999.5"), (1e7, "10000000.0"), (-0.0, "-0.0"), (0.0, "0.0"), (-2e7, "-20000000.0")]
+    df = spark.createDataFrame(cases, "x double, t string")
+    assert [r for r in df.select("x", "t", fn.float_text("x").alias("found")).collect() if r.t != r.found] == []

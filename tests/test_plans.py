@@ -105,3 +105,17 @@ def test_known_keys_move_no_whole_rows(spark, tmp_path):
         assert "hashpartitioning" not in physical(new) and new.count() == 1  # the row without a key
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_view_compiles(spark, tmp_path):
+    """A generated method that is too long is interpreted row by row, without a word in the result."""
+    orders = spark.range(200).selectExpr(
+        "id as o_orderkey", "id % 7 as o_custkey", "id * 1.5D as o_totalprice", "date '2024-01-01' as o_orderdate", "'1-URGENT' as o_orderpriority"
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("cleaned_listings", "typed_listings", "price_categories", "all_bad_rows"):
+            QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
