@@ -19,6 +19,7 @@ import io
 import re
 import sys
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import unquote
 from uuid import uuid4
 
@@ -44,6 +45,11 @@ _ESCAPE = "\ue000"  # stands before what a plain line break in a line is written
 _HELD = 4096  # records a task hands on at once
 PACKED_BYTES = 1 << 27  # packed files up to this size are handed to their task whole; larger ones are read as lines
 _CHUNK = 1 << 22  # bytes of unpacked text parsed at once
+# Few packed files are taken by several tasks each, up to so many in all and one for so many packed bytes of the
+# largest. Every one unpacks the whole file, which costs little beside what is done with its rows, and keeps its share.
+PACKED_TASKS = 32
+SHARE_BYTES = 1 << 22
+_STRETCH = 2048  # rows in a row of one share
 _BOM = b"\xef\xbb\xbf"
 
 
@@ -465,7 +471,19 @@ def _by_csv(
     yield batch(rows)
 
 
-def _unpacked(names: list[str], position: bool, drop_bad_bytes: bool) -> Callable:
+def _unpacked(names: list[str], position: bool, drop_bad_bytes: bool, share: int = 0, shares: int = 1) -> Callable:
+    def own(rows: pa.RecordBatch, first: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """What this share has of rows that begin with number ``first``, by number alone: batches may be cut otherwise elsewhere."""
+        if shares == 1:
+            yield first, rows
+            return
+        a, end = first, first + rows.num_rows
+        while a < end:
+            b = min((a // _STRETCH + 1) * _STRETCH, end)
+            if a // _STRETCH % shares == share:
+                yield a, rows.slice(a - first, b - a)
+            a = b
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(2**31 - 1)
         for batch in batches:
@@ -475,13 +493,14 @@ def _unpacked(names: list[str], position: bool, drop_bad_bytes: bool) -> Callabl
                     return gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))  # noqa: B023
 
                 done = 0
-                for rows in either(path, opened):
-                    if position:
-                        n = rows.num_rows
-                        place = [pa.repeat(path, n), pa.repeat(pa.scalar(0, pa.int64()), n), pa.array(np.arange(done, done + n))]
-                        rows = pa.RecordBatch.from_arrays([*rows.columns, *place], [*rows.schema.names, FILE, BLOCK, ROW])
-                        done += n
-                    yield rows
+                for found in either(path, opened):
+                    for first, rows in own(found, done):
+                        if position:
+                            n = rows.num_rows
+                            place = [pa.repeat(path, n), pa.repeat(pa.scalar(0, pa.int64()), n), pa.array(np.arange(first, first + n))]
+                            rows = pa.RecordBatch.from_arrays([*rows.columns, *place], [*rows.schema.names, FILE, BLOCK, ROW])
+                        yield rows
+                    done += found.num_rows
 
     def either(path: str, opened: Callable[[], io.BufferedIOBase]) -> Iterator[pa.RecordBatch]:
         done = 0
@@ -507,12 +526,16 @@ def packed_columns(
     their file, split and number; and the paths that are left. The rules are those of ``csv_records``."""
     files = spark.read.format("binaryFile").load(path)
     name = F.col("_metadata.file_path")
-    listed = files.select(name.alias(FILE), (name.endswith(".gz") & (F.col("length") <= PACKED_BYTES)).alias("_packed"))
-    n_packed, n_other = listed.agg(F.count_if("_packed"), F.count_if(~F.col("_packed"))).first()
+    listed = files.select(name.alias(FILE), "length", (name.endswith(".gz") & (F.col("length") <= PACKED_BYTES)).alias("_packed"))
+    n_packed, n_other, largest = listed.agg(
+        F.count_if("_packed"), F.count_if(~F.col("_packed")), F.max(F.when(F.col("_packed"), F.col("length")))
+    ).first()
     if not n_packed:
         return None, path
     if n_other:
         files = spark.read.format("binaryFile").load(_names(listed.where("_packed")))
     schema = ", ".join([*(f"_{i} string" for i in range(len(names))), *([f"{FILE} string, {BLOCK} long, {ROW} long"] * position)])
     content = files.select(name.alias(FILE), "content")
-    return content.mapInArrow(_unpacked(names, position, drop_bad_bytes), schema), _names(listed.where("not _packed")) if n_other else []
+    shares = max(1, min(-(-largest // SHARE_BYTES), -(-PACKED_TASKS // n_packed)))
+    rows = [content.mapInArrow(_unpacked(names, position, drop_bad_bytes, k, shares), schema) for k in range(shares)]
+    return reduce(DataFrame.union, rows), _names(listed.where("not _packed")) if n_other else []

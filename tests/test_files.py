@@ -646,3 +646,29 @@ def test_packed_and_plain_files_of_one_folder(spark, tmp_path):
         (tmp_path / "d.csv.gz").write_bytes(gzip.compress(text))
         with pytest.raises(Exception, match=why):
             sources.read_raw_listings(spark, str(tmp_path)).collect()
+
+
+def test_few_packed_files_are_shared_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_records, "SHARE_BYTES", 1 << 10)
+    monkeypatch.setattr(csv_records, "_STRETCH", 7)
+    monkeypatch.setattr(csv_records, "PACKED_TASKS", 8)
+    rng = random.Random(5)
+    rows = [(str(i), f'{rng.random()}, "x"\r\n{i}') for i in range(4000)]
+    path = str(tmp_path / "in.csv")
+    sources.write_text_csv(spark.createDataFrame(rows, "id string, name string").repartition(3), path, compression="gzip")
+    read = sources.read_raw_listings(spark, path, position=True)
+    assert sorted(map(tuple, read.select("id", "name").collect())) == sorted(rows)
+    tasks = read.withColumn("task", F.spark_partition_id()).groupBy("_file").agg(F.count_distinct("task").alias("n"), F.count_distinct("_row").alias("rows"), F.max("_row").alias("last"))
+    assert [(r.n, r.rows - r.last) for r in tasks.collect()] == [(3, 1)] * 3
+
+
+def test_shares_of_a_file_are_all_its_rows(monkeypatch):
+    monkeypatch.setattr(csv_records, "_STRETCH", 3)
+    # A short row far behind makes the second parser take over, wherever the first had come to.
+    data = b"id,v\n" + b"".join(b'%d,"a\n%d"\n' % (i, i) for i in range(500)) + b"500\n" + b"".join(b"%d,x\n" % i for i in range(501, 600))
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([gzip.compress(data)])], ["file", "content"])
+    found = []
+    for share, chunk in enumerate((200, 1 << 22, 1000, 64)):
+        monkeypatch.setattr(csv_records, "_CHUNK", chunk)
+        found += [r for b in csv_records._unpacked(["id", "v"], True, True, share, 4)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(int(r["_0"]) for r in found) == list(range(600)) and all(int(r["_0"]) == r["_row"] for r in found)
